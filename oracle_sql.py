@@ -520,3 +520,104 @@ ORACLES: dict[str, str] = {
         cw AS "cacheWriteTokens", source_file AS "sourceFile" FROM usage"""
     ),
 }
+
+# --- log readers ---------------------------------------------------------------------------------------
+
+RAW = f"""
+raw AS (SELECT event_id AS eid, '/logs/f' || user_id || '.jsonl' AS source_file, 'f' || user_id AS stem,
+               CAST(round(value * 100) AS BIGINT) AS cents, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k,
+               'model-' || event_type AS model, 1700000000000 + event_id * 37 AS ms FROM events)"""
+
+ROLLOUT = RAW + """,
+l AS (SELECT *, eid % 8 >= 4 AS us, cents * 3 AS c_in, cents AS c_ca, k * 5 AS c_out, k AS c_re, cents * 3 + k * 5 AS c_to
+      FROM raw),
+l1 AS (SELECT *, coalesce(sum(us::INT) OVER (PARTITION BY source_file ORDER BY eid
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg,
+              last_value(CASE WHEN eid % 8 = 0 THEN model END IGNORE NULLS) OVER o AS ctx,
+              last_value(CASE WHEN eid % 8 = 3 THEN 'ses' || eid END IGNORE NULLS) OVER o AS ses,
+              max(CASE WHEN eid % 8 = 3 THEN '/work/x' END) OVER o AS cwd
+       FROM l WINDOW o AS (PARTITION BY source_file ORDER BY eid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+an AS (SELECT source_file, seg, min(CASE WHEN eid % 8 = 1 THEN ms END) AS st, max(CASE WHEN eid % 8 = 2 THEN ms END) AS en
+       FROM l1 GROUP BY 1, 2),
+ro AS (SELECT l1.*, st, coalesce(en, ms) AS en,
+              lag(c_in, 1, 0) OVER w AS p_in, lag(c_ca, 1, 0) OVER w AS p_ca, lag(c_out, 1, 0) OVER w AS p_out,
+              lag(c_re, 1, 0) OVER w AS p_re, lag(c_to, 1, 0) OVER w AS p_to
+       FROM l1 JOIN an USING (source_file, seg) WHERE us WINDOW w AS (PARTITION BY source_file ORDER BY eid))"""
+
+
+def delta(name: str) -> str:
+    return f"CASE WHEN c_{name} < p_{name} THEN c_{name} ELSE c_{name} - p_{name} END"
+
+
+EVENT_LOG = RAW + """,
+ev AS (SELECT *, last_value(CASE eid % 7 WHEN 0 THEN model WHEN 1 THEN 'chosen-' || model END IGNORE NULLS) OVER o AS mo,
+              max(CASE WHEN eid % 7 = 0 THEN '/work/y' END) OVER o AS cwd,
+              CASE WHEN eid % 3 <> 0 THEN k ELSE 0 END AS rea, CASE WHEN eid % 4 <> 0 THEN cents * 2 ELSE 0 END AS cr
+       FROM raw WINDOW o AS (PARTITION BY source_file ORDER BY eid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+TRANSCRIPT = RAW + """,
+tr AS (SELECT *, first_value(CASE WHEN eid % 6 = 0 THEN '/work/c' || (eid % 5) END IGNORE NULLS) OVER o AS cwd,
+              CASE WHEN eid % 13 <> 0 THEN k * 7 ELSE 0 END AS outp,
+              CASE WHEN eid % 2 = 0 THEN 'msg' || (eid // 400) ELSE 'u' || eid END AS key
+       FROM raw WINDOW o AS (PARTITION BY source_file ORDER BY eid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+GENERIC = RAW + """,
+ge AS (SELECT *, CASE WHEN eid % 17 = 0 THEN 'not JSON' WHEN eid % 19 = 0 THEN 'not an object'
+                      WHEN eid % 23 = 0 THEN 'tokens without a timestamp' WHEN eid % 29 = 0 THEN 'blank'
+                      WHEN eid % 31 = 0 THEN 'not JSON' WHEN eid % 3 = 0 THEN 'nested' WHEN eid % 3 = 1 THEN 'flat'
+                      ELSE 'silent' END AS shape,
+              eid = max(eid) OVER (PARTITION BY source_file) AS is_last FROM raw)"""
+
+ORACLES |= {
+    "rollout_usage": f"""WITH {ROLLOUT} SELECT source_file, ms AS ts_ms, coalesce(ses, stem) AS session_id, cwd AS project,
+        {delta("in")} AS input_tokens, {delta("out")} AS output_tokens, {delta("re")} AS reasoning_tokens,
+        {delta("ca")} AS cache_read_tokens, 0::BIGINT AS cache_write_tokens, {delta("to")} AS total_override FROM ro""",
+    "asof_model": f"""WITH {ROLLOUT} SELECT source_file,
+        CASE WHEN eid % 5 = 0 THEN 'named-model' ELSE coalesce(ctx, 'unknown') END AS model,
+        count(*) AS requests, min(ms) AS first_ms FROM ro GROUP BY 1, 2""",
+    "derived_durations": f"""WITH {ROLLOUT} SELECT source_file, ms AS ts_ms,
+        CASE WHEN en - st BETWEEN 100 AND 600000 THEN en - st END AS duration_ms,
+        coalesce(en - st BETWEEN 100 AND 600000, false) AS duration_derived FROM ro""",
+    "rollout_files": f"""WITH {RAW} SELECT {CX} AS source, source_file,
+        coalesce('ses' || max(CASE WHEN eid % 8 = 3 THEN eid END), any_value(stem)) AS session_id,
+        'question ' || min(CASE WHEN eid % 8 = 1 THEN eid END) AS title,
+        max(CASE WHEN eid % 8 = 3 THEN '/work/x' END) AS project_path FROM raw GROUP BY source_file""",
+    "latest_rate_limits": f"""WITH {RAW} SELECT {CX} AS source, ms AS ts_ms, 'plan' || (eid % 5) AS plan_type,
+        k / 2::DOUBLE AS used_percent, eid AS resets_at FROM raw WHERE eid % 8 >= 4 AND eid % 4 = 0
+        ORDER BY eid DESC LIMIT 1""",
+    "counter_deltas": """WITH v AS (SELECT l_orderkey, l_linenumber::BIGINT AS line_no, l_partkey,
+          CASE WHEN (l_orderkey + l_linenumber) % 5 = 0 THEN l_partkey % 50 ELSE l_linenumber * 1000 + l_partkey % 700 END::BIGINT AS value
+          FROM lineitem)
+        SELECT l_orderkey, line_no, value, CASE WHEN value < p THEN value ELSE value - p END AS delta
+        FROM (SELECT *, lag(value, 1, 0) OVER (PARTITION BY l_orderkey ORDER BY line_no, l_partkey, value) AS p FROM v)""",
+    "event_log_usage": f"""WITH {EVENT_LOG} SELECT source_file, source_file || ':' || eid AS event_key, ms AS ts_ms,
+        coalesce(mo, 'unknown') AS model, 'logs' AS session_id, cwd AS project, cents AS input_tokens, k * 7 AS output_tokens,
+        rea AS reasoning_tokens, cr AS cache_read_tokens, cents + cr + k * 7 AS total_override FROM ev WHERE eid % 7 > 1""",
+    "event_log_replay": f"""WITH {EVENT_LOG} SELECT coalesce(mo, 'unknown') AS model, count(*) AS requests,
+        CAST(sum(cents + cr + k * 7) AS BIGINT) AS total FROM ev WHERE eid % 7 > 1 GROUP BY 1""",
+    "keep_last_snapshot": f"""WITH {TRANSCRIPT} SELECT source_file, key AS event_key, ms AS ts_ms, model,
+        CASE WHEN eid % 3 = 0 THEN 'cs' || eid ELSE stem END AS session_id, cwd AS project, cents AS input_tokens,
+        outp AS output_tokens, CASE WHEN eid % 4 <> 0 THEN cents * 2 END AS cache_read_tokens,
+        CASE WHEN eid % 5 <> 0 THEN k * 3 END AS cache_write_tokens
+        FROM (SELECT *, row_number() OVER (PARTITION BY source_file, key ORDER BY eid DESC) AS rn FROM tr
+              WHERE eid % 6 <> 0 AND (cents > 0 OR outp > 0)) WHERE rn = 1""",
+    "transcript_files": f"""WITH {RAW} SELECT {CC} AS source, source_file, any_value(stem) AS session_id,
+        'hello ' || min(CASE WHEN eid % 6 = 0 THEN eid END) AS title,
+        '/work/c' || (min(CASE WHEN eid % 6 = 0 THEN eid END) % 5) AS project_path FROM raw GROUP BY source_file""",
+    "jsonl_usage": f"""WITH {GENERIC} SELECT source_file, CASE shape WHEN 'flat' THEN ms // 1000 * 1000 ELSE ms END AS ts_ms,
+        model, CASE shape WHEN 'nested' THEN 'g' || eid END AS session_id, cents AS input_tokens, k AS output_tokens,
+        CASE shape WHEN 'nested' THEN k END AS reasoning_tokens, CASE shape WHEN 'flat' THEN k * 2 END AS cache_read_tokens,
+        CASE shape WHEN 'flat' THEN 'completed' END AS status FROM ge WHERE shape IN ('nested', 'flat')""",
+    "ingest_audit": f"""WITH {GENERIC}, bad AS (SELECT *, shape IN ('not an object', 'tokens without a timestamp')
+            OR (shape = 'not JSON' AND NOT is_last) AS rej FROM ge)
+        SELECT source_file, count(*) FILTER (shape IN ('nested', 'flat')) AS records_read,
+          count(*) FILTER (rej) AS lines_skipped, arg_max(shape, eid) FILTER (rej) AS last_error
+        FROM bad GROUP BY 1 HAVING bool_or(rej OR shape IN ('nested', 'flat'))""",
+    "mapped_usage_table": """SELECT l_orderkey || '-' || l_linenumber AS event_key, epoch_us(l_shipdate) // 1000000 * 1000 AS ts_ms,
+        l_returnflag AS model, l_partkey AS input_tokens, CASE WHEN l_linenumber > 1 THEN l_suppkey ELSE 0 END AS output_tokens,
+        NULL::BIGINT AS cache_read_tokens, l_partkey + l_suppkey AS total_override, true AS reasoning_in_output
+        FROM lineitem WHERE l_linestatus = 'O'""",
+    "session_meta_rows": """SELECT c_name AS id, CASE WHEN c_custkey % 3 <> 0 THEN trim(c_mktsegment) END AS title,
+        'C:\\work/' || c_mktsegment || '\\/' AS directory, c_mktsegment AS project_name FROM customer""",
+    "dedup_replay": q(f"SELECT source, {REQ_TOT} FROM u WHERE eid % 3 <> 0 GROUP BY 1"),
+}

@@ -10,12 +10,6 @@ from tallyforge.plans import quantiles as q
 from tallyforge.plans.ranges import DAY_MS, explode_members, membership
 from tallyforge.plans.staging import small_or_lazy
 
-RANKS = [
-    q.nearest_rank("ttft_p50_ms", "ttft", 0.50),
-    q.nearest_rank("ttft_p95_ms", "ttft", 0.95),
-    *q.median_ranks("speed_p50", "tps"),
-]
-
 # Trailing windows compared on the speed card, and the change called flat.
 SPEED_WINDOWS_MS = {"24h": DAY_MS, "7d": 7 * DAY_MS}
 FLAT_BELOW = 0.03
@@ -32,6 +26,14 @@ SCALARS = [
 ]
 
 
+def _ranks() -> list[q.Rank]:
+    return [
+        q.nearest_rank("ttft_p50_ms", "ttft", 0.50),
+        q.nearest_rank("ttft_p95_ms", "ttft", 0.95),
+        *q.median_ranks("speed_p50", "tps"),
+    ]
+
+
 def _completed(usage: DataFrame, keys: list[str]) -> DataFrame:
     """Per completed row: the two samples it may give and whether its window is approximate."""
     ms = caliber.generation_ms()
@@ -110,7 +112,7 @@ def speed_stats(usage: DataFrame, keys: list[str] | None = None) -> DataFrame:
         return F.coalesce(F.sum(F.when(F.col("metric") == metric, F.col(name))), zero)
 
     summary = (
-        q.locate(histogram, keys, RANKS)
+        q.locate(histogram, keys, _ranks())
         .groupBy(*keys)
         .agg(
             total("ttft", "weight").alias("ttft_sum"),
@@ -125,7 +127,7 @@ def speed_stats(usage: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
     summary, small = small_or_lazy(summary)
     targets = summary.select(*keys, F.explode("wanted").alias("w")).select(*keys, "w.*")
-    picked = q.pick(samples.select(*keys, "metric", "bucket", "value"), targets, small, keys, RANKS)
+    picked = q.pick(samples.select(*keys, "metric", "bucket", "value"), targets, small, keys, _ranks())
     joined = summary.join(picked, keys, "left") if keys else summary.crossJoin(picked)
     return joined.select(
         *keys,

@@ -86,6 +86,28 @@ class Count:
     final = combined
 
 
+@dataclass(frozen=True)
+class Max:
+    """Highest value of the rows before this one."""
+
+    out: str
+    value: Column
+
+    def summary(self, order: Column) -> Column:
+        return F.max(self.value)
+
+    def carried(self, earlier) -> Column:
+        return F.max(F.col(self.out)).over(earlier)
+
+    def inside(self, upto, before) -> Column:
+        return F.max(self.value).over(before)
+
+    def combined(self, inside: Column, carried: Column) -> Column:
+        return F.greatest(inside, carried)
+
+    final = combined
+
+
 def chunk_summaries(df: DataFrame, keys: list[str], chunk: str, order: list[str], specs: list) -> DataFrame:
     """One row per key and chunk: each spec folded over the chunk's own rows (map-side combined)."""
     position = F.struct(*order)
@@ -145,5 +167,7 @@ def final_values(
 def _merge(spec, value: Column, chunk: Column) -> Column:
     if isinstance(spec, Count):
         return F.sum(value)
+    if isinstance(spec, Max):
+        return F.max(value)
     by = F.min_by if isinstance(spec, First) else F.max_by
     return by(value, F.when(value.isNotNull(), chunk))

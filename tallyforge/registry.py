@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge import fixtures
+from tallyforge import fixtures, sample_logs
 from tallyforge.fixtures import FX_USD_CNY, NOW_MS, usage_table
 from tallyforge.functions import text
 from tallyforge.functions.times import peak_tier
 from tallyforge.operators import aggs, details, pricing, quality, sessions, speed, trends
+from tallyforge.plans.ordered import Last, running
 from tallyforge.plans.ranges import DAY_MS, filter_range, in_range, resolve_span
 from tallyforge.schema import SOURCE_ROLLOUT, SOURCES
 from tallyforge.sinks import exports
+from tallyforge.sources import event_logs, rollouts, tables, transcripts
 from tallyforge.sources import prices as price_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -443,3 +445,146 @@ def export_sessions(spark, sf_dir):
 @query
 def export_raw(spark, sf_dir):
     return exports.export_raw(usage_table(spark, sf_dir))
+
+
+# --- log readers, over lines rendered from the event table -------------------------------------------
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return fixtures.load(spark, sf_dir, "events")
+
+
+@query
+def rollout_usage(spark, sf_dir):
+    rows = rollouts.rollout_usage(rollouts.rollout_records(sample_logs.rollout_lines(_events(spark, sf_dir))))
+    return rows.select(
+        "source_file", "ts_ms", "session_id", "project", "input_tokens", "output_tokens", "reasoning_tokens",
+        "cache_read_tokens", "cache_write_tokens", "total_override",
+    )
+
+
+@query
+def asof_model(spark, sf_dir):
+    rows = rollouts.rollout_usage(rollouts.rollout_records(sample_logs.rollout_lines(_events(spark, sf_dir))))
+    return rows.groupBy("source_file", "model").agg(F.count(F.lit(1)).alias("requests"), F.min("ts_ms").alias("first_ms"))
+
+
+@query
+def derived_durations(spark, sf_dir):
+    rows = rollouts.rollout_usage(rollouts.rollout_records(sample_logs.rollout_lines(_events(spark, sf_dir))))
+    return rows.select("source_file", "ts_ms", "duration_ms", "duration_derived")
+
+
+@query
+def rollout_files(spark, sf_dir):
+    return rollouts.rollout_files(rollouts.rollout_records(sample_logs.rollout_lines(_events(spark, sf_dir))))
+
+
+@query
+def latest_rate_limits(spark, sf_dir):
+    records = rollouts.rollout_records(sample_logs.rollout_lines(_events(spark, sf_dir)))
+    out = rollouts.latest_rate_limits(records)
+    return out.select(
+        "source", "ts_ms", "plan_type", F.col("primary.used_percent").alias("used_percent"),
+        F.col("primary.resets_at").alias("resets_at"),
+    )
+
+
+@query
+def counter_deltas(spark, sf_dir):
+    """Counters that grow along an order's lines and are reset now and then."""
+    line, part = F.col("l_linenumber").cast("bigint"), F.col("l_partkey")
+    reset = (F.col("l_orderkey") + line) % 5 == 0
+    value = F.when(reset, part % 50).otherwise(line * 1000 + part % 700)
+    rows = fixtures.load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", line.alias("line_no"), F.lit(0).cast("bigint").alias("block"), "l_partkey", value.alias("value")
+    )
+    order = ["line_no", "l_partkey", "value"]
+    seen = running(rows, ["l_orderkey"], "block", order, [Last("previous", F.col("value"), inclusive=False)])
+    delta = rollouts.counter_delta(F.col("value"), F.col("previous"))
+    return seen.select("l_orderkey", "line_no", "value", delta.alias("delta"))
+
+
+@query
+def event_log_usage(spark, sf_dir):
+    records = event_logs.event_records(sample_logs.event_log_lines(_events(spark, sf_dir)))
+    return event_logs.event_usage(records).select(
+        "source_file", "event_key", "ts_ms", "model", "session_id", "project", "input_tokens", "output_tokens",
+        "reasoning_tokens", "cache_read_tokens", "total_override",
+    )
+
+
+@query
+def event_log_replay(spark, sf_dir):
+    """A log read twice over: repeated sequence numbers count once."""
+    records = event_logs.event_records(sample_logs.event_log_lines(_events(spark, sf_dir), repeats=2))
+    rows = event_logs.event_usage(event_logs.keep_new_sequence(records))
+    return aggs.usage_agg(rows, ["model"]).select("model", "requests", "total")
+
+
+@query
+def keep_last_snapshot(spark, sf_dir):
+    records = transcripts.transcript_records(sample_logs.transcript_lines(_events(spark, sf_dir)))
+    return transcripts.transcript_usage(records).select(
+        "source_file", "event_key", "ts_ms", "model", "session_id", "project", "input_tokens", "output_tokens",
+        "cache_read_tokens", "cache_write_tokens",
+    )
+
+
+@query
+def transcript_files(spark, sf_dir):
+    return transcripts.transcript_files(
+        transcripts.transcript_records(sample_logs.transcript_lines(_events(spark, sf_dir)))
+    )
+
+
+@query
+def jsonl_usage(spark, sf_dir):
+    usage, _ = transcripts.read_jsonl_usage(sample_logs.generic_lines(_events(spark, sf_dir)))
+    return usage.select(
+        "source_file", "ts_ms", "model", "session_id", "input_tokens", "output_tokens", "reasoning_tokens",
+        "cache_read_tokens", "status",
+    )
+
+
+@query
+def ingest_audit(spark, sf_dir):
+    usage, rejects = transcripts.read_jsonl_usage(sample_logs.generic_lines(_events(spark, sf_dir)))
+    return quality.audit_files(usage, rejects)
+
+
+@query
+def mapped_usage_table(spark, sf_dir):
+    """A table with other column names, recognised by alias."""
+    raw = fixtures.load(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber")).alias(" Request_ID"),
+        F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("Started_At"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_returnflag")).alias("model_id"),
+        F.col("l_partkey").alias("prompt_tokens"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_suppkey")).alias("completion_tokens"),
+        F.col("l_quantity").alias("cached_tokens"),
+        (F.col("l_partkey") + F.col("l_suppkey")).cast("string").alias("computed_total_tokens"),
+    )
+    return tables.map_usage_table(raw, source_file="lineitem").select(
+        "event_key", "ts_ms", "model", "input_tokens", "output_tokens", "cache_read_tokens", "total_override",
+        "reasoning_in_output",
+    )
+
+
+@query
+def session_meta_rows(spark, sf_dir):
+    raw = fixtures.load(spark, sf_dir, "customer").select(
+        F.concat(F.lit(" "), F.col("c_name")).alias("ID"),
+        F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit(" "))).alias("title"),
+        F.concat(F.lit("C:\\work/"), F.col("c_mktsegment"), F.lit("\\"), F.lit("/")).alias("path"),
+    )
+    return tables.read_session_meta(raw)
+
+
+@query
+def dedup_replay(spark, sf_dir):
+    """Re-delivered rows against what is stored: only unseen keys remain."""
+    usage = usage_table(spark, sf_dir)
+    stored = usage.where(F.col("line_no") % 3 == 0)
+    fresh = quality.only_new(usage, stored, ["event_key"])
+    return aggs.usage_agg(fresh, ["source"]).select("source", "requests", "total")
