@@ -621,3 +621,44 @@ ORACLES |= {
         'C:\\work/' || c_mktsegment || '\\/' AS directory, c_mktsegment AS project_name FROM customer""",
     "dedup_replay": q(f"SELECT source, {REQ_TOT} FROM u WHERE eid % 3 <> 0 GROUP BY 1"),
 }
+
+# Streams read the same lines, with users spread over 16 logs.
+RAW16 = RAW.replace("user_id || '.jsonl'", "(user_id % 16) || '.jsonl'").replace("'f' || user_id AS", "'f' || (user_id % 16) AS")
+
+
+def over16(ctes: str) -> str:
+    return ctes.replace(RAW, RAW16)
+
+
+ORACLES |= {
+    "stream_hourly": q(
+        "SELECT ts_ms // 3600000 * 3600000 AS start_ms, ts_ms // 3600000 * 3600000 + 3600000 AS end_ms, model, "
+        f"{REQ_TOT} FROM u GROUP BY ALL"
+    ),
+    "stream_session_rate": q(
+        f"""SELECT m * 60000 AS start_ms, m * 60000 + 300000 AS end_ms, source, session_id, {REQ_TOT},
+               round(sum(tot) / 5.0::DOUBLE, 6) AS tokens_per_min
+        FROM (SELECT *, unnest(range(ts_ms // 60000 - 4, ts_ms // 60000 + 1)) AS m FROM u WHERE session_id IS NOT NULL)
+        GROUP BY m, source, session_id"""
+    ),
+    "stream_rollout_usage": f"""WITH {over16(ROLLOUT)} SELECT ms AS ts_ms,
+        CASE WHEN eid % 5 = 0 THEN 'named-model' ELSE coalesce(ctx, 'unknown') END AS model,
+        coalesce(ses, stem) AS session_id, cwd AS project,
+        {delta("in")} AS input_tokens, {delta("out")} AS output_tokens, {delta("re")} AS reasoning_tokens,
+        {delta("ca")} AS cache_read_tokens, {delta("to")} AS total_override,
+        CASE WHEN en - st BETWEEN 100 AND 600000 THEN en - st END AS duration_ms FROM ro""",
+    "stream_event_log_replay": f"""WITH {over16(EVENT_LOG)} SELECT ms AS ts_ms, coalesce(mo, 'unknown') AS model,
+        cwd AS project, cents AS input_tokens, k * 7 AS output_tokens, cents + cr + k * 7 AS total_override
+        FROM ev WHERE eid % 7 > 1""",
+    "stream_transcript_usage": f"""WITH {over16(TRANSCRIPT)} SELECT key AS event_key, ms AS ts_ms,
+        CASE WHEN eid % 3 = 0 THEN 'cs' || eid ELSE stem END AS session_id, cwd AS project, cents AS input_tokens,
+        outp AS output_tokens, CASE WHEN eid % 4 <> 0 THEN cents * 2 END AS cache_read_tokens
+        FROM (SELECT *, row_number() OVER (PARTITION BY source_file, key ORDER BY eid DESC) AS rn FROM tr
+              WHERE eid % 6 <> 0 AND (cents > 0 OR outp > 0)) WHERE rn = 1""",
+    "stream_jsonl_usage": f"""WITH {GENERIC} SELECT model, count(*) AS requests,
+        CAST(sum(cents + k + CASE shape WHEN 'nested' THEN k
+                 ELSE CASE WHEN cents >= k * 2 AND cents > 0 THEN 0 ELSE k * 2 END END) AS BIGINT) AS total,
+        min(CASE shape WHEN 'flat' THEN ms // 1000 * 1000 ELSE ms END) AS first_ts_ms,
+        max(CASE shape WHEN 'flat' THEN ms // 1000 * 1000 ELSE ms END) AS last_ts_ms
+        FROM ge WHERE shape IN ('nested', 'flat') GROUP BY 1""",
+}

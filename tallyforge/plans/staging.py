@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 BROADCAST_ROW_LIMIT = 20_000
@@ -38,3 +41,9 @@ def small_or_lazy(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> tuple[
     if len(rows) > row_limit:
         return df, False
     return df.sparkSession.createDataFrame(rows, df.schema), True
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a job's own tables, in the shared checkpoint folder when there is one."""
+    root = checkpoint_root(spark) or tempfile.gettempdir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

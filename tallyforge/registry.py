@@ -14,10 +14,12 @@ from tallyforge.functions.times import peak_tier
 from tallyforge.operators import aggs, details, pricing, quality, sessions, speed, trends
 from tallyforge.plans.ordered import Last, running
 from tallyforge.plans.ranges import DAY_MS, filter_range, in_range, resolve_span
+from tallyforge.plans.staging import scratch_path
 from tallyforge.schema import SOURCE_ROLLOUT, SOURCES
 from tallyforge.sinks import exports
 from tallyforge.sources import event_logs, rollouts, tables, transcripts
 from tallyforge.sources import prices as price_source
+from tallyforge.streaming import ingest, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -588,3 +590,106 @@ def dedup_replay(spark, sf_dir):
     stored = usage.where(F.col("line_no") % 3 == 0)
     fresh = quality.only_new(usage, stored, ["event_key"])
     return aggs.usage_agg(fresh, ["source"]).select("source", "requests", "total")
+
+
+# --- streams: the tables are landed in parts, read until nothing is left, and the stored result returned ----
+
+PARTS = 3
+LOGS = 16
+
+
+def _land(df: DataFrame, part: Column, root: str, write) -> None:
+    """Write the parts one after another, so that they also arrive in this order."""
+    for number in range(PARTS):
+        write(df.where(part == number), f"{root}/part={number}")
+
+
+def _stretch(spark, sf_dir) -> Column:
+    """Part number of a line: equal stretches of the position range."""
+    top = _events(spark, sf_dir).agg(F.max("event_id")).first()[0] or 0
+    return F.call_function("div", F.col("pos") * PARTS, F.lit(top + 1).cast("bigint"))
+
+
+def _land_lines(lines: DataFrame, part: Column, root: str) -> DataFrame:
+    """One folder per log and part, lines in order; returns them as a stream, one part per trigger."""
+    log = F.regexp_extract("source_file", r"([^/]*)\.jsonl$", 1)
+
+    def write(rows: DataFrame, path: str) -> None:
+        ordered = rows.withColumn("log", log).repartition("log").sortWithinPartitions("log", "pos")
+        ordered.select("log", "value").write.partitionBy("log").text(path)
+
+    _land(lines, part, root, write)
+    layout = r"/part=([0-9]+)/log=([^/]*)/[^/]*$"
+    return ingest.landed_lines(lines.sparkSession, root, "*.txt", LOGS, layout, part_group=1, log_group=2)
+
+
+def _ingested(spark, lines: DataFrame, fmt, name: str, part: Column, unseen_only: bool = False) -> DataFrame:
+    work = scratch_path(spark, name)
+    stream = _land_lines(lines, part, f"{work}/landed")
+    ingest.stream_usage(stream, fmt, f"{work}/out", f"{work}/checkpoint", unseen_only).awaitTermination()
+    return ingest.current_usage(spark, f"{work}/out")
+
+
+@query
+def stream_hourly(spark, sf_dir):
+    work = scratch_path(spark, "stream-hourly")
+    events = _events(spark, sf_dir)
+    _land(events, F.col("event_id") % PARTS, f"{work}/landed", lambda df, path: df.coalesce(1).write.parquet(path))
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+    usage = fixtures.usage_from_events(reader.parquet(f"{work}/landed"))
+    view = views.live_model_trend(usage, lateness="60 days")
+    views.start_view(view, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    return views.read_view(spark, f"{work}/out", ["start_ms", "model"])
+
+
+@query
+def stream_session_rate(spark, sf_dir):
+    work = scratch_path(spark, "stream-rate")
+    events = _events(spark, sf_dir)
+    _land(events, F.col("event_id") % PARTS, f"{work}/landed", lambda df, path: df.coalesce(1).write.parquet(path))
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+    usage = fixtures.usage_from_events(reader.parquet(f"{work}/landed"))
+    view = views.live_session_rate(usage, lateness="60 days")
+    views.start_view(view, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    out = views.read_view(spark, f"{work}/out", ["start_ms", "source", "session_id"])
+    return out.withColumns(rounded("tokens_per_min"))
+
+
+@query
+def stream_rollout_usage(spark, sf_dir):
+    """Cumulative counters continued over micro-batches give what one batch gives."""
+    lines = sample_logs.rollout_lines(_events(spark, sf_dir), LOGS)
+    part = _stretch(spark, sf_dir)
+    usage = _ingested(spark, lines, ingest.ROLLOUT_FORMAT, "stream-rollouts", part)
+    return usage.select(
+        "ts_ms", "model", "session_id", "project", "input_tokens", "output_tokens", "reasoning_tokens",
+        "cache_read_tokens", "total_override", "duration_ms",
+    )
+
+
+@query
+def stream_event_log_replay(spark, sf_dir):
+    """Every part carries its own stretch and all lines of part 0 again; each event counts once."""
+    lines = sample_logs.event_log_lines(_events(spark, sf_dir), logs=LOGS)
+    own = _stretch(spark, sf_dir)
+    again = F.when(own == 0, F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")).otherwise(F.array(own))
+    repeated = lines.withColumn("part", F.explode(again))
+    usage = _ingested(spark, repeated, ingest.EVENT_LOG_FORMAT, "stream-events", F.col("part"), unseen_only=True)
+    return usage.select("ts_ms", "model", "project", "input_tokens", "output_tokens", "total_override")
+
+
+@query
+def stream_transcript_usage(spark, sf_dir):
+    """Growing snapshots: the last one of a message counts, also when it arrives in a later part."""
+    lines = sample_logs.transcript_lines(_events(spark, sf_dir), LOGS)
+    part = _stretch(spark, sf_dir)
+    usage = _ingested(spark, lines, ingest.TRANSCRIPT_FORMAT, "stream-transcripts", part)
+    return usage.select("event_key", "ts_ms", "session_id", "project", "input_tokens", "output_tokens", "cache_read_tokens")
+
+
+@query
+def stream_jsonl_usage(spark, sf_dir):
+    lines = sample_logs.generic_lines(_events(spark, sf_dir), LOGS)
+    part = _stretch(spark, sf_dir)
+    usage = _ingested(spark, lines, ingest.JSONL_FORMAT, "stream-jsonl", part)
+    return aggs.usage_agg(usage, ["model"]).select("model", "requests", "total", "first_ts_ms", "last_ts_ms")

@@ -12,11 +12,13 @@ START_MS = 1_700_000_000_000
 STEP_MS = 37
 
 
-def _base(events: DataFrame) -> DataFrame:
+def _base(events: DataFrame, logs: int | None = None) -> DataFrame:
+    """One log per user, or users spread over a fixed number of logs."""
     eid = F.col("event_id")
+    log = F.col("user_id") if logs is None else F.col("user_id") % logs
     return events.select(
         eid,
-        F.concat(F.lit("/logs/f"), F.col("user_id").cast("string"), F.lit(".jsonl")).alias("source_file"),
+        F.concat(F.lit("/logs/f"), log.cast("string"), F.lit(".jsonl")).alias("source_file"),
         F.call_function("div", eid, F.lit(BLOCK_LINES).cast("bigint")).alias("block"),
         eid.alias("pos"),
         F.round(F.col("value") * 100).cast("bigint").alias("cents"),
@@ -38,8 +40,8 @@ def _obj(**fields: Column) -> Column:
     return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
-def rollout_lines(events: DataFrame) -> DataFrame:
-    base = _base(events)
+def rollout_lines(events: DataFrame, logs: int | None = None) -> DataFrame:
+    base = _base(events, logs)
     eid, stamp = F.col("event_id"), _iso(F.col("ms"))
 
     def line(kind: str, payload: Column) -> Column:
@@ -75,9 +77,9 @@ def rollout_lines(events: DataFrame) -> DataFrame:
     return _lines(base, value)
 
 
-def event_log_lines(events: DataFrame, repeats: int = 1) -> DataFrame:
+def event_log_lines(events: DataFrame, repeats: int = 1, logs: int | None = None) -> DataFrame:
     """``repeats`` > 1 appends the whole log again, as a re-read would."""
-    base = _base(events)
+    base = _base(events, logs)
     if repeats > 1:
         base = base.withColumn("again", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
         shift = F.col("again").cast("bigint") * F.lit(1 << 40)
@@ -104,9 +106,9 @@ def event_log_lines(events: DataFrame, repeats: int = 1) -> DataFrame:
     return _lines(base, value)
 
 
-def transcript_lines(events: DataFrame) -> DataFrame:
+def transcript_lines(events: DataFrame, logs: int | None = None) -> DataFrame:
     """Three events share a message id; snapshots of one message in one file replace each other."""
-    base = _base(events)
+    base = _base(events, logs)
     eid = F.col("event_id")
     usage = _obj(
         input_tokens=F.col("cents"),
@@ -130,9 +132,9 @@ def transcript_lines(events: DataFrame) -> DataFrame:
     return _lines(base, F.when(eid % 6 == 0, F.to_json(user)).otherwise(F.to_json(assistant)))
 
 
-def generic_lines(events: DataFrame) -> DataFrame:
+def generic_lines(events: DataFrame, logs: int | None = None) -> DataFrame:
     """Two dialects of token lines, lines without tokens and four kinds of bad lines."""
-    base = _base(events)
+    base = _base(events, logs)
     eid = F.col("event_id")
     nested = _obj(
         session_id=F.concat(F.lit("g"), eid.cast("string")),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text
 from tallyforge.functions import variant as V
-from tallyforge.plans.ordered import First, Last, Max, running
+from tallyforge.plans.ordered import Count, First, Last, Max, final_values, running
 from tallyforge.plans.staging import cut
 from tallyforge.schema import SOURCE_EVENT_LOG, as_usage
 from tallyforge.sources.lines import COMPRESSED, number_lines, plain_path
@@ -79,17 +79,47 @@ def event_records(lines: DataFrame) -> DataFrame:
     return number_lines(cut(rows))
 
 
-def keep_new_sequence(records: DataFrame) -> DataFrame:
+def _highest() -> list:
+    return [Max("highest", F.col("seq"))]
+
+
+def _numbered(records: DataFrame) -> DataFrame:
+    return records.where(F.col("is_event") & F.col("seq").isNotNull())
+
+
+def keep_new_sequence(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """Events whose number exceeds every earlier one of the file; unnumbered events are dropped."""
-    numbered = records.where(F.col("is_event") & F.col("seq").isNotNull())
-    seen = running(numbered, ["source_file"], "block", ["line_no"], [Max("highest", F.col("seq"))])
+    seen = running(_numbered(records), ["source_file"], "block", ["line_no"], _highest(), state)
     return seen.where(F.col("seq") > F.coalesce("highest", F.lit(-1))).drop("highest")
 
 
-def event_usage(records: DataFrame) -> DataFrame:
-    """Usage rows of assistant messages; reasoning is inside output, cache outside input."""
-    state = [Last("model_now", F.col("header_model")), First("cwd_now", F.col("header_cwd"))]
-    placed = running(records.where("is_event"), ["source_file"], "block", ["line_no"], state)
+def sequenced_usage(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Usage rows of logs that may be delivered again: known sequence numbers change nothing."""
+    return event_usage(keep_new_sequence(records, state), state)
+
+
+def sequenced_state(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    highest = final_values(_numbered(records), ["source_file"], "block", ["line_no"], _highest(), state)
+    return highest.join(event_state(keep_new_sequence(records, state), state), "source_file", "left")
+
+
+def _specs() -> list:
+    return [
+        Last("model_now", F.col("header_model")),
+        First("cwd_now", F.col("header_cwd")),
+        Count("events", F.lit(True)),
+    ]
+
+
+def event_state(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Per file what a later batch must know: model, directory and events so far."""
+    return final_values(records.where("is_event"), ["source_file"], "block", ["line_no"], _specs(), state)
+
+
+def event_usage(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Usage rows of assistant messages; reasoning is inside output, cache outside input. ``state``
+    continues files whose earlier lines were read in another batch."""
+    placed = running(records.where("is_event"), ["source_file"], "block", ["line_no"], _specs(), state)
     rows = placed.where(F.col("inputTokens").isNotNull() | F.col("outputTokens").isNotNull())
     n = {f: F.coalesce(f, F.lit(0)) for f in USAGE_FIELDS}
     return as_usage(
@@ -108,8 +138,8 @@ def event_usage(records: DataFrame) -> DataFrame:
         reasoning_in_output=F.lit(True),
         schema_exclusive=F.lit(True),
         source_file=F.col("source_file"),
-        line_no=F.col("line_no"),
-        event_key=F.concat_ws(":", F.col("source_file"), F.coalesce("seq", "line_no")),
+        line_no=F.col("events"),
+        event_key=F.concat_ws(":", F.col("source_file"), F.coalesce("seq", "events")),
     )
 
 

@@ -16,6 +16,9 @@ SKIPPED_DIRECTORIES = [
 ]
 MAX_DEPTH = 8
 
+# Room for one part's bytes where a part number and a block start share one block number.
+PART_SPACE = 1 << 40
+
 JSONL = "*.[jJ][sS][oO][nN][lL]"
 TABLE_FILES = "*.{[dD][bB],[sS][qQ][lL][iI][tT][eE],[sS][qQ][lL][iI][tT][eE]3}"
 COMPRESSED = "*.[jJ][sS][oO][nN][lL].{[zZ][sS][tT][dD],[zZ][sS][tT]}"

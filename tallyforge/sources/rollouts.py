@@ -121,44 +121,54 @@ def rollout_records(lines: DataFrame) -> DataFrame:
     return number_lines(cut(rows))
 
 
-def _state() -> list:
+def _specs() -> list:
     return [
         Last("previous", F.col("counters"), inclusive=False),
         Last("model_now", F.nullif(F.col("context_model"), F.lit(""))),
         Last("session_now", F.col("meta_session")),
         First("cwd_now", F.col("meta_cwd")),
         Count("segment", F.col("counters").isNotNull(), inclusive=False),
+        Count("lines", F.lit(True)),
     ]
 
 
-def rollout_usage(records: DataFrame, state: DataFrame | None = None, open_requests: DataFrame | None = None) -> DataFrame:
+def _anchors() -> list[Column]:
+    """First input item and last output item of a segment."""
+    return [
+        F.min_by("input_ms", F.when(F.col("input_ms").isNotNull(), F.col("line_no"))).alias("input_ms"),
+        F.max_by("output_ms", F.when(F.col("output_ms").isNotNull(), F.col("line_no"))).alias("output_ms"),
+    ]
+
+
+def _with_open_request(segments: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Continue the segment that an earlier batch left open."""
+    if state is None:
+        return segments
+    earlier = state.select("source_file", "segment", "open_input_ms", "open_output_ms")
+    joined = segments.join(earlier, ["source_file", "segment"], "left")
+    return joined.withColumns(
+        {
+            "input_ms": F.coalesce("open_input_ms", "input_ms"),
+            "output_ms": F.coalesce("output_ms", "open_output_ms"),
+        }
+    ).drop("open_input_ms", "open_output_ms")
+
+
+def rollout_usage(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """Usage rows from cumulative counters.
 
     Each usage event closes a segment; the first input item and the last output item of the segment bound
-    the request. ``state`` and ``open_requests`` continue files whose earlier lines were read before.
+    the request. ``state`` continues files whose earlier lines were read in another batch.
     """
-    placed = running(records.drop("title", "rate_limits", "is_last"), KEYS, CHUNK, ORDER, _state(), state)
-    first_input = F.min_by("input_ms", F.when(F.col("input_ms").isNotNull(), F.col("line_no")))
-    last_output = F.max_by("output_ms", F.when(F.col("output_ms").isNotNull(), F.col("line_no")))
+    placed = running(records.drop("title", "rate_limits", "is_last"), KEYS, CHUNK, ORDER, _specs(), state)
     event = F.struct(
-        "line_no", "ts_ms", "counters", "previous", "event_model", "model_now", "session_now", "cwd_now"
+        "lines", "ts_ms", "counters", "previous", "event_model", "model_now", "session_now", "cwd_now"
     )
     segments = placed.groupBy("source_file", "segment").agg(
-        first_input.alias("input_ms"),
-        last_output.alias("output_ms"),
-        F.first(F.when(F.col("counters").isNotNull(), event), ignorenulls=True).alias("e"),
+        *_anchors(), F.first(F.when(F.col("counters").isNotNull(), event), ignorenulls=True).alias("e")
     )
-    if open_requests is not None:
-        earlier = open_requests.select(
-            "source_file", "segment", F.col("input_ms").alias("open_input"), F.col("output_ms").alias("open_output")
-        )
-        segments = segments.join(earlier, ["source_file", "segment"], "left").withColumns(
-            {
-                "input_ms": F.coalesce("open_input", "input_ms"),
-                "output_ms": F.coalesce("output_ms", "open_output"),
-            }
-        )
-    closed = segments.where(F.col("e").isNotNull()).select("source_file", "segment", "input_ms", "output_ms", "e.*")
+    closed = _with_open_request(segments.where(F.col("e").isNotNull()), state)
+    closed = closed.select("source_file", "segment", "input_ms", "output_ms", "e.*")
     delta = {n: counter_delta(F.col(f"counters.{n}"), F.col(f"previous.{n}")) for n in COUNTERS}
     duration = accepted_duration(F.col("input_ms"), F.coalesce("output_ms", "ts_ms"))
     session = F.coalesce("session_now", text.file_stem(F.col("source_file")), F.lit("codex-session"))
@@ -179,39 +189,21 @@ def rollout_usage(records: DataFrame, state: DataFrame | None = None, open_reque
         total_override=delta["total"],
         schema_exclusive=F.lit(False),
         source_file=F.col("source_file"),
-        line_no=F.col("line_no"),
+        line_no=F.col("lines"),
         event_key=F.concat_ws(":", F.col("source_file"), F.col("segment")),
     )
 
 
 def rollout_state(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """Per file what a later batch must know: counters, model, session, directory, events so far."""
-    return final_values(records, KEYS, CHUNK, ORDER, _state(), state)
-
-
-def rollout_open_requests(records: DataFrame, state: DataFrame | None = None, open_requests: DataFrame | None = None) -> DataFrame:
-    """Anchors after each file's last usage event."""
-    placed = running(
-        records.select("source_file", "block", "line_no", "input_ms", "output_ms", "counters"),
-        KEYS, CHUNK, ORDER, [_state()[-1]],
-        None if state is None else state.select("source_file", "segment"),
-    )
-    anchors = placed.groupBy("source_file", "segment").agg(
-        F.min_by("input_ms", F.when(F.col("input_ms").isNotNull(), F.col("line_no"))).alias("input_ms"),
-        F.max_by("output_ms", F.when(F.col("output_ms").isNotNull(), F.col("line_no"))).alias("output_ms"),
-        F.bool_or(F.col("counters").isNotNull()).alias("closed"),
-    ).where("NOT closed").drop("closed")
-    if open_requests is None:
-        return anchors
-    earlier = open_requests.toDF("source_file", "segment", "open_input", "open_output")
-    ended = placed.where(F.col("counters").isNotNull()).select("source_file", "segment").distinct()
-    still_open = earlier.join(ended, ["source_file", "segment"], "left_anti")
-    return anchors.join(still_open, ["source_file", "segment"], "full").select(
-        "source_file",
-        "segment",
-        F.coalesce("open_input", "input_ms").alias("input_ms"),
-        F.coalesce("output_ms", "open_output").alias("output_ms"),
-    )
+    """Per file what a later batch must know: counters, model, session, directory, lines and usage events
+    so far, and the anchors of a request still open."""
+    ended = final_values(records, KEYS, CHUNK, ORDER, _specs(), state)
+    narrow = records.select("source_file", "block", "line_no", "input_ms", "output_ms", "counters")
+    segment = Count("segment", F.col("counters").isNotNull(), inclusive=False)
+    placed = running(narrow, KEYS, CHUNK, ORDER, [segment], state)
+    anchors = placed.where(F.col("counters").isNull()).groupBy("source_file", "segment").agg(*_anchors())
+    joined = _with_open_request(ended.join(anchors, ["source_file", "segment"], "left"), state)
+    return joined.withColumnsRenamed({"input_ms": "open_input_ms", "output_ms": "open_output_ms"})
 
 
 def rollout_files(records: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text
 from tallyforge.functions import variant as V
-from tallyforge.plans.ordered import First, running
+from tallyforge.plans.ordered import First, final_values, running
 from tallyforge.plans.staging import cut
 from tallyforge.schema import SOURCE_RELATIONAL, SOURCE_TRANSCRIPT, as_usage
-from tallyforge.sources.lines import number_lines
+from tallyforge.sources.lines import PART_SPACE, number_lines
 
 # Where tools put each field, in order of preference.
 USAGE_OBJECT = [
@@ -127,7 +127,9 @@ def _tokens() -> dict[str, Column]:
 
 
 def _position_key() -> Column:
-    return F.concat_ws(":", F.col("source_file"), F.col("line_no"))
+    """File, landed part (0 for files read whole) and line."""
+    part = F.call_function("div", F.col("block"), F.lit(PART_SPACE).cast("bigint"))
+    return F.concat_ws(":", F.col("source_file"), part, F.col("line_no"))
 
 
 def jsonl_usage(records: DataFrame, source: str = SOURCE_RELATIONAL) -> DataFrame:
@@ -185,12 +187,20 @@ def transcript_records(lines: DataFrame) -> DataFrame:
     return extract_records(lines, extra)
 
 
-def transcript_usage(records: DataFrame) -> DataFrame:
+def _first_cwd() -> list:
+    return [First("first_cwd", F.col("cwd"))]
+
+
+def transcript_state(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Per file what a later batch must know: the first working directory."""
+    return final_values(records, ["source_file"], "block", ["line_no"], _first_cwd(), state)
+
+
+def transcript_usage(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """Usage rows: assistant lines with tokens, cache outside input, last snapshot of each message per
-    file. Sidechain lines count."""
-    placed = running(
-        records.drop("is_last", "reason", "title"), ["source_file"], "block", ["line_no"], [First("first_cwd", F.col("cwd"))]
-    )
+    file. Sidechain lines count. ``state`` continues files whose earlier lines were read before."""
+    rows = records.drop("is_last", "reason", "title")
+    placed = running(rows, ["source_file"], "block", ["line_no"], _first_cwd(), state)
     tokens = F.coalesce("input_tokens", F.lit(0)), F.coalesce("output_tokens", F.lit(0))
     anonymous = F.concat_ws("-", F.lit("anon"), F.col("ts_ms"), *tokens)
     rows = placed.where(F.col("is_record") & (F.col("line_type") == "assistant") & ((tokens[0] > 0) | (tokens[1] > 0)))
