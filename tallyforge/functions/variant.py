@@ -16,81 +16,86 @@ _RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{
 _PLAIN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
 
 
-def parse_line(value: Column) -> Column:
-    """Array variant around one JSON value; NULL when the text is anything but JSON.
+def schema(leaves: list[str], **nested: str) -> str:
+    """Struct type with a VARIANT for every dotted path, plus given types for some names.
 
-    The brackets make text after the value an error, which the parser alone would let pass.
+    Parsing straight into such a struct reads a line once and keeps each value's own type; fields nobody
+    asked for are skipped unparsed.
     """
-    return F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
+    tree: dict = {}
+    for leaf in leaves:
+        *parents, last = leaf.split(".")
+        node = tree
+        for parent in parents:
+            node = node.setdefault(parent, {})
+        node.setdefault(last, "variant")
 
+    def render(node: dict) -> str:
+        fields = [f"`{k}`: {v if isinstance(v, str) else render(v)}" for k, v in node.items()]
+        return f"struct<{', '.join(fields)}>"
 
-def object_of(line: Column) -> Column:
-    """The object a parsed line consists of, NULL when the line is no single object."""
-    body = get(line, "$[0]")
-    single = get(line, "$[1]").isNull()
-    return F.when(single & is_object(body), body)
+    return render(_merged(tree, nested))
 
 
-def get(v: Column, path: str) -> Column:
-    """Value at a path, JSON null included."""
-    return F.try_variant_get(v, path, "variant")
+def _merged(tree: dict, nested: dict[str, str]) -> dict:
+    out = dict(tree)
+    for path, kind in nested.items():
+        node = out
+        *parents, last = path.split("__")
+        for parent in parents:
+            node[parent] = dict(node.get(parent, {}))
+            node = node[parent]
+        node[last] = kind
+    return out
 
 
-def present(v: Column, path: str) -> Column:
-    """Value at a path; JSON null counts as absent."""
-    found = get(v, path)
-    return F.when(~F.is_variant_null(found), found)
+def parse_object(value: Column, struct: str) -> Column:
+    """The one JSON object a line consists of, else NULL. The brackets turn text after the object into an
+    error, which the parser alone would let pass."""
+    items = F.from_json(_bracketed(value), f"array<{struct}>")
+    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
 
 
-def candidates(v: Column, paths: list[str]) -> Column:
-    """Values at several paths as one array. Alias lists are searched with array functions: written out as
-    one expression per alias they outgrow what the code generator can compile."""
-    return F.array(*[get(v, p) for p in paths])
+def is_json(value: Column) -> Column:
+    """Is the text exactly one JSON value?"""
+    items = F.try_parse_json(_bracketed(value))
+    return items.isNotNull() & F.try_variant_get(items, "$[1]", "variant").isNull()
 
 
-def is_present(v: Column) -> Column:
-    return v.isNotNull() & ~F.is_variant_null(v)
+def _bracketed(value: Column) -> Column:
+    return F.concat(F.lit("["), value, F.lit("]"))
 
 
-def first_present(v: Column, paths: list[str]) -> Column:
-    return F.get(F.filter(candidates(v, paths), is_present), F.lit(0))
+def present(v: Column) -> Column:
+    """JSON null counts as absent."""
+    return F.when(~F.is_variant_null(v), v)
 
 
-def any_present(v: Column, paths: list[str]) -> Column:
-    return F.exists(candidates(v, paths), is_present)
-
-
-def first_object(v: Column, paths: list[str]) -> Column:
-    return F.get(F.filter(candidates(v, paths), is_object), F.lit(0))
-
-
-def first_filled_text(v: Column, paths: list[str]) -> Column:
-    """First path holding text that is not blank."""
-    texts = F.transform(candidates(v, paths), lambda c: text_at(c))
-    return F.get(F.filter(texts, lambda t: t.rlike(r"[^\p{IsWhite_Space}]")), F.lit(0))
+def first_present(values: list[Column]) -> Column:
+    return F.coalesce(*[present(v) for v in values])
 
 
 def kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def is_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+def text_of(v: Column) -> Column:
+    """String value; other types give NULL."""
+    return F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def text_at(v: Column, path: str = "$") -> Column:
-    """String at a path; other types give NULL."""
-    return F.when(kind(get(v, path)) == "STRING", F.try_variant_get(v, path, "string"))
+def text_at(v: Column, path: str) -> Column:
+    return text_of(F.try_variant_get(v, path, "variant"))
 
 
-def long_at(v: Column, path: str) -> Column:
-    """Integer number at a path; other types give NULL."""
-    return F.when(kind(get(v, path)) == "BIGINT", F.try_variant_get(v, path, "bigint"))
+def long_of(v: Column) -> Column:
+    """Integer number; other types give NULL."""
+    return F.when(kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
 
 
-def count_at(v: Column, path: str) -> Column:
-    """Unsigned integer number at a path; other types and negative numbers give NULL."""
-    n = long_at(v, path)
+def count_of(v: Column) -> Column:
+    """Unsigned integer number; other types and negative numbers give NULL."""
+    n = long_of(v)
     return F.when(n >= 0, n)
 
 
@@ -114,10 +119,12 @@ def to_count(v: Column) -> Column:
     )
 
 
-def pick_count(v: Column, aliases: list[str]) -> Column:
-    """First alias whose value is a count."""
-    counts = F.transform(candidates(v, [f"$.{a}" for a in aliases]), to_count)
-    return F.get(F.array_compact(counts), F.lit(0))
+def pick_count(values: list[Column]) -> Column:
+    """First value that is a count. Almost always the first value there is, so the search through all of
+    them is kept out of the generated code of the usual case."""
+    first = F.coalesce(*values)
+    searched = F.get(F.array_compact(F.transform(F.array(*values), to_count)), F.lit(0))
+    return F.coalesce(to_count(first), F.when(first.isNotNull(), searched))
 
 
 def epoch_ms(n: Column) -> Column:

@@ -32,39 +32,48 @@ BATCH_LINES = 8_192
 BLOCK_LINES = 65_536
 
 
-def _time_of(node: Column) -> Column:
-    stamp = V.text_at(node, "$.timestamp")
+_DATA = V.schema(
+    ["header", "config", "model", "modelId", "selection", "cwd"], usage=V.schema(USAGE_FIELDS)
+)
+_ENVELOPE = ["type", "seq", "time", "timestamp"]
+_LINE = V.schema(
+    _ENVELOPE, data=_DATA, usage=V.schema(USAGE_FIELDS), event=V.schema(_ENVELOPE, data=_DATA)
+)
+
+
+def _time_of(node: str) -> Column:
+    stamp = V.text_of(F.col(f"{node}.timestamp"))
     number = F.when(F.trim(stamp).rlike(r"^[+-]?[0-9]+$"), F.trim(stamp).try_cast("bigint"))
     return F.coalesce(
-        V.long_at(node, "$.time"), V.long_at(node, "$.timestamp"), V.parse_rfc3339(stamp), number
+        V.long_of(F.col(f"{node}.time")), V.long_of(F.col(f"{node}.timestamp")), V.parse_rfc3339(stamp), number
     )
 
 
+def _data_text(path: str) -> Column:
+    """Text at a dotted path of ``data``."""
+    first, _, rest = path.partition(".")
+    leaf = F.col(f"data.{first}")
+    return V.text_at(leaf, f"$.{rest}") if rest else V.text_of(leaf)
+
+
 def event_records(lines: DataFrame) -> DataFrame:
     """Numbered rows of the event envelope, either bare or nested under ``event``."""
-    parsed = lines.withColumn("line", V.object_of(V.parse_line(F.col("value"))))
-    line = F.col("line")
-    bare = V.get(line, "$.type").isNotNull()
-    opened = parsed.withColumn("event", V.get(line, "$.event")).withColumn(
-        "node", F.when(bare, line).otherwise(V.get(line, "$.event"))
-    )
-    event, node = F.col("event"), F.col("node")
-    split = opened.select(
+    parsed = lines.withColumn("line", V.parse_object(F.col("value"), _LINE))
+    bare = F.col("line.type").isNotNull()
+    split = parsed.select(
         "source_file",
         "block",
         "pos",
-        "line",
-        V.text_at(node, "$.type").alias("kind"),
-        V.get(node, "$.data").alias("data"),
-        F.coalesce(V.long_at(event, "$.seq"), V.long_at(line, "$.seq")).alias("seq"),
-        F.coalesce(_time_of(event), _time_of(line), F.lit(0)).alias("ts_ms"),
-    ).withColumn(
-        "usage", F.when(F.col("kind") == "assistant/message", F.coalesce(V.get(F.col("data"), "$.usage"), V.get(line, "$.usage")))
-    )
+        V.text_of(F.when(bare, F.col("line.type")).otherwise(F.col("line.event.type"))).alias("kind"),
+        F.when(bare, F.col("line.data")).otherwise(F.col("line.event.data")).alias("data"),
+        F.coalesce(V.long_of(F.col("line.event.seq")), V.long_of(F.col("line.seq"))).alias("seq"),
+        F.coalesce(_time_of("line.event"), _time_of("line"), F.lit(0)).alias("ts_ms"),
+        F.col("line.usage").alias("line_usage"),
+    ).withColumn("usage", F.when(F.col("kind") == "assistant/message", F.coalesce("data.usage", "line_usage")))
     header = F.col("kind").isin("request/header", "model/selection")
-    named = F.transform(V.candidates(F.col("data"), [f"$.{p}" for p in MODEL_PATHS]), lambda c: V.text_at(c))
-    model = F.get(F.filter(named, lambda t: t != ""), F.lit(0))
-    cwd = V.first_filled_text(F.col("data"), [f"$.{p}" for p in CWD_PATHS])
+    model = F.coalesce(*[F.nullif(_data_text(p), F.lit("")) for p in MODEL_PATHS])
+    filled = [_data_text(p) for p in CWD_PATHS]
+    cwd = F.coalesce(*[F.when(t.rlike(r"[^\p{IsWhite_Space}]"), t) for t in filled])
     rows = split.select(
         "source_file",
         "block",
@@ -74,7 +83,7 @@ def event_records(lines: DataFrame) -> DataFrame:
         "ts_ms",
         F.when(header, model).alias("header_model"),
         F.when(header, cwd).alias("header_cwd"),
-        *[V.count_at(F.col("usage"), f"$.{f}").alias(f) for f in USAGE_FIELDS],
+        *[V.count_of(F.col(f"usage.{f}")).alias(f) for f in USAGE_FIELDS],
     )
     return number_lines(cut(rows))
 

@@ -45,76 +45,87 @@ def accepted_duration(start: Column, end: Column) -> Column:
     return F.when((length >= MIN_REQUEST_MS) & (length <= MAX_REQUEST_MS), length)
 
 
-def _counters(totals: Column) -> Column:
+_LIMITS = [f"{w}.{f}" for w in ("primary", "secondary") for f in ("used_percent", "window_minutes", "resets_at")]
+_LINE = V.schema(
+    [
+        "type",
+        "timestamp",
+        *[f"payload.{f}" for f in ("type", "role", "session_id", "id", "cwd", "model", "message", "content")],
+        "payload.info.model",
+        *[f"payload.info.total_token_usage.{key}" for key in COUNTERS.values()],
+        *[f"payload.rate_limits.{f}" for f in ("limit_id", "plan_type", *_LIMITS)],
+    ]
+)
+
+
+def _counters(totals: str) -> Column:
     """Struct of counters, or NULL when the object or one of its values has the wrong type."""
-    values, sound = [], V.is_object(totals)
+    values, sound = [], F.col(totals).isNotNull()
     for name, key in COUNTERS.items():
-        missing = V.get(totals, f"$.{key}").isNull()
-        value = F.when(missing, F.lit(0)).otherwise(V.count_at(totals, f"$.{key}"))
-        values.append(value.cast("bigint").alias(name))
-        sound = sound & value.isNotNull()
+        leaf = F.col(f"{totals}.{key}")
+        count = V.count_of(leaf)
+        values.append(F.coalesce(count, F.lit(0).cast("bigint")).alias(name))
+        sound = sound & (leaf.isNull() | count.isNotNull())
     return F.when(sound, F.struct(*values))
 
 
-def _limit_window(limits: Column, name: str) -> Column:
-    at = f"$.{name}"
+def _limit_window(name: str) -> Column:
+    at = f"payload.rate_limits.{name}"
     return F.struct(
-        F.try_variant_get(limits, f"{at}.used_percent", "double").alias("used_percent"),
-        V.count_at(limits, f"{at}.window_minutes").alias("window_minutes"),
-        V.long_at(limits, f"{at}.resets_at").alias("resets_at"),
+        F.try_variant_get(F.col(f"{at}.used_percent"), "$", "double").alias("used_percent"),
+        V.count_of(F.col(f"{at}.window_minutes")).alias("window_minutes"),
+        V.long_of(F.col(f"{at}.resets_at")).alias("resets_at"),
     ).alias(name)
 
 
 def rollout_records(lines: DataFrame) -> DataFrame:
     """Numbered rows with only what the counting needs."""
     wanted = F.contains("value", F.lit('"type"'))
-    parsed = lines.withColumn("json", F.when(wanted, V.parse_line(F.col("value")))).withColumn(
-        "line", V.object_of(F.col("json"))
-    )
-    line = F.col("line")
+    parsed = lines.withColumn("line", F.when(wanted, V.parse_object(F.col("value"), _LINE)))
     bodies = parsed.select(
         "source_file",
         "block",
         "pos",
-        V.text_at(line, "$.type").alias("kind"),
-        V.parse_rfc3339(V.text_at(line, "$.timestamp")).alias("ts_ms"),
-        V.get(line, "$.payload").alias("payload"),
+        V.text_of(F.col("line.type")).alias("kind"),
+        V.parse_rfc3339(V.text_of(F.col("line.timestamp"))).alias("ts_ms"),
+        F.col("line.payload").alias("payload"),
+        V.text_of(F.col("line.payload.type")).alias("payload_type"),
+        V.text_of(F.col("line.payload.role")).alias("role"),
     )
-    payload, kind, ts = F.col("payload"), F.col("kind"), F.col("ts_ms")
-    event, item_type = V.text_at(payload, "$.type"), V.text_at(payload, "$.type")
-    token_event = (kind == "event_msg") & (event == "token_count")
-    named = F.coalesce(V.get(payload, "$.session_id"), V.get(payload, "$.id"))
-    model = F.coalesce(V.get(payload, "$.model"), V.get(payload, "$.info.model"))  # JSON null still decides
+    kind, ts, payload_type = F.col("kind"), F.col("ts_ms"), F.col("payload_type")
+    token_event = (kind == "event_msg") & (payload_type == "token_count")
     item = (kind == "response_item") & (ts > 0)
-    feeds = is_request_input(item_type, V.text_at(payload, "$.role"))
+    feeds = is_request_input(payload_type, F.col("role"))
+    # A JSON null in the first place still decides.
+    session = F.coalesce(F.col("payload.session_id"), F.col("payload.id"))
+    model = F.coalesce(F.col("payload.model"), F.col("payload.info.model"))
     said = F.when(
-        (item_type == "message") & (V.text_at(payload, "$.role") == "user"),
-        V.first_text_part(V.get(payload, "$.content"), ["text", "input_text"]),
+        (payload_type == "message") & (F.col("role") == "user"),
+        V.first_text_part(F.col("payload.content"), ["text", "input_text"]),
     )
     title = F.when(kind == "response_item", said).when(
-        (kind == "event_msg") & (event == "user_message"), V.text_at(payload, "$.message")
+        (kind == "event_msg") & (payload_type == "user_message"), V.text_of(F.col("payload.message"))
     )
-    limits = V.present(payload, "$.rate_limits")
     rows = bodies.select(
         "source_file",
         "block",
         "pos",
         F.coalesce(ts, F.lit(0)).alias("ts_ms"),
-        F.when(kind == "session_meta", F.coalesce(V.text_at(named), F.lit(""))).alias("meta_session"),
-        F.when(kind == "session_meta", V.text_at(payload, "$.cwd")).alias("meta_cwd"),
-        F.when(kind == "turn_context", V.text_at(payload, "$.model")).alias("context_model"),
+        F.when(kind == "session_meta", F.coalesce(V.text_of(session), F.lit(""))).alias("meta_session"),
+        F.when(kind == "session_meta", V.text_of(F.col("payload.cwd"))).alias("meta_cwd"),
+        F.when(kind == "turn_context", V.text_of(F.col("payload.model"))).alias("context_model"),
         F.when(item & feeds, ts).alias("input_ms"),
         F.when(item & ~feeds, ts).alias("output_ms"),
         text.normalize_title(title).alias("title"),
-        F.when(token_event, _counters(V.get(payload, "$.info.total_token_usage"))).alias("counters"),
-        F.when(token_event, F.nullif(V.text_at(model), F.lit(""))).alias("event_model"),
+        F.when(token_event, _counters("payload.info.total_token_usage")).alias("counters"),
+        F.when(token_event, F.nullif(V.text_of(model), F.lit(""))).alias("event_model"),
         F.when(
-            token_event & V.is_object(limits),
+            token_event & F.col("payload.rate_limits").isNotNull(),
             F.struct(
-                V.text_at(limits, "$.limit_id").alias("limit_id"),
-                _limit_window(limits, "primary"),
-                _limit_window(limits, "secondary"),
-                V.text_at(limits, "$.plan_type").alias("plan_type"),
+                V.text_of(F.col("payload.rate_limits.limit_id")).alias("limit_id"),
+                _limit_window("primary"),
+                _limit_window("secondary"),
+                V.text_of(F.col("payload.rate_limits.plan_type")).alias("plan_type"),
             ),
         ).alias("rate_limits"),
     )

@@ -46,41 +46,53 @@ MAX_LINE_BYTES = 8 * 1024 * 1024
 MAX_TRANSCRIPT_BYTES = 256 * 1024 * 1024
 
 
-def _paths(names: list[str]) -> list[str]:
-    return [f"$.{n}" for n in names]
+_USAGE_LEAVES = [*INPUT, *OUTPUT, *REASONING, *CACHE_READ, *CACHE_WRITE, *DURATION, *TTFT, "status", "model"]
+_LINE_LEAVES = [
+    *_USAGE_LEAVES, *MODEL, *TIMESTAMP, *SESSION, *PROJECT,
+    "type", "summary", "uuid", "message.id", "message.content",
+]
+_LINE = V.schema(
+    _LINE_LEAVES, **{path.replace(".", "__"): V.schema(_USAGE_LEAVES) for path in USAGE_OBJECT}
+)
 
 
-def _first_text(v: Column, names: list[str]) -> Column:
-    """The first present field decides; if it is not text there is no value."""
-    return V.text_at(V.first_present(v, _paths(names)))
+def _under(parent: str, names: list[str]) -> list[Column]:
+    return [F.col(f"{parent}.{n}") for n in names]
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
-    """Variants needed below; each is computed once. ``line`` is NULL where no JSON object was found."""
+    """``line`` is the parsed object (NULL where there is none) and ``usage`` its usage object: the first
+    path that holds an object, else the line itself when it has a token field."""
     fits = F.octet_length("value") <= MAX_LINE_BYTES
-    wrapped = lines.withColumn("json", F.when(fits, V.parse_line(F.col("value"))))
-    bodies = wrapped.withColumn("line", V.object_of(F.col("json")))
-    nested = V.first_object(F.col("line"), _paths(USAGE_OBJECT))
-    flat = V.any_present(F.col("line"), _paths(INPUT + OUTPUT))
-    return bodies.withColumn("usage", F.coalesce(nested, F.when(flat, F.col("line"))))
+    bodies = lines.withColumn("line", F.when(fits, V.parse_object(F.col("value"), _LINE)))
+    roots = list(dict.fromkeys(leaf.split(".")[0] for leaf in _USAGE_LEAVES))
+    flat = F.when(
+        V.first_present(_under("line", INPUT + OUTPUT)).isNotNull(), F.struct(*[F.col(f"line.{r}") for r in roots])
+    )
+    return bodies.withColumn("usage", F.coalesce(*_under("line", USAGE_OBJECT), flat))
 
 
 def _fields() -> dict[str, Column]:
-    line, usage = F.col("line"), F.col("usage")
-    status = F.coalesce(V.present(usage, "$.status"), V.present(line, "$.status"))
+    def text_in(names: list[str]) -> Column:
+        """The first present field decides; if it is not text there is no value."""
+        return V.text_of(V.first_present(_under("line", names)))
+
+    def count(names: list[str]) -> Column:
+        return V.pick_count(_under("usage", names))
+
     return {
-        "ts_ms": V.parse_ts(V.first_present(line, _paths(TIMESTAMP))),
-        "model": F.coalesce(_first_text(line, MODEL), V.text_at(usage, "$.model"), F.lit("unknown")),
-        "line_session": _first_text(line, SESSION),
-        "line_project": _first_text(line, PROJECT),
-        "input_tokens": V.pick_count(usage, INPUT),
-        "output_tokens": V.pick_count(usage, OUTPUT),
-        "reasoning_tokens": V.pick_count(usage, REASONING),
-        "cache_read_tokens": V.pick_count(usage, CACHE_READ),
-        "cache_write_tokens": V.pick_count(usage, CACHE_WRITE),
-        "duration_ms": V.pick_count(usage, DURATION),
-        "ttft_ms": V.pick_count(usage, TTFT),
-        "status": V.text_at(status),
+        "ts_ms": V.parse_ts(V.first_present(_under("line", TIMESTAMP))),
+        "model": F.coalesce(text_in(MODEL), V.text_of(F.col("usage.model")), F.lit("unknown")),
+        "line_session": text_in(SESSION),
+        "line_project": text_in(PROJECT),
+        "input_tokens": count(INPUT),
+        "output_tokens": count(OUTPUT),
+        "reasoning_tokens": count(REASONING),
+        "cache_read_tokens": count(CACHE_READ),
+        "cache_write_tokens": count(CACHE_WRITE),
+        "duration_ms": count(DURATION),
+        "ttft_ms": count(TTFT),
+        "status": V.text_of(V.first_present([F.col("usage.status"), F.col("line.status")])),
     }
 
 
@@ -94,22 +106,21 @@ def extract_records(lines: DataFrame, extra: dict[str, Column] | None = None) ->
         "source_file",
         "block",
         "pos",
-        F.col("value").rlike(r"[^\s]").alias("has_text"),
-        F.col("json").isNotNull().alias("is_json"),
-        F.col("line").isNotNull().alias("is_object"),
-        (F.octet_length("value") > MAX_LINE_BYTES).alias("oversized"),
+        F.when(F.col("line").isNull(), F.struct("value")).alias("refused"),
         *[c.alias(n) for n, c in fields.items()],
     )
     has_tokens = F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull()
-    reason = (
-        F.when(~F.col("has_text"), None)
-        .when(F.col("oversized"), "oversized line")
-        .when(~F.col("is_json"), "not JSON")
-        .when(~F.col("is_object"), "not an object")
-        .when(has_tokens & F.col("ts_ms").isNull(), "tokens without a timestamp")
+    body = F.col("refused.value")
+    why = (
+        F.when(~body.rlike(r"[^\s]"), None)
+        .when(F.octet_length(body) > MAX_LINE_BYTES, "oversized line")
+        .when(V.is_json(body), "not an object")
+        .otherwise("not JSON")
     )
+    undated = F.when(has_tokens & F.col("ts_ms").isNull(), "tokens without a timestamp")
+    reason = F.when(F.col("refused").isNotNull(), why).otherwise(undated)
     judged = row.withColumns({"reason": reason, "is_record": has_tokens & F.col("ts_ms").isNotNull()})
-    return number_lines(cut(judged.drop("has_text", "is_json", "is_object", "oversized")))
+    return number_lines(cut(judged.drop("refused")))
 
 
 def _tokens() -> dict[str, Column]:
@@ -165,24 +176,22 @@ def keep_last_snapshot(rows: DataFrame, keys: list[str], order: str) -> DataFram
     return last.select(*keys, "last.*").select(*rows.columns)
 
 
-def _user_title(line: Column) -> Column:
-    content = V.get(line, "$.message.content")
-    words = F.coalesce(V.text_at(content), V.first_text_part(content, ["text"]))
+def _user_title(content: Column) -> Column:
+    words = F.coalesce(V.text_of(content), V.first_text_part(content, ["text"]))
     return text.normalize_title(words, reject_interrupted=True)
 
 
 def transcript_records(lines: DataFrame) -> DataFrame:
     """Numbered rows of assistant-style transcripts with what their metadata lines say."""
-    line = F.col("line")
-    line_type = V.text_at(line, "$.type")
-    summary = text.normalize_title(V.text_at(line, "$.summary"), reject_interrupted=True)
-    title = F.when(line_type == "summary", summary).when(line_type == "user", _user_title(line))
+    line_type = V.text_of(F.col("line.type"))
+    summary = text.normalize_title(V.text_of(F.col("line.summary")), reject_interrupted=True)
+    said = _user_title(F.col("line.message.content"))
     extra = {
         "line_type": line_type,
-        "message_id": V.text_at(line, "$.message.id"),
-        "uuid": V.text_at(line, "$.uuid"),
-        "cwd": V.text_at(line, "$.cwd"),
-        "title": title,
+        "message_id": V.text_of(F.col("line.message.id")),
+        "uuid": V.text_of(F.col("line.uuid")),
+        "cwd": V.text_of(F.col("line.cwd")),
+        "title": F.when(line_type == "summary", summary).when(line_type == "user", said),
     }
     return extract_records(lines, extra)
 
