@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,7 @@ MAX_COMPRESSED_BYTES = 64 * 1024 * 1024
 LINES = "source_file string, block bigint, pos bigint, value string"
 # Lines handed to the JVM at a time, and per block of a decompressed file.
 BATCH_LINES = 8_192
+READ_BYTES = 1 << 20
 BLOCK_LINES = 65_536
 
 
@@ -165,28 +167,26 @@ def read_event_logs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return event_usage(records), event_files(records)
 
 
-def _decompress(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import io
-
+def _text_lines(content: bytes) -> Iterator[str]:
+    """Lines of zstd frames, a piece at a time."""
     import pyarrow as pa
 
-    def batch(path, first, lines):
-        numbers = range(first, first + len(lines))
-        return pd.DataFrame(
-            {"source_file": path, "block": [n // BLOCK_LINES for n in numbers], "pos": numbers, "value": lines}
-        )
+    rest = b""
+    with pa.CompressedInputStream(pa.BufferReader(content), "zstd") as stream:
+        while piece := stream.read(READ_BYTES):
+            *whole, rest = (rest + piece).split(b"\n")
+            yield from (line.decode("utf-8", "replace") for line in whole)
+    if rest:
+        yield rest.decode("utf-8", "replace")
 
+
+def _decompress(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for path, content in zip(frame["source_file"], frame["content"]):
-            stream = pa.CompressedInputStream(pa.BufferReader(content), "zstd")
-            first, lines = 0, []
-            for line in io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline="\n"):
-                lines.append(line.rstrip("\n"))
-                if len(lines) == BATCH_LINES:
-                    yield batch(path, first, lines)
-                    first, lines = first + len(lines), []
-            if lines:
-                yield batch(path, first, lines)
+            numbered = enumerate(_text_lines(content))
+            while batch := list(islice(numbered, BATCH_LINES)):
+                rows = [(path, n // BLOCK_LINES, n, line) for n, line in batch]
+                yield pd.DataFrame(rows, columns=["source_file", "block", "pos", "value"])
 
 
 def scan_compressed_lines(spark: SparkSession, root: str) -> DataFrame:

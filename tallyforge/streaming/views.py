@@ -14,6 +14,9 @@ LATENESS = "1 day"
 
 
 def _timed(usage: DataFrame, lateness: str) -> DataFrame:
+    """Event time with a watermark; a stream may have only one, so a deduplicated one keeps its own."""
+    if "ts" in usage.columns:
+        return usage
     return usage.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", lateness)
 
 
@@ -29,7 +32,7 @@ def _bounds(df: DataFrame) -> DataFrame:
 def dedup_live(usage: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Drop re-deliveries inside the watermark; rows later than that are dropped too, so this is for live
     views only."""
-    return _timed(usage, lateness).dropDuplicatesWithinWatermark(USAGE_KEY).drop("ts")
+    return _timed(usage, lateness).dropDuplicatesWithinWatermark(USAGE_KEY)
 
 
 def live_model_trend(usage: DataFrame, width: str = "1 hour", lateness: str = LATENESS) -> DataFrame:
