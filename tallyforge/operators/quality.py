@@ -44,7 +44,7 @@ def ingest_audit(accepted: DataFrame, rejects: DataFrame, listed: DataFrame | No
     return Audit(files, recent, untracked)
 
 
-def failure_streaks(log: DataFrame, chunk_ms: int = 24 * HOUR_MS) -> DataFrame:
+def failure_streaks(log: DataFrame, chunk_ms: int = HOUR_MS) -> DataFrame:
     """Per cycle of each source: failures in a row so far, and whether the error is shown.
 
     ``log`` has source, ts_ms, seq, ok. A success resets the streak; a lone failure is shown once the last

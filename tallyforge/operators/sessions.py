@@ -12,7 +12,7 @@ from tallyforge.functions.text import file_stem, folder_name, prefix_session, tr
 from tallyforge.operators.aggs import ADDITIVE, hit_rate, merged_measures, usage_measures
 from tallyforge.operators.trends import bucket_edge, bucket_index
 from tallyforge.plans.ordered import Last, running
-from tallyforge.plans.ranges import HOUR_MS, MINUTE_MS
+from tallyforge.plans.ranges import MINUTE_MS
 from tallyforge.schema import SOURCE_RELATIONAL
 
 # Fixed values.
@@ -215,10 +215,10 @@ def model_switches(usage: DataFrame, from_ms: int | None = None, limit: int = SW
     if from_ms is not None:
         rows = rows.where(F.col("ts_ms") >= from_ms)
     rows = rows.select(*SESSION, "ts_ms", "source_file", "line_no", "model").withColumn(
-        "hour", F.call_function("div", F.col("ts_ms"), F.lit(HOUR_MS).cast("bigint"))
+        "minute", F.call_function("div", F.col("ts_ms"), F.lit(MINUTE_MS).cast("bigint"))
     )
     order = ["ts_ms", "source_file", "line_no"]
-    seen = running(rows, SESSION, "hour", order, [Last("previous", F.struct("model"), inclusive=False)])
+    seen = running(rows, SESSION, "minute", order, [Last("previous", F.struct("model"), inclusive=False)])
     switched = seen.where(F.col("previous").isNull() | (F.col("previous.model") != F.col("model")))
     place = F.row_number().over(Window.partitionBy(*SESSION).orderBy(*order))
     return switched.withColumn("place", place).where(F.col("place") <= limit).select(

@@ -88,7 +88,7 @@ def _samples(rows: DataFrame, keys: list[str]) -> DataFrame:
             entry("tps", F.col("generated") * F.lit(1000.0) / F.col("gen_ms"), F.col("generated"), off),
         ),
     )
-    long = rows.select(*keys, F.explode(F.array_compact(entries)).alias("s"))
+    long = rows.select(*keys, F.explode(entries).alias("s")).where(F.col("s").isNotNull())
     return long.select(*keys, "s.*", q.coarse_bucket(F.col("s.value")).alias("bucket"))
 
 

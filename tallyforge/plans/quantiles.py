@@ -98,6 +98,7 @@ def pick(samples: DataFrame, targets: DataFrame, small: bool, keys: list[str], r
         .groupBy(*group, "rank", "bucket", "value")
         .agg(F.sum("c").alias("c"))
         .withColumn("fine", _fine_bucket(F.col("value"), F.col("bucket")))
+        .repartition(*group, "fine")
     )
     slices = counted.groupBy(*group, "rank", "fine").agg(F.sum("c").alias("c"))
     before = Window.partitionBy(*group).orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,7 +107,7 @@ def pick(samples: DataFrame, targets: DataFrame, small: bool, keys: list[str], r
         .where((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("c")))
         .select(*group, "fine", "below")
     )
-    upto = Window.partitionBy(*group).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*group, "fine").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
         counted.join(chosen, [*group, "fine"])
         .withColumn("through", F.col("below") + F.sum("c").over(upto))

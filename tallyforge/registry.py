@@ -594,7 +594,7 @@ def dedup_replay(spark, sf_dir):
 
 # --- streams: the tables are landed in parts, read until nothing is left, and the stored result returned ----
 
-PARTS = 3
+PARTS = 2
 LOGS = 16
 
 

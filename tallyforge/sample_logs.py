@@ -16,7 +16,9 @@ def _base(events: DataFrame, logs: int | None = None) -> DataFrame:
     """One log per user, or users spread over a fixed number of logs."""
     eid = F.col("event_id")
     log = F.col("user_id") if logs is None else F.col("user_id") % logs
-    return events.select(
+    # The event table may be one small file; real logs are many, and are read by as many tasks.
+    tasks = events.sparkSession.sparkContext.defaultParallelism
+    return events.repartition(tasks, "event_id").select(
         eid,
         F.concat(F.lit("/logs/f"), log.cast("string"), F.lit(".jsonl")).alias("source_file"),
         F.call_function("div", eid, F.lit(BLOCK_LINES).cast("bigint")).alias("block"),

@@ -65,18 +65,26 @@ def _text_columns() -> list[Column]:
 
 
 def scan_lines(
-    spark: SparkSession, root: str | list[str], glob: str = JSONL, changed_since: str | None = None
+    spark: SparkSession,
+    root: str | list[str],
+    glob: str = JSONL,
+    changed_since: str | None = None,
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
     """Text lines of all matching files below ``root`` (or several roots).
 
     ``changed_since`` (ISO time) re-reads only files modified after it, for logs that still grow.
+    ``max_file_bytes`` leaves out files that are too long to be session logs; by default none is.
     """
     roots = [root] if isinstance(root, str) else root
     reader = spark.read.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     reader = reader.option("lineSep", "\n")
     if changed_since is not None:
         reader = reader.option("modifiedAfter", changed_since)
-    return reader.load(roots).select(*_text_columns())
+    files = reader.load(roots)
+    if max_file_bytes is not None:
+        files = files.where(F.col("_metadata.file_size") <= max_file_bytes)
+    return files.select(*_text_columns())
 
 
 def number_lines(lines: DataFrame) -> DataFrame:

@@ -58,15 +58,15 @@ _LINE = V.schema(
 )
 
 
-def _counters(totals: str) -> Column:
+def _counter(leaf: Column) -> Column:
+    """One counter: a missing one is 0, anything but an unsigned integer is below 0."""
+    return F.coalesce(V.long_of(leaf), F.when(leaf.isNull(), F.lit(0)).otherwise(F.lit(-1)).cast("bigint"))
+
+
+def _counters() -> Column:
     """Struct of counters, or NULL when the object or one of its values has the wrong type."""
-    values, sound = [], F.col(totals).isNotNull()
-    for name, key in COUNTERS.items():
-        leaf = F.col(f"{totals}.{key}")
-        count = V.count_of(leaf)
-        values.append(F.coalesce(count, F.lit(0).cast("bigint")).alias(name))
-        sound = sound & (leaf.isNull() | count.isNotNull())
-    return F.when(sound, F.struct(*values))
+    values = [F.col(f"counter_{name}") for name in COUNTERS]
+    return F.when(F.least(*values) >= 0, F.struct(*[v.alias(name) for v, name in zip(values, COUNTERS)]))
 
 
 def _limit_window(name: str) -> Column:
@@ -91,7 +91,8 @@ def rollout_records(lines: DataFrame) -> DataFrame:
         F.col("line.payload").alias("payload"),
         V.text_of(F.col("line.payload.type")).alias("payload_type"),
         V.text_of(F.col("line.payload.role")).alias("role"),
-    )
+        F.col("line.payload.info.total_token_usage").alias("totals"),
+    ).withColumns({f"counter_{name}": _counter(F.col(f"totals.{key}")) for name, key in COUNTERS.items()})
     kind, ts, payload_type = F.col("kind"), F.col("ts_ms"), F.col("payload_type")
     token_event = (kind == "event_msg") & (payload_type == "token_count")
     item = (kind == "response_item") & (ts > 0)
@@ -117,7 +118,7 @@ def rollout_records(lines: DataFrame) -> DataFrame:
         F.when(item & feeds, ts).alias("input_ms"),
         F.when(item & ~feeds, ts).alias("output_ms"),
         text.normalize_title(title).alias("title"),
-        F.when(token_event, _counters("payload.info.total_token_usage")).alias("counters"),
+        F.when(token_event & F.col("totals").isNotNull(), _counters()).alias("counters"),
         F.when(token_event, F.nullif(V.text_of(model), F.lit(""))).alias("event_model"),
         F.when(
             token_event & F.col("payload.rate_limits").isNotNull(),
