@@ -13,6 +13,7 @@ from tallyforge.operators.sessions import active_session_card
 from tallyforge.plans.ranges import (
     DAY_MS,
     ROLLING_RANGES,
+    Span,
     explode_members,
     filter_range,
     has_bit,
@@ -21,6 +22,7 @@ from tallyforge.plans.ranges import (
     membership,
     span_of,
 )
+from tallyforge.plans.staging import literal_rows
 
 _ROLLUP = ["requests", "input", "cache_read_sum", "cache_write_sum", "output", "reasoning_sum", "total"]
 
@@ -62,10 +64,8 @@ def range_totals(usage: DataFrame, now_ms: int, tz: str = "UTC") -> DataFrame:
     mask = membership([F.col("ts_ms").between(s.from_ms, s.to_ms) for s in spans.values()])
     classes = usage.withColumn("mask", mask).groupBy("mask").agg(*aggs.usage_measures())
     present = classes.withColumn("range_key", explode_members(F.col("mask"), ROLLING_RANGES)).drop("mask")
-    spine = usage.sparkSession.createDataFrame(
-        [(key, s.from_ms, s.to_ms, s.buckets) for key, s in spans.items()],
-        "range_key string, from_ms bigint, to_ms bigint, buckets bigint",
-    )
+    spine = literal_rows(usage.sparkSession, [{"range_key": key, **s._asdict()} for key, s in spans.items()])
+    spine = spine.withColumns({c: F.col(c).cast("bigint") for c in Span._fields})
     keys = ["range_key", "from_ms", "to_ms", "buckets"]
     return (
         spine.join(present, "range_key", "left")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import caliber
 from tallyforge.functions.text import canonical_model_key
 from tallyforge.functions.times import peak_tier
+from tallyforge.plans.staging import broadcast_if_small
 
 PRICE_FIELDS = ["input_per_m", "cache_hit_per_m", "cache_write_per_m", "cache_storage_per_m", "output_per_m"]
 TIERS = ["peak", "offpeak"]
@@ -47,8 +48,7 @@ def effective_prices(rules: DataFrame, overrides: DataFrame, now_ms: int) -> Dat
         "match_key", F.lit(True).alias("o_found"), F.col("currency").alias("o_currency"),
         *[F.col(f).alias(f"o_{f}") for f in PRICE_FIELDS],
     )
-    both = overrides.sparkSession.createDataFrame([(t,) for t in TIERS], "time_tier string")
-    o = o.crossJoin(F.broadcast(both))
+    o = o.withColumn("time_tier", F.explode(F.array(*map(F.lit, TIERS))))
     joined = base.join(o, ["match_key", "time_tier"], "full")
 
     overridden = F.coalesce("o_found", F.lit(False))
@@ -106,11 +106,10 @@ def _priced(rows: DataFrame, prices: DataFrame) -> DataFrame:
         .when(F.col("input_schema") == "inclusive", F.col("input_inclusive"))
         .otherwise(F.col("input_auto"))
     )
-    found = prices.withColumn("priced", F.lit(True))
     return (
-        keyed.join(found, ["match_key", "time_tier"], "left")
+        keyed.join(prices, ["match_key", "time_tier"], "left")
         .withColumn("billed_input", billed)
-        .withColumn("priced", F.coalesce("priced", F.lit(False)))
+        .withColumn("priced", F.col("currency").isNotNull())
     )
 
 
@@ -134,8 +133,8 @@ def cost_cny(usd_cny: float) -> Column:
 
 
 def record_cost(usage: DataFrame, prices: DataFrame, usd_cny: float) -> DataFrame:
-    """Usage rows with ``cost_cny`` and ``priced``. Spark broadcasts the price table when its own size
-    check allows and joins by shuffle otherwise."""
+    """Usage rows with ``cost_cny`` and ``priced``. The price table is broadcast after its rows were counted,
+    and joined by shuffle when there are too many."""
     rows = usage.select(
         "*",
         peak_tier(F.col("ts_ms")).alias("time_tier"),
@@ -146,7 +145,7 @@ def record_cost(usage: DataFrame, prices: DataFrame, usd_cny: float) -> DataFram
         caliber.zero_if_null("cache_write_tokens").alias("cache_write"),
         F.col("output_tokens").alias("output"),
     )
-    priced = _priced(rows, prices)
+    priced = _priced(rows, broadcast_if_small(prices))
     return priced.select(*[priced[c] for c in usage.columns], cost_cny(usd_cny).alias("cost_cny"), "tier", "priced")
 
 

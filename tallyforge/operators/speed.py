@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import caliber
 from tallyforge.plans import quantiles as q
 from tallyforge.plans.ranges import DAY_MS, explode_members, membership
-from tallyforge.plans.staging import small_or_lazy
+from tallyforge.plans.staging import literal_rows, small_or_lazy
 
 # Trailing windows compared on the speed card, and the change called flat.
 SPEED_WINDOWS_MS = {"24h": DAY_MS, "7d": 7 * DAY_MS}
@@ -166,7 +166,8 @@ def speed_windows(usage: DataFrame, now_ms: int, keys: list[str] | None = None)
         *keys, explode_members(F.col("mask"), names).alias("window"), "generated", "gen_ms", "samples",
         "approximate", "completed",
     )
-    spine = usage.sparkSession.createDataFrame([(n, ms) for n, ms in SPEED_WINDOWS_MS.items()], "window string, window_ms bigint")
+    spine = literal_rows(usage.sparkSession, [{"window": n, "window_ms": ms} for n, ms in SPEED_WINDOWS_MS.items()])
+    spine = spine.withColumn("window_ms", F.col("window_ms").cast("bigint"))
     if keys:
         spine = usage.select(*keys).distinct().crossJoin(spine)
     zero = F.lit(0).cast("bigint")

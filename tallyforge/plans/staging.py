@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BROADCAST_ROW_LIMIT = 20_000
 
@@ -43,6 +44,18 @@ def small_or_lazy(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> tuple[
     return df.sparkSession.createDataFrame(rows, df.schema), True
 
 
+def literal_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """A few constant rows, planned as an expression so that Spark knows they are few."""
+    structs = [F.struct(*[F.lit(value).alias(name) for name, value in row.items()]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def broadcast_if_small(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Broadcast after counting; a larger frame is joined the way Spark chooses."""
+    df, small = small_or_lazy(df, row_limit)
+    return F.broadcast(df) if small else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for a job's own tables, in the shared checkpoint folder when there is one."""
     root = checkpoint_root(spark) or tempfile.gettempdir()
