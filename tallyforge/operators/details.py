@@ -118,16 +118,17 @@ def overview_card(usage: DataFrame, prices: DataFrame, usd_cny: float, now_ms: i
     """Today in one row: tokens, cost, hit rate, requests and models by size."""
     span = span_of(usage, "today", now_ms, tz)
     today = filter_range(usage, span.from_ms, span.to_ms)
-    by_model = aggs.usage_agg(today, ["model"])
-    whole = by_model.agg(
-        *aggs.merged_measures(),
-        F.sort_array(F.collect_list(F.struct("total", "model")), asc=False).alias("by_size"),
+    models = pricing.priced_models(today, prices, usd_cny)
+    whole = models.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("total_tokens", "requests")],
+        F.sum("cache_read_sum").alias("cache_read_sum"),
+        F.sum("hit_input_total").alias("hit_input_total"),
+        F.coalesce(F.sum("cost_cny"), F.lit(0.0)).alias("total_cost_cny"),
+        F.coalesce(F.bool_and("priced"), F.lit(True)).alias("fully_priced"),
+        F.sort_array(F.collect_list(F.struct("total_tokens", "model")), asc=False).alias("by_size"),
     )
-    cost = pricing.cost_summary(today, prices, usd_cny)
-    # Both sides are one row.
-    joined = whole.crossJoin(F.broadcast(cost.select("total_cost_cny", "fully_priced")))
-    return joined.select(
-        F.col("total").alias("today_tokens"),
+    return whole.select(
+        F.col("total_tokens").alias("today_tokens"),
         "requests",
         aggs.hit_rate(),
         "total_cost_cny",

@@ -88,6 +88,7 @@ def price_basis(usage: DataFrame, keys: list[str] | None = None) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("requests"),
             total(caliber.display_total(), "total"),
+            total(caliber.hit_denominator(), "hit_input_total"),
             total(caliber.billable_input("exclusive"), "input_exclusive"),
             total(caliber.billable_input("inclusive"), "input_inclusive"),
             total(caliber.billable_input(None), "input_auto"),
@@ -149,24 +150,37 @@ def record_cost(usage: DataFrame, prices: DataFrame, usd_cny: float) -> DataFram
     return priced.select(*[priced[c] for c in usage.columns], cost_cny(usd_cny).alias("cost_cny"), "tier", "priced")
 
 
-def cost_by_model(usage: DataFrame, prices: DataFrame, usd_cny: float, keys: list[str] | None = None) -> DataFrame:
-    """Cost and priced flag per raw model, dearest first."""
-    keys = [*(keys or []), "model"]
-    priced = _priced(price_basis(usage, keys[:-1]), prices)
+def priced_models(usage: DataFrame, prices: DataFrame, usd_cny: float, keys: list[str] | None = None) -> DataFrame:
+    """Per raw model: tokens, cache figures, cost and whether it has a price, from one scan."""
+    keys = keys or []
+
+    def total(name: str, out: str) -> Column:
+        return F.sum(name).cast("bigint").alias(out)
+
     return (
-        priced.groupBy(*keys)
+        _priced(price_basis(usage, keys), prices)
+        .groupBy(*keys, "model")
         .agg(
             F.sum(cost_cny(usd_cny)).alias("cost_cny"),
             F.bool_or("priced").alias("priced"),
-            F.sum("total").cast("bigint").alias("total_tokens"),
+            total("total", "total_tokens"),
+            total("requests", "requests"),
+            total("cache_read", "cache_read_sum"),
+            total("hit_input_total", "hit_input_total"),
         )
-        .orderBy(F.desc("cost_cny"), *keys)
     )
 
 
+def cost_by_model(usage: DataFrame, prices: DataFrame, usd_cny: float, keys: list[str] | None = None) -> DataFrame:
+    """Cost and priced flag per raw model, dearest first."""
+    keys = [*(keys or []), "model"]
+    models = priced_models(usage, prices, usd_cny, keys[:-1])
+    return models.select(*keys, "cost_cny", "priced", "total_tokens").orderBy(F.desc("cost_cny"), *keys)
+
+
 def cost_summary(usage: DataFrame, prices: DataFrame, usd_cny: float) -> DataFrame:
     """One row: totals, whether everything had a price, and the sorted names that had none."""
-    models = cost_by_model(usage, prices, usd_cny)
+    models = priced_models(usage, prices, usd_cny)
     return models.agg(
         F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("bigint").alias("total_tokens"),
         (F.coalesce(F.sum("cost_cny"), F.lit(0.0)) + F.lit(0.0)).alias("total_cost_cny"),
