@@ -1,4 +1,4 @@
-"""Reference answers in SQL, written independently of the DataFrame code."""
+"""Expected answers in SQL, written independently of the DataFrame code."""
 
 from __future__ import annotations
 

@@ -13,7 +13,7 @@ from tallyforge.functions import text
 from tallyforge.functions.times import peak_tier
 from tallyforge.operators import aggs, details, pricing, quality, sessions, speed, trends
 from tallyforge.plans.ordered import Last, running
-from tallyforge.plans.ranges import DAY_MS, filter_range, in_range, resolve_span
+from tallyforge.plans.ranges import DAY_MS, filter_range, resolve_span
 from tallyforge.plans.staging import scratch_path
 from tallyforge.schema import SOURCE_ROLLOUT, SOURCES
 from tallyforge.sinks import exports

@@ -87,9 +87,6 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-ROLLUPS = ["today", "today_models", "all_models", "sessions", "bounds"]
-
-
 def write_rollups(usage: DataFrame, sessions: DataFrame, today: DataFrame, path: str) -> None:
     """Small tables that answer the first screen before live data is read. ``today`` is the usage of
     today's span."""

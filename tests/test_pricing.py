@@ -150,3 +150,11 @@ def test_listing(rules, overrides):
     assert [t.tier for t in rows["deepseek-v4-flash"].tiers] == ["peak", "offpeak"]
     assert rows["gpt-5.6-sol"].output_per_m == 16.0 and rows["gpt-5.6-sol"].promo_current is False
     assert rows["unlisted-model"].provider == "override" and rows["unlisted-model"].overridden
+
+
+def test_price_files(spark, tmp_path, rules, overrides):
+    for name, document in (("prices.json", fixtures.PRICE_DOCUMENT), ("overrides.json", fixtures.OVERRIDE_DOCUMENT)):
+        (tmp_path / name).write_text(json.dumps(document, indent=2))
+    read = source.price_rules(source.read_price_table(spark, str(tmp_path / "prices.json")))
+    assert read.exceptAll(rules).count() == 0 and read.count() == rules.count() == 6
+    assert source.read_overrides(spark, str(tmp_path / "overrides.json")).collect() == overrides.collect()

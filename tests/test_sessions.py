@@ -6,7 +6,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import details, quality, sessions
+from tallyforge.operators import aggs, details, quality, sessions
 from tallyforge.plans.ranges import DAY_MS
 from tallyforge.sinks import exports
 
@@ -94,6 +94,13 @@ def test_switch_limit(usage_of):
     assert len(rows) == 50 and rows[-1].ts_ms == 49 * 3_000_000
 
 
+def test_top_models_and_one_session(usage_of):
+    usage = usage_of(*[dict(session_id="s", model=f"m{i}", output_tokens=i) for i in range(5)], dict(session_id="S", model="x"))
+    mine = aggs.by_session(usage, "s")
+    assert [r.model for r in sessions.top_models(aggs.group_by_model(mine), 2).collect()] == ["m4", "m3"]
+    assert aggs.by_model(mine, "M1").count() == 0 and aggs.by_model(mine, "m1").count() == 1
+
+
 def test_session_detail(usage_of):
     usage = usage_of(*[dict(session_id="s", ts_ms=t, output_tokens=1, model="m" if t else "n") for t in (0, 5, 10)], dict(session_id="t"))
     detail = sessions.session_detail(usage, "zcode", "s")
