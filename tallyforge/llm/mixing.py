@@ -64,7 +64,15 @@ def mix_sources(
     last. A source without words has target 0 and no copies. Repeated rows are rows of their own; which of
     equal rows is copied does not show. Null doc_id: sorted first. Empty table: no rows.
     """
-    sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mix_sized(sizes, seed, weights, total_share, most, chunk_rows).drop("s")
+
+
+def mix_sized(
+    sizes: DataFrame, seed: int = 0, weights=WEIGHTS, total_share=TOTAL_SHARE, most=MOST_COPIES, chunk_rows=CHUNK_ROWS
+) -> DataFrame:
+    """``mix_sources`` for rows whose ``size`` is known, with the source as ``s`` too ("=" and the name, null "-")."""
+    sized = staged(sizes.select("doc_id", "source", "size"), "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     targets = source_targets(sources.select("source", "source_size"), weights, total_share, most)
     plan = (
@@ -91,5 +99,23 @@ def mix_sources(
     since = (F.col("start") + F.col("place") - 1) * F.col("expected") + F.col("offset")
     copies = (F.floor(upto) - F.floor(since)).cast("long")
     return ranked.select(
-        "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "doc_id", "s", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def repeat_mixed(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns.
+
+    Copies are joined back by doc_id, source and size; rows equal in these are numbered, and each takes its
+    own count. Null ids and sources are values like others.
+    """
+    key = ["__mix_id", "__mix_source", "__mix_size"]
+    text_or = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    keyed = docs.withColumns(dict(zip(key, (text_or("doc_id"), text_or("source"), word_count(F.col("text"))), strict=True)))
+    mixed = mix_sized(keyed.select("doc_id", "source", F.col(key[2]).alias("size")), seed, **options)
+    mixed = mixed.select(text_or("doc_id").alias(key[0]), "s", F.col("size").alias(key[2]), "copies")
+    counts = mixed.withColumnRenamed("s", key[1]).groupBy(*key).agg(F.collect_list("copies").alias("__mix_counts"))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))
+    rows = keyed.join(counts, key).withColumn("__mix_copies", F.element_at("__mix_counts", number))
+    again = rows.withColumn("__mix_again", F.explode(F.array_repeat(F.lit(0), F.col("__mix_copies").cast("int"))))
+    return again.select(*docs.columns)

@@ -201,3 +201,22 @@ def score_severity(docs: DataFrame, model: SeverityModel, limit: float = 0.5) ->
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score_severity(docs, fit_severity(docs, labels))
+
+
+def keep_clean(docs: DataFrame, model: SeverityModel, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns.
+
+    Rows are scored where they lie, so texts are not shuffled and repeated or null ids do no harm.
+    """
+
+    def filter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = bytetext.Hasher(seed=3)
+        for batch in batches:
+            clean = []
+            for row, end, data, bounds in bytetext.pieces(batch.column("text")):
+                text, feature, _ = present(*features_of(hasher, data, bounds)[:2], model.hashes)
+                clean.append(model.exceed(np.bincount(text, model.weights[feature], minlength=end - row))[:, 0] <= limit)
+            if clean:
+                yield batch.filter(pa.array(np.concatenate(clean)))
+
+    return docs.mapInArrow(filter_rows, docs.schema)
