@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext, near_links
@@ -23,7 +23,8 @@ LINK_FUNCTIONS = 128
 ROWS = 4
 PERCENT = 80
 SEED = 7
-CHUNK_IDS = 4096
+CHUNK_ROWS = 512  # documents of a range, while there are fewer than MOST_CHUNKS ranges
+MOST_CHUNKS = 20_000
 
 
 def universal_signature(sets: np.ndarray, firsts: np.ndarray, functions: int = LINK_FUNCTIONS) -> np.ndarray:
@@ -92,21 +93,16 @@ def near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
     return near_links.near_components(prints, sets_of, percent)
 
 
-def following_ids(ids: DataFrame) -> DataFrame:
-    """``doc_id, next_id``: for each id the next smaller one, for the smallest the largest.
-
-    Ids are ordered within chunks of ``CHUNK_IDS`` consecutive numbers; only one row per chunk is ordered
-    over all.
-    """
-    chunk = F.floor(F.col("doc_id") / F.lit(CHUNK_IDS))
-    known = ids.select("doc_id").distinct().withColumn("chunk", chunk)
-    edges = known.groupBy("chunk").agg(F.max("doc_id").alias("top"))
-    below = F.lag("top").over(Window.orderBy("chunk"))
-    largest = F.max("top").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    edges = edges.select("chunk", F.coalesce(below, largest).alias("before_chunk"))
-    smaller = F.lag("doc_id").over(Window.partitionBy("chunk").orderBy("doc_id"))
-    inside = known.select("doc_id", "chunk", smaller.alias("smaller"))
-    return inside.join(edges, "chunk").select("doc_id", F.coalesce("smaller", "before_chunk").alias("next_id"))
+def range_tops(ids: DataFrame, chunk_rows: int = CHUNK_ROWS, most: int = MOST_CHUNKS) -> np.ndarray:
+    """Ids that cut the order of ids into ranges of about ``chunk_rows`` rows: the largest id of each range,
+    ascending. There are at most ``most`` of them, whatever the table's size."""
+    n = ids.count()
+    if not n:
+        return np.zeros(0, np.int64)
+    ranges = max(1, min(most, -(-n // chunk_rows)))
+    shares = [(i + 1) / ranges for i in range(ranges)]
+    row = ids.agg(F.percentile_approx("doc_id", shares, ranges * 10).alias("tops"), F.max("doc_id").alias("last")).first()
+    return np.unique(np.array([*row["tops"], row["last"]], np.int64))
 
 
 RESULT = (
@@ -119,23 +115,66 @@ def compare_edited(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, function
     """Fingerprints of every document and of its edited text, and how alike they are.
 
     The edited text is the document with its last floor(n_chars / 2) code points replaced by the first as many
-    (or all) of the next document, in descending order of doc_id; the first follows the last. Own fingerprints
-    are made before the shuffle, so that only the half of each text that stays and the part of it that the
-    document before needs are moved.
+    (or all) of the next document, in descending order of doc_id; the first follows the last.
+
+    Ids are cut into ranges at quantiles (bounded in number). Every text is shuffled once, to its range; the
+    largest document of a range also visits the range above, where it is the next of the smallest. Within a
+    range rows stream past in order and only one document waits for its next.
 
-    Null text is empty. Of rows with equal doc_id the one with the smallest text is what its predecessor
-    takes; each row is returned. Rows with a null doc_id are left out: they have no place in the order.
+    Null text is empty. Of rows with equal doc_id the smallest text is what the document before takes; each
+    row is returned. Rows with a null doc_id are left out: they have no place in the order. Empty table: no
+    rows. A single document is its own next. Other columns are not read.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    sizes = staged(rows.select("doc_id", F.length("text").alias("n_chars")), "fingerprint-sizes")
-    order = following_ids(sizes)
-    needed = order.join(sizes, "doc_id").groupBy("next_id").agg(F.max(F.expr("n_chars div 2")).cast("int").alias("needed"))
-    plan = staged(order.join(needed.withColumnRenamed("next_id", "doc_id"), "doc_id"), "fingerprint-plan")
+    tops = range_tops(rows.select("doc_id"))
+    names = ["range", "visits", "doc_id", "text", "print"]
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Fingerprinter(shingle_words, functions)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, as_binary(maker.of(batch.column(1)))], ["doc_id", "text", "print"])
-
-    printed = rows.mapInArrow(first_pass, "doc_id long, text string, print binary")
-    return printed, plan
+            ids = batch.column(0).to_numpy()
+            prints = as_binary(maker.of(batch.column(1)))
+            at = np.searchsorted(tops, ids)
+            is_top = np.flatnonzero(tops[at] == ids)
+            own = [pa.array(at), pa.array(np.zeros(len(ids), bool)), *batch.columns, prints]
+            yield pa.RecordBatch.from_arrays(own, names)
+            visit = [c.take(pa.array(is_top)) for c in (*batch.columns, prints)]
+            above = (at[is_top] + 1) % len(tops)
+            yield pa.RecordBatch.from_arrays([pa.array(above), pa.array(np.ones(len(is_top), bool)), *visit], names)
+
+    printed = rows.mapInArrow(first_pass, "range long, visits boolean, doc_id long, text string, print binary")
+    ordered = printed.repartition("range").sortWithinPartitions("range", "visits", F.desc("doc_id"), "text")
+
+    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Fingerprinter(shingle_words, functions)
+        columns = [part.split()[0] for part in RESULT.split(", ")]
+        waiting: list[tuple] = []  # rows of one document that wait for the next document
+        for batch in batches:
+            ready: list[tuple] = []
+            for at, visits, doc_id, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if waiting and (waiting[0][:2] != (at, doc_id) or visits):
+                    if waiting[0][0] == at:
+                        ready += [(*w[1:], text, own) for w in waiting]
+                    waiting = []
+                if not visits:
+                    waiting.append((at, doc_id, text, own))
+            if not ready:
+                continue
+            edited = []
+            for _, text, _, following, _ in ready:
+                half = len(text) // 2
+                edited.append(text[: len(text) - half] + following[:half])
+            mine, theirs = (np.array([np.frombuffer(r[i], ">u2") for r in ready]) for i in (2, 4))
+            changed = maker.of(pa.array(edited, pa.string()))
+            made = [
+                pa.array([r[0] for r in ready], pa.int64()),
+                pa.array([len(r[1]) for r in ready], pa.int64()),
+                pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
+                pa.array([r[2].hex() for r in ready]),
+                pa.array([c.tobytes().hex() for c in changed]),
+                pa.array(likeness(mine, changed)),
+                pa.array(likeness(mine, theirs)),
+            ]
+            yield pa.RecordBatch.from_arrays(made, columns)
+
+    return ordered.mapInArrow(second_pass, RESULT)
