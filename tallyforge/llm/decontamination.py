@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bytetext
+from . import bitmap, bytetext
 from .storage import staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -24,8 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MASKS = ("1101101", "1110111", "11101011")
 MIN_WORDS = 12
 MIN_SHARE = 0.75
-FILTER_BITS = 27  # a bitmap of 16 MB, whatever the size of the benchmark
-FILTER_WORDS = 1 << 20  # words of the bitmap that may be set before it is left out
+FILTER_BITS = 27  # a filter of 16 MB, whatever the size of the benchmark
 
 
 def seed_hashes(words: np.ndarray, firsts: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -71,26 +70,12 @@ def benchmark_seeds(items: DataFrame, masks: tuple[str, ...], min_words: int) ->
     return words, staged(words.mapInArrow(seeds_of, "h long, item_id long, at int"), "benchmark-seeds")
 
 
-def seed_filter(seeds: DataFrame, bits: int = FILTER_BITS, most: int = FILTER_WORDS):
-    """A bitmap of fixed size with the bits of all seeds set, or None if over ``most`` of its words are set.
-    It only spares the join rows without a partner; without it every row is joined."""
-    place = F.shiftrightunsigned("h", 64 - bits)
-    word = seeds.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, %d) & 63 as int))" % (64 - bits))).alias("set"))
-    rows = word.limit(most + 1).toArrow()
-    if rows.num_rows > most:
-        return None
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    bitmap[rows["word"].to_numpy()] = rows["set"].to_numpy().view(np.uint64)
-    return bitmap
-
-
-def document_hits(docs: DataFrame, masks: tuple[str, ...], bitmap, bits: int = FILTER_BITS) -> DataFrame:
-    """``h, doc_id, place`` of the seeds in documents whose bit is set (all seeds without a bitmap)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None
+def document_hits(docs: DataFrame, masks: tuple[str, ...], seen: np.ndarray | None) -> DataFrame:
+    """``h, doc_id, place`` of the seeds in documents that pass the filter (all seeds without one)."""
+    shared = docs.sparkSession.sparkContext.broadcast(seen) if seen is not None else None
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, wordy = bytetext.Hasher(seed=6), bytetext.letters_and_digits()
-        bitmap = shared.value if shared is not None else None
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for row, end, data, bounds in bytetext.pieces(batch.column(1)):
@@ -99,9 +84,8 @@ def document_hits(docs: DataFrame, masks: tuple[str, ...], bitmap, bits: int = F
                 text = np.repeat(np.arange(end - row), np.diff(firsts))
                 for mask in masks:
                     h, at = seed_hashes(words, firsts, mask)
-                    if bitmap is not None:
-                        place = h >> np.uint64(64 - bits)
-                        ok = np.flatnonzero((bitmap[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+                    if shared is not None:
+                        ok = bitmap.passes(shared.value, h)
                         h, at = h[ok], at[ok]
                     if len(h):
                         made = (bytetext.signed(h), ids[row:end][text[at]], (at - firsts[text[at]]).astype(np.int32))
@@ -143,7 +127,7 @@ def find_contamination(
     holds adds rows in proportion to its occurrences only.
     """
     words, seeds = benchmark_seeds(items, masks, min_words)
-    hits = document_hits(docs, masks, seed_filter(seeds))
+    hits = document_hits(docs, masks, bitmap.build(seeds, "h", FILTER_BITS))
     diagonal = (F.col("place") - F.col("at")).alias("shift")
     candidates = hits.join(seeds, "h").select("doc_id", "item_id", diagonal).distinct()
     per_item = candidates.groupBy("doc_id", "item_id").agg(F.collect_list("shift").alias("shifts")).join(words, "item_id")
@@ -174,8 +158,8 @@ def find_contamination(
                             out.append((ids[i], candidate["item_id"], *best))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(found, "doc_id").select("doc_id", "text", "found")
+    found = staged(found, "benchmark-found")
+    texts = bitmap.rows_with_ids(docs, found.select("doc_id")).join(found, "doc_id").select("doc_id", "text", "found")
     verified = texts.mapInArrow(verify, RESULT)
-    return verified.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", *[n for n in names[2:] if n != "n_matched"])).alias("best")).select(
-        "doc_id", "item_id", *[f"best.{n}" for n in names[2:]]
-    )
+    best = F.max(F.struct("n_matched", *[n for n in names[2:] if n != "n_matched"])).alias("best")
+    return verified.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[f"best.{n}" for n in names[2:]])

@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bytetext
+from . import bitmap, bytetext
 from .components import components
 from .storage import discard, staged
 
@@ -76,7 +76,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, shingle_words: int, word_table
                 lists = bytetext.list_column(bytetext.signed(sets), firsts)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[row:end], lists], ["doc_id", "grams"])
 
-    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+    chosen = bitmap.rows_with_ids(docs, ids).join(ids, "doc_id", "left_semi")
     return chosen.mapInArrow(sets_of, "doc_id long, grams array<long>")
 
 
