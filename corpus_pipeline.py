@@ -22,16 +22,18 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id, once."""
+    """One document of each near-duplicate group, the one with the smallest id; repeated rows once. Rows
+    without an id stay."""
     gone = near_dedup.near_duplicates(docs, SHINGLE_WORDS).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone, "doc_id", "left_anti").where("doc_id is not null").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an overlap with a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = decontamination.find_contamination(docs, items).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
