@@ -24,9 +24,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SAMPLE_ROWS = 5_000  # labelled documents of each class that the model is fitted on, at most
 FEATURES = 4_000  # weights of the model, at most
 PREFIXES = (4, 5, 6)  # bytes of a word's beginning that are features beside the word
-GRADE_CUTS = (2, 5)  # telling words up to which a toxic document has grade 1, 2; more is grade 3
+GRADE_CUTS = (4, 8)  # telling features (words and beginnings) up to which a toxic document has grade 1, 2; more is grade 3
+LEAST_Z = 3.0  # standard errors by which a feature must differ between the classes
 TELLING_ODDS = 8.0  # a feature is telling if it is so many times as frequent in toxic documents
 PENALTY = 1e-4
+REJECT_OVER = 0.25  # P(grade > 0) over which a document is rejected
 
 
 @dataclass
@@ -145,7 +147,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     in_bad, in_good = (F.col("bad") + 0.5) / (sizes[1] + 1), (F.col("seen") - F.col("bad") + 0.5) / (sizes[0] + 1)
     error = F.sqrt(in_bad * (1 - in_bad) / sizes[1] + in_good * (1 - in_good) / sizes[0])
     ranked = counted.select("h", (in_bad / in_good).alias("odds"), F.abs((in_bad - in_good) / error).alias("z"))
-    chosen = ranked.where("odds = odds and z = z").orderBy(F.desc("z"), "h").limit(n_features).collect()
+    chosen = ranked.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "h").limit(n_features).collect()
     known = np.array([r["h"] for r in chosen], np.int64).view(np.uint64)
     order = np.argsort(known)
     known, telling = known[order], np.array([r["odds"] >= TELLING_ODDS for r in chosen])[order]
@@ -174,7 +176,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 RESULT = "doc_id long, n_words long, grade int, p_toxic double, severity double, rejected boolean"
 
 
-def score_severity(docs: DataFrame, model: SeverityModel, limit: float = 0.5) -> DataFrame:
+def score_severity(docs: DataFrame, model: SeverityModel, limit: float = REJECT_OVER) -> DataFrame:
     """One row per document: most probable grade, P(grade > 0), expected severity (0 to 3), and whether
     P(grade > 0) is over ``limit``.
 
@@ -203,7 +205,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score_severity(docs, fit_severity(docs, labels))
 
 
-def keep_clean(docs: DataFrame, model: SeverityModel, limit: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, model: SeverityModel, limit: float = REJECT_OVER) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns.
 
     Rows are scored where they lie, so texts are not shuffled and repeated or null ids do no harm.
