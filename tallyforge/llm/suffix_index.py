@@ -31,6 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH = 200
 GRAM = 64
 PLACE_BITS = 28
+CLASS = 16  # strings compared at a time
 BATCHES = 4
 
 
@@ -81,7 +82,7 @@ def sampled_suffixes(hasher: ByteHasher, data: np.ndarray, bounds: np.ndarray, l
     return np.searchsorted(bounds, low, "right") - 1, at, low, high, names[at], whole
 
 
-SUFFIX = "key long, whole long, doc_id long, at int, low int, high int"
+SUFFIX = "key long, whole long, doc_id long, at int, left int, wide int"
 
 
 def suffix_table(docs: DataFrame, length: int) -> DataFrame:
@@ -95,7 +96,7 @@ def suffix_table(docs: DataFrame, length: int) -> DataFrame:
                 text, at, low, high, key, whole = sampled_suffixes(hasher, data, bounds, length)
                 if len(text):
                     start = bounds[text]
-                    places = [(x - start).astype(np.int32) for x in (at, low, high)]
+                    places = [x.astype(np.int32) for x in (at - start, at - low, high - low)]
                     made = (bytetext.signed(key), bytetext.signed(whole), ids[row:end][text], *places)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names)
 
@@ -103,6 +104,13 @@ def suffix_table(docs: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(sample, SUFFIX)
 
 
+def combined(suffixes: DataFrame, *more) -> DataFrame:
+    """Each distinct (key, whole) once, with its number of occurrences and the place of one. ``left`` and
+    ``wide`` (how far before ``at`` its strings start, and how many more there are) follow from ``whole``."""
+    place = (F.min("doc_id").alias("doc_id"), F.min_by("at", "doc_id").alias("at"), F.min("left").alias("left"), F.min("wide").alias("wide"))
+    return suffixes.groupBy("key", "whole").agg(F.sum("n").alias("n"), *place, *more)
+
+
 class SuffixIndex:
     """Suffix arrays of all batches added so far, in levels of geometrically growing size.
 
@@ -132,14 +140,12 @@ class SuffixIndex:
         """Build the batch's suffix array, scan it against the levels, and merge it into them."""
         suffixes = suffix_table(docs, self.length).repartition(self.buckets, "key")
         self.arrays.append(self._write(suffixes))
-        one = F.struct("doc_id", "at", "low", "high").alias("one")
-        distinct = self.spark.table(self.arrays[-1]).groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(one).alias("one"))
-        fresh = self._write(distinct)
+        fresh = self._write(combined(self.spark.table(self.arrays[-1]).withColumn("n", F.lit(1).cast("long"))))
         self._scan(fresh)
         level = 0
         while level in self.levels:
             both = self.spark.table(fresh).unionByName(self.spark.table(self.levels[level]))
-            merged = self._write(both.groupBy("key", "whole").agg(F.sum("n").alias("n"), F.min("one").alias("one")))
+            merged = self._write(combined(both))
             self._drop(fresh)
             self._drop(self.levels.pop(level))
             fresh, level = merged, level + 1
@@ -150,34 +156,35 @@ class SuffixIndex:
         rows = self.spark.table(fresh).withColumn("new", F.lit(True))
         for name in self.levels.values():
             rows = rows.unionByName(self.spark.table(name).withColumn("new", F.lit(False)))
-        rows = rows.groupBy("key", "whole").agg(F.sum("n").alias("n"), F.min("one").alias("one"), F.max("new").alias("new"))
+        rows = combined(rows, F.max("new").alias("new"))
         names = rows.groupBy("key").agg(F.sum("n").alias("all"), F.max("new").alias("new")).where("`all` > 1 and new").select("key")
-        self.met.append(staged(rows.join(names, "key", "left_semi").select("key", "whole", "n", "one"), "suffix-matches"))
+        self.met.append(staged(rows.join(names, "key", "left_semi").drop("new"), "suffix-matches"))
 
     def repeats(self, docs: DataFrame) -> DataFrame:
         """``doc_id, spans``: the strings of ``length`` bytes that occur more than once, as byte ranges.
 
         A stretch that occurs whole more than once is repeated whole. Where different stretches meet at one
-        name, one occurrence of each is read again and all its strings are compared. ``docs`` are all
-        documents added.
+        name, one occurrence of each is read again and compared class by class. ``docs`` are all documents
+        added.
         """
         met = self.met[0]
         for more in self.met[1:]:
             met = met.unionByName(more)
-        met = met.groupBy("key", "whole").agg(F.max("n").alias("n"), F.min("one").alias("one"))
+        met = combined(met, F.max("n").alias("most")).drop("n")
         kinds = met.groupBy("key").agg(F.count("*").alias("kinds"))
-        met = staged(met.join(kinds, "key").select("key", "whole", (F.col("n") > 1).alias("twice"), "one", "kinds"), "suffix-met")
-        partial = met.where("kinds > 1").select("key", "whole", "twice", "one.*")
-        strings = staged(string_names(docs, partial, self.length), "suffix-strings")
-        again = strings.groupBy("name").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("name")
-        offsets = strings.where("not twice").join(again, "name").groupBy("key", "whole").agg(F.collect_set("offset").alias("offsets"))
-        found = met.where("twice").select("key", "whole", F.lit(None).cast("array<int>").alias("offsets")).unionByName(offsets)
+        met = met.join(kinds, "key").withColumn("stretch", F.monotonically_increasing_id())
+        met = staged(met, "suffix-met")
+        partial = met.where("kinds > 1").select("stretch", "doc_id", "at", "left", "wide")
+        ranges = repeated_offsets(staged(string_classes(docs, partial, self.length), "suffix-classes"))
+        ranges = ranges.groupBy("stretch").agg(F.collect_list(F.struct("low", "high")).alias("offsets"))
+        found = met.where("most > 1").select("key", "whole", F.lit(None).cast("array<struct<low:int,high:int>>").alias("offsets"))
+        found = found.unionByName(met.where("most = 1").join(ranges, "stretch").select("key", "whole", "offsets"))
         found = staged(found, "suffix-found")
         everything = self.spark.table(self.arrays[0])
         for name in self.arrays[1:]:
             everything = everything.unionByName(self.spark.table(name))
         everything = everything.join(found.select("key").distinct(), "key", "left_semi")
-        spans = everything.join(found, ["key", "whole"]).select("doc_id", F.struct("low", "high", "at", "offsets").alias("span"))
+        spans = everything.join(found, ["key", "whole"]).select("doc_id", F.struct("at", "left", "wide", "offsets").alias("span"))
         return spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
     def close(self) -> None:
@@ -185,37 +192,77 @@ class SuffixIndex:
             self._drop(name)
 
 
-def string_names(docs: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
-    """``name, key, whole, offset, twice`` of every string of the stretches; ``offset`` is how far it starts
-    before the suffix (``at``)."""
-    schema = "name long, key long, whole long, offset int, twice boolean"
+def string_classes(docs: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
+    """``stretch, class, core, around, before, after``: the strings of the stretches, ``CLASS`` at a time.
+
+    A string starts ``offset`` bytes before its suffix; those with equal ``offset // CLASS`` are a class. All
+    contain its ``core`` and lie in ``around``, which is ``CLASS - 1`` bytes longer on either side (``before``
+    and ``after``, shorter at a text's ends). Both are named by hashes.
+    """
+    schema = "stretch long, class int, core long, around long, before binary, after binary"
     columns = [part.split()[0] for part in schema.split(", ")]
+    flank = CLASS - 1
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ByteHasher()
         for batch in batches:
             for row, end, data, bounds in bytetext.pieces(batch.column(1)):
                 lists = batch.column(2)[row:end]
-                flat = lists.flatten()
+                flat, each = lists.flatten(), lists.value_lengths().to_numpy()
                 if len(data) < length or not len(flat):
                     continue
-                names = hasher.windows(hasher.sums(data), length)
-                start = np.repeat(bounds[:-1], lists.value_lengths().to_numpy())
-                field = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("key", "whole", "at", "low", "high", "twice")}
-                size = np.repeat(bounds[1:] - bounds[:-1], lists.value_lengths().to_numpy())
-                count = np.maximum(np.minimum(field["high"] + 1, size - length + 1) - field["low"], 0)
+                field = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("stretch", "at", "left", "wide")}
+                least = (field["left"] - field["wide"]) // CLASS
+                count = field["left"] // CLASS - least + 1
                 pick = np.repeat(np.arange(len(count)), count)
-                place = field["low"][pick] + np.arange(len(pick)) - np.repeat(np.cumsum(count) - count, count)
-                made = (
-                    bytetext.signed(names[start[pick] + place]), field["key"][pick], field["whole"][pick],
-                    (field["at"][pick] - place).astype(np.int32), field["twice"][pick],
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], columns)
-
-    per_doc = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("key", "whole", "at", "low", "high", "twice")).alias("parts"))
+                kind = least[pick] + np.arange(len(pick)) - np.repeat(np.cumsum(count) - count, count)
+                start, stop = (np.repeat(b, each)[pick] for b in (bounds[:-1], bounds[1:]))
+                place = start + field["at"][pick] - kind * CLASS
+                fits = np.flatnonzero((place >= start) & (place + length - flank <= stop))
+                pick, kind, start, stop, place = (x[fits] for x in (pick, kind, start, stop, place))
+                sums = hasher.sums(data)
+                salt = kind.astype(np.uint64) * np.uint64(bytetext.STEP)
+                core = bytetext.mix(hasher.spans(sums, place, place + length - flank) + salt)
+                first, last = np.maximum(place - flank, start), np.minimum(place + length, stop)
+                around = bytetext.mix(hasher.spans(sums, first, last) + salt + (place - first).astype(np.uint64) * np.uint64(bytetext.COMBINE))
+                raw = data.tobytes()
+                before = pa.array([raw[a:b] for a, b in zip(first.tolist(), place.tolist(), strict=True)], pa.binary())
+                after = pa.array([raw[a:b] for a, b in zip((place + length - flank).tolist(), last.tolist(), strict=True)], pa.binary())
+                made = (field["stretch"][pick], kind.astype(np.int32), bytetext.signed(core), bytetext.signed(around))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, made), before, after], columns)
+
+    per_doc = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("stretch", "at", "left", "wide")).alias("parts"))
     per_doc = staged(per_doc, "suffix-stretches")
     texts = bitmap.rows_with_ids(docs, per_doc.select("doc_id"))
-    return texts.join(per_doc, "doc_id").select("doc_id", "text", "parts").mapInArrow(strings, schema)
+    return texts.join(per_doc, "doc_id").select("doc_id", "text", "parts").mapInArrow(classes, schema)
+
+
+def repeated_offsets(classes: DataFrame) -> DataFrame:
+    """``stretch, low, high``: ranges of offsets whose strings occur in another stretch too.
+
+    Where ``around`` is found again, the class is repeated whole. Where only the ``core`` is, one stretch for
+    each ``around`` is taken and the strings of the class are told apart by the bytes beside the core. Groups
+    are counted, not gathered.
+    """
+    flank = CLASS - 1
+    groups = classes.groupBy("core", "around").agg(F.count("*").alias("n"), F.min("stretch").alias("one"))
+    open_ = groups.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("core")
+    marked = staged(classes.join(groups, ["core", "around"]), "suffix-groups")
+    first = F.col("class") * CLASS
+    whole = marked.where("n > 1").select(
+        "stretch",
+        (first + (F.lit(flank) - F.octet_length("after"))).alias("low"),
+        (first + F.octet_length("before")).alias("high"),
+    )
+    reach = F.sequence(F.lit(flank) - F.octet_length("after"), F.octet_length("before"))
+    apart = marked.where("stretch = one and octet_length(before) + octet_length(after) >= %d" % flank)
+    apart = apart.join(open_, "core").select("*", F.explode(reach).alias("j"))
+    left = F.expr("substring(before, octet_length(before) - j + 1, j)")
+    right = F.expr(f"substring(after, 1, {flank} - j)")
+    apart = staged(apart.select("stretch", "n", (first + F.col("j")).alias("offset"), F.xxhash64("core", "j", left, right).alias("name")), "suffix-strings")
+    again = apart.groupBy("name").agg(F.count("*").alias("times")).where("times > 1").select("name")
+    single = apart.where("n = 1").join(again, "name").select("stretch", F.col("offset").alias("low"), F.col("offset").alias("high"))
+    return whole.where("low <= high").unionByName(single)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,stop:int>>"
@@ -225,12 +272,13 @@ def byte_ranges(spans, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal ranges of ``size`` bytes that the spans of a document cover."""
     starts, stops = [], []
     for span in spans:
+        low = span["at"] - span["left"]
         if span["offsets"] is None:
-            starts.append(span["low"])
-            stops.append(span["high"] + length)
+            starts.append(low)
+            stops.append(low + span["wide"] + length)
         else:
-            starts += [span["at"] - o for o in span["offsets"]]
-            stops += [span["at"] - o + length for o in span["offsets"]]
+            starts += [span["at"] - o["high"] for o in span["offsets"]]
+            stops += [span["at"] - o["low"] + length for o in span["offsets"]]
     order = np.argsort(np.array(starts, np.int64), kind="stable")
     starts, stops = np.array(starts, np.int64)[order], np.maximum.accumulate(np.array(stops, np.int64)[order])
     fresh = np.concatenate([[True], starts[1:] > stops[:-1]])
