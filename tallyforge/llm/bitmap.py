@@ -19,7 +19,7 @@ from . import bytetext
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MOST_WORDS = 1 << 20  # of 64 bits that may be set before the filter is left out: 16 MB on the driver
+MOST_WORDS = 1 << 21  # of 64 bits that may be set before the filter is left out: 32 MB on the driver
 
 
 def build(keys: DataFrame, column: str, bits: int) -> np.ndarray | None:
@@ -41,10 +41,11 @@ def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero((bitmap[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
 
 
-def rows_with_ids(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
-    """``doc_id, text`` of the documents whose id may be among ``ids`` (a column ``doc_id``); for the exact
-    set join the result. Null ids never pass."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+def split_by_ids(docs: DataFrame, ids: DataFrame, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text`` of the documents that may be among ``ids`` (a column ``doc_id``), and of those that are
+    surely not. Join the first for the exact set; the second never needs a shuffle. Null ids are never among
+    them."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
     spread = lambda x: bytetext.mix(x.astype(np.int64).view(np.uint64) + np.uint64(bytetext.STEP))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,13 +54,25 @@ def rows_with_ids(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
 
     bitmap = build(ids.select("doc_id").mapInArrow(keys, "h long"), "h", bits)
     if bitmap is None:
-        return rows
+        return rows.where("doc_id is not null"), rows.where("doc_id is null")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = passes(shared.value, spread(batch.column(0).to_numpy()))
-            if len(found):
-                yield batch.take(pa.array(found)) if len(found) < batch.num_rows else batch
+    def chosen(inside: bool):
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+                numbers = batch.column(0).fill_null(0).to_numpy()
+                among = np.zeros(batch.num_rows, bool)
+                among[passes(shared.value, spread(numbers))] = True
+                found = np.flatnonzero((among & known) == inside)
+                if len(found):
+                    yield batch.take(pa.array(found)) if len(found) < batch.num_rows else batch
+
+        return rows.mapInArrow(choose, "doc_id long, text string")
 
-    return rows.mapInArrow(chosen, "doc_id long, text string")
+    return chosen(True), chosen(False)
+
+
+def rows_with_ids(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """The first part of ``split_by_ids``."""
+    return split_by_ids(docs, ids, bits)[0]

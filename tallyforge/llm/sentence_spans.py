@@ -16,16 +16,18 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bytetext
+from . import bitmap, bytetext
 from .storage import staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SENTENCES = 2
+SENTENCES = 3
 WORDS = 12
+FILTER_BITS = 27
 
-# What ends a sentence, and what may follow an end.
-ENDS, AFTER = b".!?\n", b".!?\n \t\r"
+# What ends a sentence, and what may follow an end. Clauses count as sentences, so that a passage pasted into
+# the middle of a sentence still has whole ones of its own.
+ENDS, AFTER = b".!?\n,;:", b".!?\n,;: \t\r"
 
 
 def sentence_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +82,10 @@ def runs_of(words_before: np.ndarray, firsts: np.ndarray, sentences: int, words:
     return pairs // (n + 1), pairs % (n + 1)
 
 
-def sentence_runs(docs: DataFrame, sentences: int, words: int) -> DataFrame:
-    """``h1, h2, doc_id, first, last`` of every run (two hashes of 64 bits name a run's sentences)."""
+def sentence_runs(docs: DataFrame, sentences: int, words: int, known: np.ndarray | None = None) -> DataFrame:
+    """``h1, h2, doc_id, first, last`` of every run (two hashes of 64 bits name a run's sentences), or of those
+    whose ``h1`` passes a filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(known) if known is not None else None
     names = ["h1", "h2", "doc_id", "first", "last"]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,18 +109,28 @@ def sentence_runs(docs: DataFrame, sentences: int, words: int) -> DataFrame:
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(whole * up)])
                     made.append(bytetext.signed(bytetext.mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))))
                 places = [(x - firsts[text]).astype(np.int32) for x in (a, b - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*made, ids[row:end][text], *places)], names)
+                made += [ids[row:end][text], *places]
+                if shared is not None:
+                    passed = bitmap.passes(shared.value, made[0].view(np.uint64))
+                    made = [x[passed] for x in made]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names)
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(runs, "h1 long, h2 long, doc_id long, first int, last int")
 
 
-def repeated_runs(runs: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, sentences: int, words: int) -> DataFrame:
     """Runs that occur before, as ``doc_id, first, last``: all but the first by document and place.
 
-    The aggregate holds one row per run and is combined before its shuffle, so a run found in a third of all
-    documents is no hot group; the join back is left to adaptive execution, which splits large partitions.
+    First only the names of runs are counted, combined before their shuffle, so a run found in a third of all
+    documents is no hot group. Runs are then made again and those without a repeated name are dropped by a
+    filter of fixed size; the join that settles the rest is left to adaptive execution, which splits large
+    partitions.
     """
+    counts = sentence_runs(docs, sentences, words).groupBy("h1").agg(F.count("*").alias("n"))
+    names = staged(counts.where("n > 1").select("h1"), "sentence-names")
+    runs = sentence_runs(docs, sentences, words, bitmap.build(names, "h1", FILTER_BITS))
+    runs = staged(runs.join(names, "h1", "left_semi"), "sentence-runs")
     place = F.struct("doc_id", "first")
     known = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("origin")).where("n > 1").drop("n")
     again = runs.join(known, ["h1", "h2"]).where(place != F.col("origin"))
@@ -135,8 +149,8 @@ def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: in
     another row has: null ids are returned as they came, rows with equal ids share the numbers to remove (the
     table's key is doc_id). Empty table: no rows. Other columns are not read.
     """
-    runs = staged(sentence_runs(docs, sentences, words), "sentence-runs")
-    gone = repeated_runs(runs).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+    gone = repeated_runs(docs, sentences, words).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+    gone = staged(gone, "sentence-gone")
     names = [part.split()[0] for part in RESULT.split(", ")]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,5 +175,6 @@ def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: in
                     rows.append((ids[i], b - a, len(out), out, whole.decode(), hashlib.sha256(whole).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    joined = docs.select(F.col("doc_id").cast("long"), "text").join(gone, "doc_id", "left")
-    return joined.select("doc_id", "text", "gone").mapInArrow(remove, RESULT)
+    affected, others = bitmap.split_by_ids(docs, gone.select("doc_id"))
+    joined = affected.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
+    return joined.unionByName(others.withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))).mapInArrow(remove, RESULT)

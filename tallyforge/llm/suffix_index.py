@@ -279,6 +279,8 @@ def byte_ranges(spans, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
         else:
             starts += [span["at"] - o["high"] for o in span["offsets"]]
             stops += [span["at"] - o["low"] + length for o in span["offsets"]]
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.argsort(np.array(starts, np.int64), kind="stable")
     starts, stops = np.array(starts, np.int64)[order], np.maximum.accumulate(np.array(stops, np.int64)[order])
     fresh = np.concatenate([[True], starts[1:] > stops[:-1]])
@@ -322,11 +324,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
                 out.append((doc_id, len(raw), int((b - a).sum()), len(ranges), kept.hexdigest(), ranges))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], columns)
 
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    changed = bitmap.rows_with_ids(rows, spans.select("doc_id")).join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(cut, RESULT)
-    whole = rows.select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-        F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"), F.array().cast("array<struct<start:int,stop:int>>").alias("removed"),
-    )
-    return changed.unionByName(whole.join(spans.select("doc_id"), "doc_id", "left_anti"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    affected, others = bitmap.split_by_ids(rows, spans.select("doc_id"))
+    nothing = F.array().cast(spans.schema["spans"].dataType)
+    joined = affected.join(spans, "doc_id", "left").select("doc_id", "text", F.coalesce("spans", nothing).alias("spans"))
+    return joined.unionByName(others.withColumn("spans", nothing)).mapInArrow(cut, RESULT)
