@@ -89,14 +89,22 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("union"))
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """``node, single``: how many of its shingles no other set has. They are in no intersection, which bounds
+    a set's likeness to any other."""
+    grams = sets.select("doc_id", F.explode("grams").alias("gram"))
+    owners = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("node")).where("n = 1")
+    return owners.groupBy("node").agg(F.count("*").alias("single"))
+
+
 def near_components(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """``doc_id, component_id, n_shingles`` for every row of ``prints`` (a staged frame).
 
     Documents with equal sets are one node, the smallest doc_id. Nodes that share a band form a bucket.
     First every node is compared with its buckets' pivots (the member in the fullest buckets, the centre of a
     group of copies), on full sets. Then, where a bucket still spans components, members of different ones are
-    compared too, but for pairs that sizes or the triangle inequality of the Jaccard distance to the pivot rule
-    out. So every pair that shares a band is linked, ruled out, or already connected, without listing all
+    compared too, but for pairs that are ruled out by their sizes, by the shingles that no other of these
+    documents has, or by the triangle inequality of the Jaccard distance to the pivot. So every pair that shares a band is linked, ruled out, or already connected, without listing all
     pairs of a bucket; no bucket is capped.
     """
     far = 1 - percent / 100 + 1e-9
@@ -122,12 +130,17 @@ def near_components(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     known = staged(known, "near-known")
     apart = known.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
     open_ = known.join(apart, "band").withColumn("ring", F.floor(F.col("d") / F.lit(far)))
-    left = open_.select("band", F.explode(F.array(*[F.col("ring") + i for i in (-1, 0, 1)])).alias("ring"), *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "part", "d")])
-    right = open_.select("band", "ring", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "part", "d")])
+    single = own_shingles(sets.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    live = F.col("n") - F.coalesce("single", F.lit(0))
+    open_ = open_.join(single, "node", "left").withColumn("live", live).where(F.col("live") * 100 >= F.col("n") * percent)
+    fields = ("node", "n", "part", "d", "live")
+    left = open_.select("band", F.explode(F.array(*[F.col("ring") + i for i in (-1, 0, 1)])).alias("ring"), *[F.col(c).alias(f"{c}_a") for c in fields])
+    right = open_.select("band", "ring", *[F.col(c).alias(f"{c}_b") for c in fields])
     possible = (
         (F.col("part_a") < F.col("part_b"))
         & (F.abs(F.col("d_a") - F.col("d_b")) <= far)
         & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        & (F.least("live_a", "live_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
     )
     rest = left.join(right, ["band", "ring"]).where(possible).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
     done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
