@@ -111,11 +111,12 @@ def near_components(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     linked = F.col("both") * F.lit(100) >= F.col("union") * F.lit(percent)
     named = prints.where("doc_id is not null and n_shingles > 0")
     classes = named.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"))
+    classes = staged(classes, "near-classes")  # read by its own shuffle, so that joins can split hot classes
     classed = named.join(classes, ["h1", "h2", "n_shingles"])
     nodes = classed.where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "bands")
     entries = nodes.select("node", "n", F.explode("bands").alias("band"))
     full = entries.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    members = staged(entries.join(full, "band"), "near-members")
+    members = staged(entries.join(staged(full, "near-full"), "band"), "near-members")
     central = members.groupBy("node").agg(F.sum("members").alias("central"))
     ranked = members.join(central, "node")
     pivots = ranked.groupBy("band").agg((-F.max(F.struct("central", (-F.col("node")).alias("node")))["node"]).alias("pivot"))

@@ -110,51 +110,54 @@ def reshard(rows: DataFrame, shards: int, chunk_rows: int = CHUNK_ROWS) -> DataF
             cuts.append((i, 0, 1 << 62, i if 0 <= i < shards else 0))
         else:
             cuts[last] = (i, cuts[last][1], 1 << 62, cuts[last][3])
-    spark = rows.sparkSession
     chunks = max([1, *(-(-r["n"] // chunk_rows) for r in totals)])
-    chunked = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
-    starts = chunked.groupBy("old_shard", "chunk").agg(F.sum("size").alias("bytes"))
-    before = Window.partitionBy("old_shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("old_shard", "chunk", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("old_shard", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = chunked.withColumn("upto", F.sum("size").over(inside)).join(starts, ["old_shard", "chunk"])
-    middle = F.col("start") + F.col("upto") - F.expr("size div 2")
-    shard = F.lit(None).cast("int")
+    chunked = sized.withColumn("__chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    starts = chunked.groupBy("old_shard", "__chunk").agg(F.sum("size").alias("bytes"))
+    before = Window.partitionBy("old_shard").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("old_shard", "__chunk", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("old_shard", "__chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = chunked.withColumn("__upto", F.sum("size").over(inside)).join(starts, ["old_shard", "__chunk"])
+    placed = placed.withColumn("__middle", F.col("__start") + F.col("__upto") - F.expr("size div 2"))
+    shard = F.lit(None)
     if cuts:
         by_old: dict[int, list] = {}
-        for i, a, b, j in cuts:
-            by_old.setdefault(i, []).append(F.struct(F.lit(b).cast("long").alias("end"), F.lit(j).alias("shard")))
+        for i, _, end, j in cuts:
+            by_old.setdefault(i, []).append(F.struct(F.lit(end).cast("long").alias("end"), F.lit(j).alias("shard")))
         table = F.create_map(*[x for i, parts in by_old.items() for x in (F.lit(i), F.array(*parts))])
-        shard = F.filter(table[F.col("old_shard")], lambda x: F.col("middle") <= x["end"])[0]["shard"]
-    assigned = placed.withColumn("middle", middle).withColumn("shard", shard.cast("int"))
-    assigned = staged(assigned.drop("upto", "start", "middle", "chunk"), "reshard-assigned")
-    return with_slots(assigned, chunk_rows)
+        shard = F.filter(table[F.col("old_shard")], lambda x: F.col("__middle") <= x["end"])[0]["shard"]
+    assigned = placed.withColumn("shard", shard.cast("int")).drop("__chunk", "__start", "__upto", "__middle")
+    return with_slots(staged(assigned, "reshard-assigned"), chunk_rows)
 
 
 def with_slots(assigned: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Number the rows of each ``shard`` from 0."""
-    counts = assigned.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).alias("chunks"))
-    chunked = assigned.join(F.broadcast(counts), "shard").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks"))
-    before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = chunked.groupBy("shard", "chunk").count()
-    starts = starts.select("shard", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "chunk").orderBy("doc_id", "size")
-    numbered = chunked.withColumn("place", F.row_number().over(inside)).join(starts, ["shard", "chunk"])
-    return numbered.withColumn("slot", (F.col("start") + F.col("place") - 1).cast("long")).drop("chunks", "chunk", "start", "place")
+    """Number the rows of each ``shard`` from 0. Shards are few, so their counts are broadcast."""
+    counts = assigned.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).alias("__chunks"))
+    chunked = assigned.join(F.broadcast(counts), "shard").withColumn("__chunk", F.pmod(F.xxhash64("doc_id"), "__chunks"))
+    before = Window.partitionBy("shard").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = chunked.groupBy("shard", "__chunk").count()
+    starts = starts.select("shard", "__chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("shard", "__chunk").orderBy("doc_id", "size")
+    numbered = chunked.withColumn("__place", F.row_number().over(inside)).join(starts, ["shard", "__chunk"])
+    slot = (F.col("__start") + F.col("__place") - 1).cast("long")
+    return numbered.withColumn("slot", slot).drop("__chunks", "__chunk", "__start", "__place")
 
 
 def rewrite_shards(docs: DataFrame, moved: DataFrame, path: str) -> list[int]:
     """Write the shards below ``path`` (``shard=N`` folders) that gain or lose documents; the others stay as
-    they are on disk. ``docs`` holds the old shards' rows with their ``doc_id``, ``moved`` comes from
-    ``reshard``. New contents go to a sibling folder first, so a failed run leaves the old shards whole.
+    they are on disk. ``docs`` holds the old shards' rows, ``moved`` comes from ``reshard`` with the sizes of
+    ``byte_size``; rows are matched by id, size and their number among equal ones. New contents go to a sibling folder first, so a failed run leaves the old shards whole.
     Returns the numbers of the shards written."""
     spark = docs.sparkSession
     changed = moved.where(~F.col("shard").eqNullSafe(F.col("old_shard")))
     changed = changed.select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct().where("shard >= 0")
     affected = sorted(r[0] for r in changed.limit(2 * SHARD_LIMIT).collect())
     fresh = f"{path.rstrip('/')}-new"
-    kept = moved.where(F.col("shard").isin(affected)).select("doc_id", "shard", "slot")
-    docs.drop("shard", "slot").join(kept, "doc_id").write.partitionBy("shard").mode("overwrite").parquet(fresh)
+    number = F.row_number().over(Window.partitionBy("doc_id", "__size").orderBy("__size"))
+    kept = moved.select("doc_id", F.col("size").alias("__size"), "shard", "slot").withColumn("__number", number)
+    kept = kept.where(F.col("shard").isin(affected))
+    texts = docs.drop("shard", "slot").withColumn("__size", byte_size()).withColumn("__number", number)
+    rows = texts.join(kept, ["doc_id", "__size", "__number"]).drop("__size", "__number")
+    rows.write.partitionBy("shard").mode("overwrite").parquet(fresh)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(target)

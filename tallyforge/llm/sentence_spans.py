@@ -44,7 +44,8 @@ def sentence_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     last_end = np.maximum.accumulate(np.where(is_end[data], at, -1)) if n else at
     last_other = np.maximum.accumulate(np.where(tail, -1, at)) if n else at
     start = np.zeros(n, bool)
-    start[1:] = ~tail[1:] & tail[:-1] & (last_end[:-1] > last_other[:-1])
+    text_start = np.repeat(bounds[:-1], np.diff(bounds))
+    start[1:] = ~tail[1:] & tail[:-1] & (last_end[:-1] > last_other[:-1]) & (last_end[:-1] >= text_start[1:])
     filled = bounds[:-1][np.diff(bounds) > 0]
     start[filled] = True
     starts = np.flatnonzero(start)
@@ -133,6 +134,7 @@ def repeated_runs(docs: DataFrame, sentences: int, words: int) -> DataFrame:
     runs = staged(runs.join(names, "h1", "left_semi"), "sentence-runs")
     place = F.struct("doc_id", "first")
     known = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("origin")).where("n > 1").drop("n")
+    known = staged(known, "sentence-origins")  # read by its own shuffle, so that the join can split hot runs
     again = runs.join(known, ["h1", "h2"]).where(place != F.col("origin"))
     return again.select("doc_id", "first", "last")
 

@@ -175,7 +175,7 @@ def plain_spans(texts, sentences, words):
 
 def test_sentence_spans(docs_of):
     rng = random.Random(5)
-    stock = [sentence(rng, rng.randrange(1, 9)).replace("the", "the,") for _ in range(40)]
+    stock = [sentence(rng, rng.randrange(1, 9)).replace(" the", ", the") for _ in range(40)]
     texts = {i: "".join(stock[(s + k) % 40] for s in (rng.randrange(40),) for k in range(rng.randrange(0, 12))) for i in range(60)}
     texts |= {100: None, 101: "", 102: ".. !\n\n", 103: "  lead" + stock[0], 104: "no end", 105: prose(1) * 2}
     got = rows_by_id(sentence_spans.remove_repeated_spans(docs_of(*texts.items())))
