@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 # The finalizer of the public splitmix64 generator and two odd multipliers.
 MIX_1, MIX_2, STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15

@@ -128,7 +128,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
         hasher = bytetext.Hasher(seed=3)
         for batch in batches:
             toxic = batch.column(1).to_numpy()
-            for row, end, data, bounds in bytetext.pieces(batch.column(0), 1 << 23):
+            for row, end, data, bounds in bytetext.pieces(batch.column(0), 1 << 20):
                 hashes, texts, _ = features_of(hasher, data, bounds)
                 known, place = np.unique(hashes, return_inverse=True)
                 pairs = np.unique(place * (end - row) + texts)
