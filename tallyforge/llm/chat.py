@@ -123,7 +123,8 @@ def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
 def format_conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     """Format the best branches of reply trees: ``tree_id, path_rank, formatted, loss_spans``.
 
-    ``messages`` has ``tree_id, node_id, parent_id, role, text, score``; ``node_id`` is unique. Other columns
+    ``messages`` has ``tree_id, node_id, parent_id, role, text, score``; ``node_id`` is unique and does not
+    change between reads. Other columns
     are ignored. Empty table: no rows. Null ``tree_id`` is a tree of its own.
     """
     return format_paths(root_paths(messages, branches), messages)
@@ -131,15 +132,12 @@ def format_conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 def linear_messages(rows: DataFrame) -> DataFrame:
     """``conv_id, turn, role, text`` rows as messages: each replies to the one before it by turn. Rows with the
-    same turn are ordered by role and text; repeated rows are turns of their own."""
-    along = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    numbered = rows.select("conv_id", "turn", "role", "text", F.row_number().over(along).alias("n"))
-    name = lambda n: F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("?")), F.lit("/"), n.cast("string"))
-    parent = F.when(F.col("n") > 1, name(F.col("n") - 1))
-    return numbered.select(
-        F.col("conv_id").alias("tree_id"), name(F.col("n")).alias("node_id"), parent.alias("parent_id"), "role", "text",
-        F.lit(1.0).alias("score"),
-    )
+    same turn are ordered by role and text; repeated rows are turns of their own. Rows are numbered and written
+    once, so that ids are short and stay the same."""
+    numbered = rows.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("node_id"))
+    numbered = staged(numbered, "messages")
+    before = F.lag("node_id").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text", "node_id"))
+    return numbered.select(F.col("conv_id").alias("tree_id"), "node_id", before.alias("parent_id"), "role", "text", F.lit(1.0).alias("score"))
 
 
 READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
