@@ -88,7 +88,7 @@ def root_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     path = chosen.select("tree_id", "path_rank", F.col("leaf_id").alias("node_id"), F.lit(0).alias("above"))
     for k, jump in reversed(list(enumerate(jumps))):
         higher = path.join(jump, "node_id").select("tree_id", "path_rank", F.col("up").alias("node_id"), (F.col("above") + F.lit(1 << k)).alias("above"))
-        path = path.unionByName(higher)
+        path = staged(path.unionByName(higher), "path")  # read twice by the next round
     return path
 
 
