@@ -153,7 +153,7 @@ ses0 AS (
 ses AS (
   SELECT {PREFIX} || session_id AS id, title, coalesce(rec_project, folder) AS project, directory AS project_path,
          ses0.* EXCLUDE (source, session_id, rec_project)
-  FROM ses0 LEFT JOIN sm ON sm.id = session_id)"""
+  FROM ses0 LEFT JOIN sm ON sm.id = session_id AND source = {ZC})"""
 SHOWN = "id, title, project, project_path, models, requests, total, first_ts_ms, last_ts_ms"
 
 
@@ -415,7 +415,7 @@ ORACLES: dict[str, str] = {
         SESSIONS,
     ),
     "session_page_total": q("SELECT count(*) AS total FROM ses WHERE models LIKE '%claude-sonnet%'", SESSIONS),
-    "newest_sessions": q("SELECT id, last_ts_ms, total FROM ses ORDER BY last_ts_ms DESC, id LIMIT 500", SESSIONS),
+    "newest_sessions": q("SELECT id, last_ts_ms, total FROM ses ORDER BY last_ts_ms DESC, id LIMIT 60", SESSIONS),
     "session_trend": q(
         f"""SELECT sp.source, sp.session_id, CAST(i AS BIGINT) AS bucket_idx,
                CAST(f + (t - f) * i // n AS BIGINT) AS start_ms, CAST(f + (t - f) * (i + 1) // n AS BIGINT) AS end_ms,
@@ -443,7 +443,17 @@ ORACLES: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY source, session_id ORDER BY ts_ms, source_file, eid) AS place FROM (
           SELECT source, session_id, ts_ms, model, source_file, eid,
                  lag(model) OVER (PARTITION BY source, session_id ORDER BY ts_ms, source_file, eid) AS before
-          FROM u WHERE session_id IS NOT NULL) WHERE before IS DISTINCT FROM model) WHERE place <= 50"""
+          FROM u WHERE session_id IS NOT NULL) WHERE before IS DISTINCT FROM model)"""
+    ),
+    "active_model_switches": q(
+        f"""SELECT source, session_id, CAST(row_number() OVER (PARTITION BY source, session_id ORDER BY ts_ms, source_file, eid) AS INTEGER) AS place,
+               ts_ms, model FROM (
+          SELECT source, session_id, ts_ms, model, source_file, eid,
+                 lag(model) OVER (PARTITION BY source, session_id ORDER BY ts_ms, source_file, eid) AS before
+          FROM u JOIN (SELECT source, arg_min(session_id, (-last, session_id)) AS session_id FROM (
+                 SELECT source, session_id, max(ts_ms) AS last FROM u WHERE session_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1) a
+               USING (source, session_id)
+          WHERE ts_ms >= {LATER - 1_800_000}) WHERE before IS DISTINCT FROM model"""
     ),
     "first_titles": """SELECT conv_id, arg_min(left(t, 300), turn) AS title FROM (
         SELECT conv_id, turn, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS t

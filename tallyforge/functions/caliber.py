@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyforge.functions.variant import MAX_COUNT
+
 
 def zero_if_null(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0).cast("bigint"))
 
 
+def added(first: Column, *more: Column) -> Column:
+    """Sum of counts that stops at the largest bigint instead of failing the query. No argument is NULL where
+    the result is used."""
+    for col in more:
+        first = F.coalesce(F.try_add(first, col), F.lit(MAX_COUNT).cast("bigint"))
+    return first
+
+
 def is_completed() -> Column:
     """Unknown status counts as completed."""
     return F.coalesce(F.col("status"), F.lit("completed")) == "completed"
@@ -17,7 +27,7 @@ def is_completed() -> Column:
 
 def _looks_exclusive() -> Column:
     """Judge by the numbers: an input that could hold its cache tokens is taken to hold them."""
-    cached = F.col("cache_read_tokens") + zero_if_null("cache_write_tokens")
+    cached = added(F.col("cache_read_tokens"), zero_if_null("cache_write_tokens"))
     return ~((F.col("input_tokens") >= cached) & (F.col("input_tokens") > 0))
 
 
@@ -29,22 +39,21 @@ def input_is_exclusive() -> Column:
 
 def display_total() -> Column:
     """Total tokens of a row without counting nested cache or reasoning tokens twice."""
-    cached = F.col("cache_read_tokens") + zero_if_null("cache_write_tokens")
+    cached = added(F.col("cache_read_tokens"), zero_if_null("cache_write_tokens"))
     cache_extra = (
         F.when(F.col("cache_read_tokens").isNull(), zero_if_null("cache_write_tokens"))
         .when(input_is_exclusive(), cached)
         .otherwise(F.lit(0))
     )
     reasoning_extra = F.when(F.col("reasoning_in_output"), F.lit(0)).otherwise(zero_if_null("reasoning_tokens"))
-    rebuilt = F.col("input_tokens") + F.col("output_tokens") + cache_extra + reasoning_extra
+    rebuilt = added(F.col("input_tokens"), F.col("output_tokens"), cache_extra, reasoning_extra)
     return F.coalesce(F.col("total_override"), rebuilt).cast("bigint")
 
 
 def generated_tokens() -> Column:
     """Output side of a row: output plus reasoning unless reasoning is already inside output."""
-    return F.col("output_tokens") + F.when(F.col("reasoning_in_output"), F.lit(0)).otherwise(
-        zero_if_null("reasoning_tokens")
-    )
+    apart = F.when(F.col("reasoning_in_output"), F.lit(0).cast("bigint")).otherwise(zero_if_null("reasoning_tokens"))
+    return added(F.col("output_tokens"), apart)
 
 
 def approximate_window() -> Column:
@@ -74,7 +83,7 @@ def ttft_sample() -> Column:
 def hit_denominator() -> Column:
     """Input side of a row for the cache-hit rate; NULL when the row does not report cache reads."""
     read = F.col("cache_read_tokens")
-    whole = F.col("input_tokens") + read + zero_if_null("cache_write_tokens")
+    whole = added(F.col("input_tokens"), read, zero_if_null("cache_write_tokens"))
     return F.when(
         read.isNotNull(),
         F.when(input_is_exclusive(), whole).otherwise(F.greatest(F.col("input_tokens"), read)),
@@ -83,13 +92,8 @@ def hit_denominator() -> Column:
 
 def raw_sum_tokens() -> Column:
     """Plain sum of the five counters, whatever the schema nests."""
-    return (
-        F.col("input_tokens")
-        + F.col("output_tokens")
-        + zero_if_null("reasoning_tokens")
-        + zero_if_null("cache_read_tokens")
-        + zero_if_null("cache_write_tokens")
-    )
+    parts = ("reasoning_tokens", "cache_read_tokens", "cache_write_tokens")
+    return added(F.col("input_tokens"), F.col("output_tokens"), *map(zero_if_null, parts))
 
 
 def billable_input(schema_hint: str | None) -> Column:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Fixed value: largest count that fits the bigint columns.
 MAX_COUNT = 9_223_372_036_854_775_807
 
+# The first and the last millisecond of the calendar, years 1 to 9999.
+FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
+
 # Numbers above the first are epoch milliseconds, above the second epoch seconds.
 MILLIS_ABOVE = 1_000_000_000_000
 SECONDS_ABOVE = 100_000_000
@@ -127,8 +130,13 @@ def pick_count(values: list[Column]) -> Column:
     return F.coalesce(to_count(first), F.when(first.isNotNull(), searched))
 
 
+def in_calendar(ms: Column) -> Column:
+    """Epoch ms of the years 1 to 9999, else NULL: what days and buckets can be computed for."""
+    return F.when(ms.between(FIRST_MS, LAST_MS), ms)
+
+
 def epoch_ms(n: Column) -> Column:
-    return F.when(n > MILLIS_ABOVE, n).when(n > SECONDS_ABOVE, n * 1000)
+    return in_calendar(F.when(n > MILLIS_ABOVE, n).when(n > SECONDS_ABOVE, n * 1000))
 
 
 def parse_rfc3339(text: Column) -> Column:

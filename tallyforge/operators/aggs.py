@@ -24,7 +24,10 @@ ADDITIVE = [
 
 
 def _sum(col: Column, name: str) -> Column:
-    return F.coalesce(F.sum(col), F.lit(0).cast("bigint")).alias(name)
+    """Sum with NULL as 0 that stops at the largest bigint instead of failing the query."""
+    total = F.try_sum(F.coalesce(col, F.lit(0).cast("bigint")))
+    most = F.lit(caliber.MAX_COUNT).cast("bigint")
+    return F.when(F.count(F.lit(1)) > 0, F.coalesce(total, most)).otherwise(F.lit(0).cast("bigint")).alias(name)
 
 
 def usage_measures() -> list[Column]:

@@ -14,19 +14,17 @@ from tallyforge.operators.trends import bucket_edge, bucket_index
 from tallyforge.plans.ordered import Last, running
 from tallyforge.plans.ranges import MINUTE_MS
 from tallyforge.schema import SOURCE_RELATIONAL
+from tallyforge.sources.tables import one_meta
 
 # Fixed values.
 DEFAULT_PAGE_SIZE = 50
 MAX_PAGE_SIZE = 100
 LISTED_SESSIONS = 500
 DETAIL_BUCKETS = 48
-SWITCH_LIMIT = 50
 SWITCH_WINDOW_MS = 30 * MINUTE_MS
 RATE_WINDOW_MS = 5 * MINUTE_MS
 
 SESSION = ["source", "session_id"]
-# Copies of the narrow per-session table when it meets usage rows, so one busy session spreads out.
-SALTS = 16
 
 _LINE_SPACE = 10**18
 
@@ -61,7 +59,8 @@ def _sorted_models() -> Column:
 
 def store_sessions(usage: DataFrame, session_meta: DataFrame | None = None) -> DataFrame:
     """Sessions of a record store: rows with a session id only. The earliest project wins, then the
-    folder of the recorded directory; title and path come from ``session_meta``."""
+    folder of the recorded directory; title and path come from ``session_meta``, which describes sessions of
+    the relational store only (one row per id is used)."""
     parts = session_parts(usage.where(F.col("session_id").isNotNull()), SESSION)
     named = F.when(F.col("project").isNotNull(), _ordered("first_seen"))
     sessions = parts.groupBy(*SESSION).agg(
@@ -70,10 +69,11 @@ def store_sessions(usage: DataFrame, session_meta: DataFrame | None = None) -> D
     if session_meta is None:
         out = sessions.withColumns({"title": F.lit(None).cast("string"), "project_path": F.lit(None).cast("string")})
     else:
-        meta = session_meta.select(
-            F.col("id").alias("session_id"), "title", F.col("directory").alias("project_path"), "project_name"
-        )
-        out = sessions.join(meta, "session_id", "left").withColumn("project", F.coalesce("project", "project_name"))
+        meta = one_meta(session_meta).select(
+            F.lit(SOURCE_RELATIONAL).alias("source"), F.col("id").alias("session_id"), "title",
+            F.col("directory").alias("project_path"), "project_name",
+        )
+        out = sessions.join(meta, SESSION, "left").withColumn("project", F.coalesce("project", "project_name"))
     return _session_columns(out)
 
 
@@ -209,8 +209,8 @@ def active_session_card(usage: DataFrame, now_ms: int) -> DataFrame:
     )
 
 
-def model_switches(usage: DataFrame, from_ms: int | None = None, limit: int = SWITCH_LIMIT) -> DataFrame:
-    """Per session the rows whose model differs from the row before; the first row always counts."""
+def model_switches(usage: DataFrame, from_ms: int | None = None) -> DataFrame:
+    """Per session all rows whose model differs from the row before; the first row always counts."""
     rows = usage.where(F.col("session_id").isNotNull())
     if from_ms is not None:
         rows = rows.where(F.col("ts_ms") >= from_ms)
@@ -221,9 +221,7 @@ def model_switches(usage: DataFrame, from_ms: int | None = None, limit: int = SW
     seen = running(rows, SESSION, "minute", order, [Last("previous", F.struct("model"), inclusive=False)])
     switched = seen.where(F.col("previous").isNull() | (F.col("previous.model") != F.col("model")))
     place = F.row_number().over(Window.partitionBy(*SESSION).orderBy(*order))
-    return switched.withColumn("place", place).where(F.col("place") <= limit).select(
-        *SESSION, "place", "ts_ms", "model"
-    )
+    return switched.withColumn("place", place).select(*SESSION, "place", "ts_ms", "model")
 
 
 def active_model_switches(usage: DataFrame, now_ms: int) -> DataFrame:
@@ -245,12 +243,11 @@ def _session_spans(usage: DataFrame) -> DataFrame:
 
 
 def session_trends(usage: DataFrame) -> DataFrame:
-    """Dense buckets over each session's own span, for all sessions at once."""
+    """Dense buckets over each session's own span, for all sessions at once. A busy session's rows are split
+    by adaptive execution where they meet its one span row."""
     spans = _session_spans(usage)
-    salted = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("ts_ms", "source_file", "line_no"), F.lit(SALTS)).cast("int")
     edges = [F.col("from_ms"), F.col("to_ms"), F.col("buckets")]
-    rows = usage.withColumn("salt", salt).join(salted, [*SESSION, "salt"])
+    rows = usage.join(spans, SESSION)
     grouped = (
         rows.withColumn("bucket_idx", bucket_index(F.col("ts_ms"), *edges))
         .groupBy(*SESSION, "bucket_idx")

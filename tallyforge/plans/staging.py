@@ -11,22 +11,31 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 20_000
 
 
-def checkpoint_root(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for checkpoints, if any."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder the session names in ``spark.checkpoint.dir``.
+
+    A single-machine session that names none gets a folder of its own. On a cluster that would be a folder
+    other machines do not see, so there a missing setting is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the cluster's checkpoint folder and continue from there.
 
     Used before a frame is read by two branches: it avoids parsing text twice, and it freezes row
-    positions, which a re-planned text scan does not promise. Without a configured folder the frame is
-    returned as it is (single-machine runs).
+    positions, which a re-planned text scan does not promise.
     """
     spark = df.sparkSession
     root = checkpoint_root(spark)
-    if root is None:
-        return df
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
@@ -57,6 +66,5 @@ def broadcast_if_small(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> D
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder for a job's own tables, in the shared checkpoint folder when there is one."""
-    root = checkpoint_root(spark) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a job's own tables, in the shared checkpoint folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

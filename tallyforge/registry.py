@@ -325,7 +325,7 @@ def session_page_total(spark, sf_dir):
 
 @query
 def newest_sessions(spark, sf_dir):
-    return sessions.newest_sessions(_all_sessions(spark, sf_dir)).select("id", "last_ts_ms", "total")
+    return sessions.newest_sessions(_all_sessions(spark, sf_dir), 60).select("id", "last_ts_ms", "total")
 
 
 @query
@@ -362,6 +362,11 @@ def model_switches(spark, sf_dir):
     return sessions.model_switches(usage_table(spark, sf_dir))
 
 
+@query
+def active_model_switches(spark, sf_dir):
+    return sessions.active_model_switches(usage_table(spark, sf_dir), NOW_MS + 12 * 3_600_000)
+
+
 @query
 def first_titles(spark, sf_dir):
     turns = fixtures.load(spark, sf_dir, "conversations")

@@ -14,8 +14,8 @@ from tallyforge.functions import variant as V
 from tallyforge.plans.ordered import Count, First, Last, Max, final_values, running
 from tallyforge.plans.staging import cut
 from tallyforge.schema import SOURCE_EVENT_LOG, as_usage
-from tallyforge.sources.lines import COMPRESSED, number_lines, plain_path
-from tallyforge.sources.transcripts import file_facts
+from tallyforge.sources.lines import COMPRESSED, UNREADABLE, number_lines, plain_path, searched
+from tallyforge.sources.transcripts import file_facts, refusal
 
 # Where a header or selection names the model and the working directory.
 MODEL_PATHS = [
@@ -24,8 +24,8 @@ MODEL_PATHS = [
 ]
 CWD_PATHS = ["header.cwd", "header.config.cwd", "config.cwd", "cwd", "header.workspace"]
 USAGE_FIELDS = ["inputTokens", "outputTokens", "reasoningTokens", "cacheReadTokens", "cacheWriteTokens"]
-# Fixed value: a compressed log longer than this many bytes is not a session log.
-MAX_COMPRESSED_BYTES = 64 * 1024 * 1024
+# Spark hands a file over whole only up to this many bytes.
+MAX_BINARY_BYTES = 2_147_483_647
 
 LINES = "source_file string, block bigint, pos bigint, value string"
 # Lines handed to the JVM at a time, and per block of a decompressed file.
@@ -46,9 +46,8 @@ _LINE = V.schema(
 def _time_of(node: str) -> Column:
     stamp = V.text_of(F.col(f"{node}.timestamp"))
     number = F.when(F.trim(stamp).rlike(r"^[+-]?[0-9]+$"), F.trim(stamp).try_cast("bigint"))
-    return F.coalesce(
-        V.long_of(F.col(f"{node}.time")), V.long_of(F.col(f"{node}.timestamp")), V.parse_rfc3339(stamp), number
-    )
+    numbers = [V.in_calendar(n) for n in (V.long_of(F.col(f"{node}.time")), V.long_of(F.col(f"{node}.timestamp")), number)]
+    return F.coalesce(*numbers[:2], V.parse_rfc3339(stamp), numbers[2])
 
 
 def _data_text(path: str) -> Column:
@@ -71,6 +70,7 @@ def event_records(lines: DataFrame) -> DataFrame:
         F.coalesce(V.long_of(F.col("line.event.seq")), V.long_of(F.col("line.seq"))).alias("seq"),
         F.coalesce(_time_of("line.event"), _time_of("line"), F.lit(0)).alias("ts_ms"),
         F.col("line.usage").alias("line_usage"),
+        F.when(F.col("line").isNull(), refusal(F.col("value"))).alias("reason"),
     ).withColumn("usage", F.when(F.col("kind") == "assistant/message", F.coalesce("data.usage", "line_usage")))
     header = F.col("kind").isin("request/header", "model/selection")
     model = F.coalesce(*[F.nullif(_data_text(p), F.lit("")) for p in MODEL_PATHS])
@@ -81,6 +81,7 @@ def event_records(lines: DataFrame) -> DataFrame:
         "block",
         "pos",
         F.col("kind").isNotNull().alias("is_event"),
+        "reason",
         "seq",
         "ts_ms",
         F.when(header, model).alias("header_model"),
@@ -168,14 +169,19 @@ def read_event_logs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _text_lines(content: bytes) -> Iterator[str]:
-    """Lines of zstd frames, a piece at a time."""
+    """Lines of zstd frames, a piece at a time. Where the frames are broken one marked line follows what
+    could be read, which the reader reports as a reject."""
     import pyarrow as pa
 
     rest = b""
-    with pa.CompressedInputStream(pa.BufferReader(content), "zstd") as stream:
-        while piece := stream.read(READ_BYTES):
-            *whole, rest = (rest + piece).split(b"\n")
-            yield from (line.decode("utf-8", "replace") for line in whole)
+    try:
+        with pa.CompressedInputStream(pa.BufferReader(content), "zstd") as stream:
+            while piece := stream.read(READ_BYTES):
+                *whole, rest = (rest + piece).split(b"\n")
+                yield from (line.decode("utf-8", "replace") for line in whole)
+    except (OSError, pa.ArrowException) as problem:
+        yield f"{UNREADABLE}{problem}"
+        return
     if rest:
         yield rest.decode("utf-8", "replace")
 
@@ -190,11 +196,16 @@ def _decompress(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def scan_compressed_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of zstd-framed logs. A frame cannot be split, so a file is one task's work; files over the
-    size limit are left out (their length is filtered before the content is read)."""
+    """Lines of zstd-framed logs, of every size. A frame cannot be split, so a file is one task's work. A file
+    that cannot be read gives one marked line, which becomes a reject (the length is filtered before the
+    content is read)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", COMPRESSED)
-    small = files.load(root).where(F.col("length") <= MAX_COMPRESSED_BYTES)
-    return small.select(plain_path(F.col("path")).alias("source_file"), "content").mapInPandas(_decompress, LINES)
+    found = files.load(root).withColumn("source_file", plain_path(F.col("path"))).where(searched(F.col("source_file"), root))
+    lines = found.where(F.col("length") <= MAX_BINARY_BYTES).select("source_file", "content").mapInPandas(_decompress, LINES)
+    why = F.concat(F.lit(UNREADABLE), F.col("length").cast("string"), F.lit(" bytes"))
+    zero = F.lit(0).cast("bigint")
+    too_long = found.where(F.col("length") > MAX_BINARY_BYTES).select("source_file", zero.alias("block"), zero.alias("pos"), why.alias("value"))
+    return lines.unionByName(too_long)
 
 
 def read_compressed_event_logs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

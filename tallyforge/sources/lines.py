@@ -6,19 +6,24 @@ and ``value``. Big files stay splittable: a block is one input split.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Directories never searched, and how deep the search goes.
+# Directories never searched.
 SKIPPED_DIRECTORIES = [
     "node_modules", ".git", ".hg", ".svn", "__pycache__", ".venv", "venv",
     "target", "dist", "build", "Cache", "cache", "tmp", "temp",
 ]
-MAX_DEPTH = 8
 
 # Room for one part's bytes where a part number and a block start share one block number.
 PART_SPACE = 1 << 40
 
+# Begins the one line that stands for the rest of a file that cannot be read.
+UNREADABLE = "\0unreadable: "
+
 JSONL = "*.[jJ][sS][oO][nN][lL]"
 TABLE_FILES = "*.{[dD][bB],[sS][qQ][lL][iI][tT][eE],[sS][qQ][lL][iI][tT][eE]3}"
 COMPRESSED = "*.[jJ][sS][oO][nN][lL].{[zZ][sS][tT][dD],[zZ][sS][tT]}"
@@ -34,15 +39,15 @@ def _below(path: Column, root: str) -> Column:
     return F.substring(path, F.instr(path, F.lit(root)) + F.lit(len(root) + 1), F.length(path))
 
 
-def searched(path: Column, root: str) -> Column:
-    """Is a file within the searched part of the tree below ``root``?"""
+def searched(path: Column, root: str, max_depth: int | None = None) -> Column:
+    """Is a file within the searched part of the tree below ``root``? The depth is bounded only on request."""
     folders = F.split(_below(path, root), "/")
     folders = F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0)))
     skipped = F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED_DIRECTORIES)))
-    return ~skipped & (F.size(folders) <= MAX_DEPTH)
+    return ~skipped if max_depth is None else ~skipped & (F.size(folders) <= max_depth)
 
 
-def list_usage_files(spark: SparkSession, root: str) -> DataFrame:
+def list_usage_files(spark: SparkSession, root: str, max_depth: int | None = None) -> DataFrame:
     """Log and table files below ``root``; contents are not read (the column is pruned)."""
 
     def listed(glob: str, kind: str) -> DataFrame:
@@ -52,7 +57,7 @@ def list_usage_files(spark: SparkSession, root: str) -> DataFrame:
         )
 
     both = listed(JSONL, "lines").unionByName(listed(TABLE_FILES, "table"))
-    return both.where(searched(F.col("source_file"), root)).orderBy("source_file")
+    return both.where(searched(F.col("source_file"), root, max_depth)).orderBy("source_file")
 
 
 def _text_columns() -> list[Column]:
@@ -69,22 +74,21 @@ def scan_lines(
     root: str | list[str],
     glob: str = JSONL,
     changed_since: str | None = None,
-    max_file_bytes: int | None = None,
+    max_depth: int | None = None,
 ) -> DataFrame:
-    """Text lines of all matching files below ``root`` (or several roots).
+    """Text lines of all matching files below ``root`` (or several roots): the files that
+    ``list_usage_files`` lists, by the same rule.
 
     ``changed_since`` (ISO time) re-reads only files modified after it, for logs that still grow.
-    ``max_file_bytes`` leaves out files that are too long to be session logs; by default none is.
     """
     roots = [root] if isinstance(root, str) else root
     reader = spark.read.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     reader = reader.option("lineSep", "\n")
     if changed_since is not None:
         reader = reader.option("modifiedAfter", changed_since)
-    files = reader.load(roots)
-    if max_file_bytes is not None:
-        files = files.where(F.col("_metadata.file_size") <= max_file_bytes)
-    return files.select(*_text_columns())
+    rows = reader.load(roots).select(*_text_columns())
+    below = [F.startswith("source_file", F.lit(r.removeprefix("file:").rstrip("/"))) & searched(F.col("source_file"), r, max_depth) for r in roots]
+    return rows.where(reduce(or_, below))
 
 
 def number_lines(lines: DataFrame) -> DataFrame:

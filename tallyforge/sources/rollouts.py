@@ -11,7 +11,7 @@ from tallyforge.plans.ordered import Count, First, Last, final_values, running
 from tallyforge.plans.staging import cut
 from tallyforge.schema import SOURCE_ROLLOUT, as_usage
 from tallyforge.sources.lines import number_lines
-from tallyforge.sources.transcripts import file_facts
+from tallyforge.sources.transcripts import file_facts, refusal
 
 # Counter names, and the accepted length of a derived request.
 COUNTERS = {
@@ -92,6 +92,7 @@ def rollout_records(lines: DataFrame) -> DataFrame:
         V.text_of(F.col("line.payload.type")).alias("payload_type"),
         V.text_of(F.col("line.payload.role")).alias("role"),
         F.col("line.payload.info.total_token_usage").alias("totals"),
+        F.when(F.col("line").isNull(), F.struct("value")).alias("refused"),
     ).withColumns({f"counter_{name}": _counter(F.col(f"totals.{key}")) for name, key in COUNTERS.items()})
     kind, ts, payload_type = F.col("kind"), F.col("ts_ms"), F.col("payload_type")
     token_event = (kind == "event_msg") & (payload_type == "token_count")
@@ -107,10 +108,15 @@ def rollout_records(lines: DataFrame) -> DataFrame:
     title = F.when(kind == "response_item", said).when(
         (kind == "event_msg") & (payload_type == "user_message"), V.text_of(F.col("payload.message"))
     )
+    # An object without a type is not parsed, but is no reject.
+    body = F.col("refused.value")
+    why = refusal(body)
+    why = F.when((why != "not an object") | ~F.ltrim(body).startswith("{"), why)
     rows = bodies.select(
         "source_file",
         "block",
         "pos",
+        why.alias("reason"),
         F.coalesce(ts, F.lit(0)).alias("ts_ms"),
         F.when(kind == "session_meta", F.coalesce(V.text_of(session), F.lit(""))).alias("meta_session"),
         F.when(kind == "session_meta", V.text_of(F.col("payload.cwd"))).alias("meta_cwd"),
@@ -172,7 +178,7 @@ def rollout_usage(records: DataFrame, state: DataFrame | None = None) -> DataFra
     Each usage event closes a segment; the first input item and the last output item of the segment bound
     the request. ``state`` continues files whose earlier lines were read in another batch.
     """
-    placed = running(records.drop("title", "rate_limits", "is_last"), KEYS, CHUNK, ORDER, _specs(), state)
+    placed = running(records.drop("title", "rate_limits", "is_last", "reason"), KEYS, CHUNK, ORDER, _specs(), state)
     event = F.struct(
         "lines", "ts_ms", "counters", "previous", "event_model", "model_now", "session_now", "cwd_now"
     )

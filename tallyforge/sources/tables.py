@@ -94,7 +94,7 @@ def map_usage_table(df: DataFrame, source: str = SOURCE_RELATIONAL, source_file:
     """Project any usage-like table onto the usage schema.
 
     A source-computed total marks the schema in which reasoning is nested in output. Rows without a key get
-    a hash of their mapped cells.
+    a 256-bit hash of their mapped cells.
     """
     mapping = map_columns(df.columns)
     cells = {f: _cell(df, mapping, f) for f in COLUMN_ALIASES}
@@ -120,7 +120,7 @@ def map_usage_table(df: DataFrame, source: str = SOURCE_RELATIONAL, source_file:
         total_override=n["total"],
         reasoning_in_output=F.lit("total" in mapping),
         source_file=F.lit(source_file),
-        event_key=F.coalesce(F.nullif("id", F.lit("")), F.xxhash64(*COLUMN_ALIASES).cast("string")),
+        event_key=F.coalesce(F.nullif("id", F.lit("")), F.sha2(F.to_json(F.struct(*COLUMN_ALIASES)), 256)),
     )
 
 
@@ -134,10 +134,21 @@ def read_session_meta(df: DataFrame) -> DataFrame | None:
     def clean(name: str) -> Column:
         return text.non_blank(F.col(f"`{name}`").cast("string"))
 
+    updated = F.col(f"`{names['time_updated']}`") if "time_updated" in names else F.lit(None)
     meta = df.select(
-        clean(names["id"]).alias("id"), clean(names["title"]).alias("title"), clean(place).alias("directory")
-    )
-    return meta.where(F.col("id").isNotNull()).withColumn("project_name", text.folder_name(F.col("directory")))
+        clean(names["id"]).alias("id"), clean(names["title"]).alias("title"), clean(place).alias("directory"),
+        updated.cast("string").try_cast("bigint").alias("time_updated"),
+    )
+    named = meta.where(F.col("id").isNotNull()).withColumn("project_name", text.folder_name(F.col("directory")))
+    return one_meta(named).select("id", "title", "directory", "project_name")
+
+
+def one_meta(meta: DataFrame) -> DataFrame:
+    """One row per session id: the newest by ``time_updated`` where there is one, then the largest values."""
+    fields = [c for c in ("title", "directory", "project_name") if c in meta.columns]
+    order = [c for c in ("time_updated", *fields) if c in meta.columns]
+    last = F.max_by(F.struct(*fields), F.struct(*order)).alias("last")
+    return meta.groupBy("id").agg(last).select("id", "last.*")
 
 
 def read_jdbc(spark, url: str, table: str, partition_column: str, lower: int, upper: int, partitions: int) -> DataFrame:

@@ -10,7 +10,7 @@ from tallyforge.functions import variant as V
 from tallyforge.plans.ordered import First, final_values, running
 from tallyforge.plans.staging import cut
 from tallyforge.schema import SOURCE_RELATIONAL, SOURCE_TRANSCRIPT, as_usage
-from tallyforge.sources.lines import PART_SPACE, number_lines
+from tallyforge.sources.lines import PART_SPACE, UNREADABLE, number_lines
 
 # Where tools put each field, in order of preference.
 USAGE_OBJECT = [
@@ -40,12 +40,6 @@ CACHE_WRITE = [
 DURATION = ["duration_ms", "durationMs", "duration"]
 TTFT = ["time_to_first_token_ms", "timeToFirstTokenMs", "ttft_ms", "ttftMs", "first_token_ms"]
 
-# A line longer than this many bytes is rejected unread.
-MAX_LINE_BYTES = 8 * 1024 * 1024
-# A transcript file longer than this is not a session log.
-MAX_TRANSCRIPT_BYTES = 256 * 1024 * 1024
-
-
 _USAGE_LEAVES = [*INPUT, *OUTPUT, *REASONING, *CACHE_READ, *CACHE_WRITE, *DURATION, *TTFT, "status", "model"]
 _LINE_LEAVES = [
     *_USAGE_LEAVES, *MODEL, *TIMESTAMP, *SESSION, *PROJECT,
@@ -60,10 +54,14 @@ def _under(parent: str, names: list[str]) -> list[Column]:
     return [F.col(f"{parent}.{n}") for n in names]
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
+def _fits(value: Column, max_line_bytes: int | None) -> Column:
+    return F.lit(True) if max_line_bytes is None else F.octet_length(value) <= max_line_bytes
+
+
+def _parsed(lines: DataFrame, max_line_bytes: int | None) -> DataFrame:
     """``line`` is the parsed object (NULL where there is none) and ``usage`` its usage object: the first
     path that holds an object, else the line itself when it has a token field."""
-    fits = F.octet_length("value") <= MAX_LINE_BYTES
+    fits = _fits(F.col("value"), max_line_bytes)
     bodies = lines.withColumn("line", F.when(fits, V.parse_object(F.col("value"), _LINE)))
     roots = list(dict.fromkeys(leaf.split(".")[0] for leaf in _USAGE_LEAVES))
     flat = F.when(
@@ -96,13 +94,27 @@ def _fields() -> dict[str, Column]:
     }
 
 
-def extract_records(lines: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
+def refusal(body: Column, max_line_bytes: int | None = None) -> Column:
+    """Why a line that is no JSON object is refused; blank lines are not."""
+    return (
+        F.when(~body.rlike(r"[^\s]"), None)
+        .when(body.startswith(UNREADABLE), "unreadable file")
+        .when(~_fits(body, max_line_bytes), "oversized line")
+        .when(V.is_json(body), "not an object")
+        .otherwise("not JSON")
+    )
+
+
+def extract_records(
+    lines: DataFrame, extra: dict[str, Column] | None = None, max_line_bytes: int | None = None
+) -> DataFrame:
     """Lines frame to numbered rows with ``reason`` (NULL for good and skipped lines) and ``is_record``.
 
-    ``extra`` columns may use ``line``, the parsed object.
+    ``extra`` columns may use ``line``, the parsed object. Longer lines than ``max_line_bytes`` are rejected
+    unread; by default none is.
     """
-    fields = {**_fields(), **(extra or {})}
-    row = _parsed(lines).select(
+    fields = {**_fields(), "ts_given": V.first_present(_under("line", TIMESTAMP)).isNotNull(), **(extra or {})}
+    row = _parsed(lines, max_line_bytes).select(
         "source_file",
         "block",
         "pos",
@@ -110,17 +122,12 @@ def extract_records(lines: DataFrame, extra: dict[str, Column] | None = None) ->
         *[c.alias(n) for n, c in fields.items()],
     )
     has_tokens = F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull()
-    body = F.col("refused.value")
-    why = (
-        F.when(~body.rlike(r"[^\s]"), None)
-        .when(F.octet_length(body) > MAX_LINE_BYTES, "oversized line")
-        .when(V.is_json(body), "not an object")
-        .otherwise("not JSON")
-    )
-    undated = F.when(has_tokens & F.col("ts_ms").isNull(), "tokens without a timestamp")
+    why = refusal(F.col("refused.value"), max_line_bytes)
+    late = F.when(F.col("ts_given"), "unusable timestamp").otherwise("tokens without a timestamp")
+    undated = F.when(has_tokens & F.col("ts_ms").isNull(), late)
     reason = F.when(F.col("refused").isNotNull(), why).otherwise(undated)
     judged = row.withColumns({"reason": reason, "is_record": has_tokens & F.col("ts_ms").isNotNull()})
-    return number_lines(cut(judged.drop("refused")))
+    return number_lines(cut(judged.drop("refused", "ts_given")))
 
 
 def _tokens() -> dict[str, Column]:
@@ -157,15 +164,17 @@ def jsonl_usage(records: DataFrame, source: str = SOURCE_RELATIONAL) -> DataFram
     )
 
 
-def jsonl_rejects(records: DataFrame) -> DataFrame:
-    """Refused lines. A last line that is no JSON yet may still be being written and is not counted."""
+def rejected_lines(records: DataFrame) -> DataFrame:
+    """Refused lines of any log format. A last line that is no JSON yet may still be being written and is not counted."""
     unfinished = F.col("is_last") & (F.col("reason") == "not JSON")
     return records.where(F.col("reason").isNotNull() & ~unfinished).select("source_file", "line_no", "reason")
 
 
-def read_jsonl_usage(lines: DataFrame, source: str = SOURCE_RELATIONAL) -> tuple[DataFrame, DataFrame]:
-    records = extract_records(lines)
-    return jsonl_usage(records, source), jsonl_rejects(records)
+def read_jsonl_usage(
+    lines: DataFrame, source: str = SOURCE_RELATIONAL, max_line_bytes: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    records = extract_records(lines, max_line_bytes=max_line_bytes)
+    return jsonl_usage(records, source), rejected_lines(records)
 
 
 def keep_last_snapshot(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

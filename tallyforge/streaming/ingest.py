@@ -38,12 +38,13 @@ class LogFormat:
     rejects: Callable[[DataFrame], DataFrame] | None = None
 
 
-JSONL_FORMAT = LogFormat(transcripts.extract_records, transcripts.jsonl_usage, rejects=transcripts.jsonl_rejects)
+REJECTS = transcripts.rejected_lines
+JSONL_FORMAT = LogFormat(transcripts.extract_records, transcripts.jsonl_usage, rejects=REJECTS)
 TRANSCRIPT_FORMAT = LogFormat(
-    transcripts.transcript_records, transcripts.transcript_usage, transcripts.transcript_state
+    transcripts.transcript_records, transcripts.transcript_usage, transcripts.transcript_state, REJECTS
 )
-ROLLOUT_FORMAT = LogFormat(rollouts.rollout_records, rollouts.rollout_usage, rollouts.rollout_state)
-EVENT_LOG_FORMAT = LogFormat(event_logs.event_records, event_logs.sequenced_usage, event_logs.sequenced_state)
+ROLLOUT_FORMAT = LogFormat(rollouts.rollout_records, rollouts.rollout_usage, rollouts.rollout_state, REJECTS)
+EVENT_LOG_FORMAT = LogFormat(event_logs.event_records, event_logs.sequenced_usage, event_logs.sequenced_state, REJECTS)
 
 
 # <log name>/<number>.jsonl
@@ -187,7 +188,7 @@ class IngestLog(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         if event.exception:
-            self._append(False, 0, event.exception[:1000])
+            self._append(False, 0, event.exception)
 
 
 def revision(log: DataFrame) -> DataFrame:

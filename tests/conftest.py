@@ -28,10 +28,10 @@ def spark():
 @pytest.fixture
 def usage_of(spark):
     """Usage rows from dicts; fields not given get plain defaults."""
-    from tallyforge.schema import USAGE
+    from tallyforge.schema import SOURCE_RELATIONAL, USAGE
 
     defaults = {
-        "source": "zcode", "ts_ms": 0, "model": "m", "input_tokens": 0, "output_tokens": 0,
+        "source": SOURCE_RELATIONAL, "ts_ms": 0, "model": "m", "input_tokens": 0, "output_tokens": 0,
         "reasoning_in_output": False, "duration_derived": False, "source_file": "f",
     }
 

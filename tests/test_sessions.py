@@ -88,10 +88,10 @@ def test_switches_and_card(usage_of):
     assert sessions.active_session_card(local, later).first().active_model == "a"
 
 
-def test_switch_limit(usage_of):
+def test_all_switches_are_kept(usage_of):
     usage = usage_of(*[dict(session_id="s", ts_ms=i * 3_000_000, model="ab"[i % 2]) for i in range(120)])
     rows = sessions.model_switches(usage).orderBy("place").collect()
-    assert len(rows) == 50 and rows[-1].ts_ms == 49 * 3_000_000
+    assert len(rows) == 120 and rows[-1].ts_ms == 119 * 3_000_000
 
 
 def test_top_models_and_one_session(usage_of):

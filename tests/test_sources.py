@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import caliber
 from tallyforge.operators import aggs, quality
-from tallyforge.schema import USAGE
+from tallyforge.schema import USAGE, with_ts_date
 from tallyforge.sources import event_logs, lines, rollouts, tables, transcripts
 from tests_data import T0, assistant, event, iso, usage_event
 
@@ -24,11 +24,17 @@ def test_listing_skips_folders(spark, log_dir):
         "node_modules/no.jsonl": ["{}"], "a/.git/no.jsonl": ["{}"], "with space+plus/three.jsonl": ["{}"],
         "1/2/3/4/5/6/7/8/deep.jsonl": ["{}"], "1/2/3/4/5/6/7/8/9/too-deep.jsonl": ["{}"],
     })
-    got = [(r.source_file.removeprefix(root + "/"), r.kind) for r in lines.list_usage_files(spark, root).collect()]
-    assert sorted(got) == [
-        ("1/2/3/4/5/6/7/8/deep.jsonl", "lines"), ("a/one.jsonl", "lines"), ("a/two.JSONL", "lines"),
-        ("b/usage.db", "table"), ("with space+plus/three.jsonl", "lines"),
-    ]
+    def names(found):
+        return sorted(r.source_file.removeprefix(root + "/") for r in found.select("source_file").distinct().collect())
+
+    texts = ["1/2/3/4/5/6/7/8/deep.jsonl", "a/one.jsonl", "a/two.JSONL", "with space+plus/three.jsonl"]
+    deep = "1/2/3/4/5/6/7/8/9/too-deep.jsonl"
+    listed = lines.list_usage_files(spark, root)
+    assert names(listed.where("kind = 'table'")) == ["b/usage.db"]
+    assert names(listed.where("kind = 'lines'")) == names(lines.scan_lines(spark, root)) == sorted([deep, *texts])
+    assert names(lines.list_usage_files(spark, root, 8).where("kind = 'lines'")) == texts
+    assert names(lines.scan_lines(spark, root, max_depth=8)) == texts
+    assert names(lines.scan_lines(spark, [f"{root}/a", f"{root}/1/2/3"])) == sorted([deep, texts[0], *texts[1:3]])
 
 
 def test_line_numbers_survive_splitting(spark, log_dir):
@@ -63,9 +69,12 @@ def test_generic_dialects_and_rejects(spark, log_dir):
         "[1, 2]", '"text"', "{broken", "", "   ", '{"a": 1} {"b": 2}', "x" * (8 * 1024 * 1024 + 1),
         '{"half": ',
     ]})
-    usage, rejects = transcripts.read_jsonl_usage(lines.scan_lines(spark, root))
+    limit = 8 * 1024 * 1024
+    usage, rejects = transcripts.read_jsonl_usage(lines.scan_lines(spark, root), max_line_bytes=limit)
     rows = {r.line_no: r for r in usage.collect()}
     assert sorted(rows) == [1, 2, 3, 4]
+    unlimited = transcripts.read_jsonl_usage(lines.scan_lines(spark, root))[1]
+    assert [r.reason for r in unlimited.where("line_no = 14").collect()] == ["not JSON"]
     assert usage.schema.fieldNames() == USAGE.fieldNames()
     assert (rows[1].session_id, rows[1].project, rows[1].model) == ("s9", "my-app", "m1")
     assert rows[2].session_id == stem and rows[2].ts_ms == 1_700_000_001_000
@@ -119,15 +128,15 @@ def test_model_follows_the_context(spark, log_dir):
 
 def test_request_durations(spark, log_dir):
     rows, _ = read_rollout(spark, log_dir, [
-        item(0, "message", "user"), item(3_000, "reasoning"), item(6_900, "function_call"), usage_event(8_000, 1),
-        item(9_000, "function_call_output"), item(9_500, "custom_tool_call_output"), item(11_500, "message", "assistant"),
-        usage_event(12_000, 2),
-        item(12_000, "local_shell_call_output"), item(12_050, "message", "assistant"), usage_event(12_060, 3),
-        item(13_000, "reasoning"), usage_event(13_500, 4),
-        item(14_000, "message", "user"), usage_event(16_000, 5),
-        item(17_000, "message", "user"), item(17_000 + 600_001, "reasoning"), usage_event(17_000 + 600_002, 6),
+        item(0, "message", "user"), item(1_200, "reasoning"), item(4_350, "function_call"), usage_event(5_000, 1),
+        item(6_100, "function_call_output"), item(6_400, "custom_tool_call_output"), item(7_720, "message", "assistant"),
+        usage_event(8_000, 2),
+        item(8_000, "local_shell_call_output"), item(8_040, "message", "assistant"), usage_event(8_050, 3),
+        item(9_000, "reasoning"), usage_event(9_700, 4),
+        item(10_000, "message", "user"), usage_event(13_300, 5),
+        item(14_000, "message", "user"), item(14_000 + 600_001, "reasoning"), usage_event(14_000 + 600_002, 6),
     ])
-    assert [r.duration_ms for r in rows] == [6_900, 2_500, None, None, 2_000, None]
+    assert [r.duration_ms for r in rows] == [4_350, 1_620, None, None, 3_300, None]
     assert [r.duration_derived for r in rows] == [True, True, False, False, True, False]
 
 
@@ -162,11 +171,11 @@ def test_rate_limits(spark, log_dir):
 EVENTS = [
     event("request/header", 0, {"header": {"config": {"provider": "p", "model": "deep"}, "cwd": "/w/z"}}),
     event("assistant/message", 1, {"usage": {
-        "inputTokens": 1000, "outputTokens": 500, "reasoningTokens": 200, "cacheReadTokens": 100, "cacheWriteTokens": 40}}),
+        "inputTokens": 731, "outputTokens": 218, "reasoningTokens": 57, "cacheReadTokens": 1302, "cacheWriteTokens": 66}}),
     {"event": event("model/selection", 2, {"selection": {"model": {"modelId": "picked"}}})},
-    {"event": event("assistant/message", 3, {"usage": {"outputTokens": 7}})},
+    {"event": event("assistant/message", 3, {"usage": {"outputTokens": 13}})},
     event("tool/result", 4, {"usage": {"inputTokens": 999}}),
-    {"type": "assistant/message", "time": T0, "data": {"usage": {"inputTokens": 1}}},
+    {"type": "assistant/message", "time": T0, "data": {"usage": {"inputTokens": 4}}},
 ]
 
 
@@ -174,10 +183,10 @@ def test_event_log(spark, log_dir):
     usage, files = event_logs.read_event_logs(lines.scan_lines(spark, log_dir({"sessions/id1/log.jsonl": EVENTS})))
     rows = usage.orderBy("line_no").collect()
     assert [(r.model, r.total_override, r.reasoning_tokens) for r in rows] == [
-        ("deep", 1640, 200), ("picked", 7, 0), ("picked", 1, 0)
+        ("deep", 2317, 57), ("picked", 13, 0), ("picked", 4, 0)
     ]
     assert {r.session_id for r in rows} == {"id1"} and rows[0].project == "/w/z"
-    assert usage.agg(F.sum(caliber.display_total())).first()[0] == 1648
+    assert usage.agg(F.sum(caliber.display_total())).first()[0] == 2334
     assert files.first().project_path == "/w/z"
 
 
@@ -195,7 +204,7 @@ def test_compressed_event_log(spark, tmp_path):
     scanned = event_logs.scan_compressed_lines(spark, str(tmp_path / "x"))
     usage, _ = event_logs.read_compressed_event_logs(scanned)
     assert [(r.model, r.total_override) for r in usage.orderBy("line_no").collect()] == [
-        ("deep", 1640), ("picked", 7), ("picked", 3)
+        ("deep", 2317), ("picked", 13), ("picked", 3)
     ]
     assert usage.first().session_id == "id2"
 
@@ -268,9 +277,9 @@ def test_session_meta(spark):
 
 def test_three_sources_together(spark, log_dir):
     root = log_dir({
-        "r/a.jsonl": [context("m"), usage_event(0, 1000, input_tokens=900, output_tokens=100), usage_event(1, 1114, input_tokens=1000, output_tokens=114)],
+        "r/a.jsonl": [context("m"), usage_event(0, 700, input_tokens=600, output_tokens=100), usage_event(1, 905, input_tokens=790, output_tokens=115)],
         "e/s1/log.jsonl": EVENTS[:2],
-        "t/b.jsonl": [assistant(0, "m1", 25, 300)],
+        "t/b.jsonl": [assistant(0, "m1", 31, 212)],
     })
     scan = lambda part: lines.scan_lines(spark, f"{root}/{part}")
     usage = aggs.union_sources(
@@ -278,4 +287,50 @@ def test_three_sources_together(spark, log_dir):
         transcripts.read_transcripts(scan("t"))[0],
     )
     got = {r.source: r.total for r in aggs.usage_agg(usage, ["source"]).collect()}
-    assert got == {"codex": 1114, "dsh": 1640, "claude-code": 445}
+    assert got == {"codex": 905, "dsh": 2317, "claude-code": 363}
+
+
+# --- bad and repeated inputs -------------------------------------------------------------------------
+
+
+def test_rejects_of_every_format(spark, log_dir):
+    bad = ["{broken", '"text"', "", '{"no": "kind"}', "{half"]
+    root = log_dir({"x/log.jsonl": bad})
+    for read in (rollouts.rollout_records, event_logs.event_records, transcripts.transcript_records):
+        got = transcripts.rejected_lines(read(lines.scan_lines(spark, root))).collect()
+        assert sorted((r.line_no, r.reason) for r in got) == [(1, "not JSON"), (2, "not an object")]
+
+
+def test_unreadable_compressed_file_is_a_reject(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "bad.jsonl.zst").write_bytes(b"no frame at all")
+    records = event_logs.event_records(event_logs.scan_compressed_lines(spark, str(tmp_path / "x")))
+    got = transcripts.rejected_lines(records).collect()
+    assert [(r.source_file[-13:], r.reason) for r in got] == [("bad.jsonl.zst", "unreadable file")]
+
+
+def test_far_times_are_rejects(spark, log_dir):
+    root = log_dir({"a.jsonl": [
+        {"ts": n, "usage": {"input_tokens": 1}} for n in (T0, 9_000_000_000_000_000_000, 253_402_300_799_999, 253_402_300_800_000)
+    ] + [{"ts": "x", "usage": {"input_tokens": 1}}]})
+    usage, rejects = transcripts.read_jsonl_usage(lines.scan_lines(spark, root))
+    days = [str(r.ts_date) for r in with_ts_date(usage).orderBy("line_no").collect()]
+    assert days == ["2023-11-14", "9999-12-31"]
+    assert sorted((r.line_no, r.reason) for r in rejects.collect()) == [(n, "unusable timestamp") for n in (2, 4, 5)]
+
+
+def test_huge_counts_stop_at_the_largest_number(spark, log_dir):
+    most = 9_223_372_036_854_775_807
+    root = log_dir({"a.jsonl": [{"ts": T0, "usage": {"input_tokens": most, "output_tokens": 5}}] * 2})
+    usage, _ = transcripts.read_jsonl_usage(lines.scan_lines(spark, root))
+    row = aggs.usage_agg(usage).first()
+    assert (row.input, row.output, row.total) == (most, 10, most)
+    empty = aggs.usage_agg(usage.where("false")).first()
+    assert (empty.requests, empty.input, empty.total) == (0, 0, 0)
+
+
+def test_newest_session_metadata_counts(spark):
+    rows = [("a", "old", "/x", 1), ("a", "new", "/y", 5), ("b", "one", None, None), ("b", "two", None, None)]
+    df = spark.createDataFrame(rows, "id string, title string, directory string, time_updated long")
+    got = sorted(tuple(r) for r in tables.read_session_meta(df).select("id", "title", "directory").collect())
+    assert got == [("a", "new", "/y"), ("b", "two", None)]
