@@ -21,6 +21,7 @@ from .storage import discard, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+LEAST = 8  # common rare shingles asked of a pair before full sets are compared
 PRINTS = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
@@ -89,12 +90,50 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("union"))
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """``node, single``: how many of its shingles no other set has. They are in no intersection, which bounds
-    a set's likeness to any other."""
-    grams = sets.select("doc_id", F.explode("grams").alias("gram"))
-    owners = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("node")).where("n = 1")
-    return owners.groupBy("node").agg(F.count("*").alias("single"))
+def rarest_first(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``node, n, part, least, prefix, longer`` for the sets of ``nodes`` (``node, n, part``).
+
+    With a set's shingles ordered from the rarest, two sets alike enough to be linked have their first common
+    shingle among the first ``n - o + 1`` of both (``prefix``), where ``o`` is the least overlap that a link
+    asks of a set of that size, and at least ``least`` common ones among the first ``n - o + LEAST``
+    (``longer``).
+    """
+    grams = sets.join(nodes, sets["doc_id"] == nodes["node"]).select("node", "n", "part", F.explode("grams").alias("gram"))
+    known = staged(grams.groupBy("gram").agg(F.count("*").alias("seen")), "near-seen")
+    counted = grams.join(known, "gram")
+    lists = counted.groupBy("node", "n", "part").agg(F.sort_array(F.collect_list(F.struct("seen", "gram"))).alias("order"))
+    overlap = F.ceil(F.col("n") * percent / 100).cast("int")
+    first, more = (F.slice("order", F.lit(1), F.col("n").cast("int") - overlap + k) for k in (F.lit(1), F.least(overlap, F.lit(LEAST))))
+    return lists.select(
+        "node", "n", "part", F.least(overlap, F.lit(LEAST)).alias("least"),
+        F.transform(F.filter(first, lambda x: x["seen"] > 1), lambda x: x["gram"]).alias("prefix"),
+        F.transform(more, lambda x: x["gram"]).alias("longer"),
+    )
+
+
+def possible_links(ordered: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of sets in different parts that may be linked, each once, by its first common shingle.
+
+    Of the sets with one rare shingle those of the most frequent part are not compared with one another.
+    """
+    rare = ordered.select("node", "part", F.explode("prefix").alias("gram"))
+    per_part = rare.groupBy("gram", "part").agg(F.count("*").alias("n"))
+    mixed = per_part.groupBy("gram").agg(F.count("*").alias("parts"), F.max_by("part", "n").alias("main")).where("parts > 1")
+    mixed = staged(mixed.select("gram", "main"), "near-mixed")
+    rows = staged(rare.join(mixed, "gram").select("gram", "main", "node").join(ordered.drop("prefix"), "node"), "near-rare")
+    fields = ("node", "n", "part", "least", "longer")
+    left = rows.where("part <> main").select("gram", *[F.col(c).alias(f"{c}_a") for c in fields])
+    right = rows.select("gram", "main", *[F.col(c).alias(f"{c}_b") for c in fields])
+    common = F.array_intersect("longer_a", "longer_b")
+    possible = (
+        (F.col("part_a") != F.col("part_b"))
+        & ((F.col("part_b") == F.col("main")) | (F.col("part_a") < F.col("part_b")))
+        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        & (F.get(common, F.lit(0)) == F.col("gram"))
+        & (F.size(common) >= F.least("least_a", "least_b"))
+    )
+    pairs = left.join(right.withColumnRenamed("gram", "gram_b"), (F.col("gram") == F.col("gram_b")) & possible)
+    return pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
 
 
 def near_components(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -102,12 +141,11 @@ def near_components(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
 
     Documents with equal sets are one node, the smallest doc_id. Nodes that share a band form a bucket.
     First every node is compared with its buckets' pivots (the member in the fullest buckets, the centre of a
-    group of copies), on full sets. Then, where a bucket still spans components, members of different ones are
-    compared too, but for pairs that are ruled out by their sizes, by the shingles that no other of these
-    documents has, or by the triangle inequality of the Jaccard distance to the pivot. So every pair that shares a band is linked, ruled out, or already connected, without listing all
-    pairs of a bucket; no bucket is capped.
+    group of copies), on full sets. Then, where a bucket still spans components, its members are compared with
+    members of other components, but only pairs that share a rare shingle (prefix filter) and enough of the
+    rarest ones to be linked at all. Both filters are exact, so no link between these members is lost, without
+    listing all pairs of a bucket; no bucket is capped.
     """
-    far = 1 - percent / 100 + 1e-9
     linked = F.col("both") * F.lit(100) >= F.col("union") * F.lit(percent)
     named = prints.where("doc_id is not null and n_shingles > 0")
     classes = named.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"))
@@ -125,25 +163,11 @@ def near_components(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     pairs = placed.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     first = staged(compared(pairs, sets), "near-compared")
     parts = components(first.where(linked))
-    likeness = first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("both") / F.col("union")).alias("d"))
-    known = placed.join(parts, "node", "left").join(likeness, ["node", "pivot"], "left")
-    known = known.select("band", "node", "n", F.coalesce("component", "node").alias("part"), F.coalesce("d", F.lit(0.0)).alias("d"))
+    known = placed.join(parts, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("part"))
     known = staged(known, "near-known")
     apart = known.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
-    open_ = known.join(apart, "band").withColumn("ring", F.floor(F.col("d") / F.lit(far)))
-    single = own_shingles(sets.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    live = F.col("n") - F.coalesce("single", F.lit(0))
-    open_ = open_.join(single, "node", "left").withColumn("live", live).where(F.col("live") * 100 >= F.col("n") * percent)
-    fields = ("node", "n", "part", "d", "live")
-    left = open_.select("band", F.explode(F.array(*[F.col("ring") + i for i in (-1, 0, 1)])).alias("ring"), *[F.col(c).alias(f"{c}_a") for c in fields])
-    right = open_.select("band", "ring", *[F.col(c).alias(f"{c}_b") for c in fields])
-    possible = (
-        (F.col("part_a") < F.col("part_b"))
-        & (F.abs(F.col("d_a") - F.col("d_b")) <= far)
-        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        & (F.least("live_a", "live_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
-    )
-    rest = left.join(right, ["band", "ring"]).where(possible).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+    nodes = staged(known.join(apart, "band").select("node", "n", "part").distinct(), "near-open")
+    rest = possible_links(staged(rarest_first(sets, nodes, percent), "near-ordered"), percent)
     done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     second = staged(compared(rest.join(done, ["a", "b"], "left_anti"), sets), "near-compared")
     late = second.where(linked)
