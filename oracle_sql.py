@@ -672,3 +672,54 @@ ORACLES |= {
         max(CASE shape WHEN 'flat' THEN ms // 1000 * 1000 ELSE ms END) AS last_ts_ms
         FROM ge WHERE shape IN ('nested', 'flat') GROUP BY 1""",
 }
+
+ORACLES |= {
+    "one_model_usage": q(f"SELECT source, {REQ_TOT} FROM u WHERE model = 'glm-5.3' GROUP BY 1"),
+    "one_session_usage": q(f"SELECT source, model, {REQ_TOT} FROM u WHERE session_id = 's7' GROUP BY 1, 2"),
+    "split_session_ids": q(
+        "SELECT source, session_id, count(*) AS requests, true AS same FROM u WHERE session_id IS NOT NULL GROUP BY 1, 2"
+    ),
+    "picked_usage_table": """SELECT 'lines' AS source_file, l_returnflag AS model, count(*) AS requests,
+        CAST(sum(l_partkey) AS BIGINT) AS input FROM lineitem GROUP BY 2""",
+    "session_meta_repeated": q(
+        f"""SELECT id, m.title, m.directory AS project_path, requests, total FROM (
+              SELECT {PREFIX} || session_id AS id, source, session_id, {REQ_TOT} FROM u WHERE session_id IS NOT NULL GROUP BY source, session_id)
+            LEFT JOIN (SELECT 's' || (o_custkey % 150) AS sid, arg_max('order ' || o_orderkey, o_orderkey) AS title,
+                              arg_max('/work/o-' || (o_orderkey % 9), o_orderkey) AS directory FROM orders GROUP BY 1) m
+              ON m.sid = session_id AND source = {ZC}"""
+    ),
+    "latest_fx": """SELECT round(6.0 + (o_orderkey % 200) / 100.0, 6)::DOUBLE AS usd_cny,
+          strftime(o_orderdate, '%Y-%m-%d') || '#' || lpad(o_orderkey::VARCHAR, 12, '0') AS updated_at, 'cache' AS source
+        FROM orders ORDER BY 2 DESC LIMIT 1""",
+    "csv_round_trip": q(
+        f"""SELECT model, count(*) AS requests, {b('sum(inp)', '"inputTokens"')}, {b('sum(tot)', '"totalTokens"')} FROM u GROUP BY 1"""
+    ),
+    "json_round_trip": q(
+        f"""SELECT model, count(*) AS requests, {b('sum(inp)', '"inputTokens"')}, {b('sum(tot)', '"totalTokens"')},
+        coalesce(printf('%.4f', sum(cr)::DOUBLE / nullif(sum(hit_den), 0)), 'unavailable') AS "cacheHitRate" FROM u GROUP BY 1"""
+    ),
+    "rollup_snapshot": q(
+        f"""SELECT 'all_models' AS name, model, {REQ_TOT} FROM u GROUP BY 2 UNION ALL
+        SELECT 'today_models', model, {REQ_TOT} FROM u WHERE ts_ms BETWEEN {TODAY} AND {NOW} GROUP BY 2"""
+    ),
+    "usage_view": q(
+        f"""SELECT count(*) AS requests, {b('sum(tot)', 'total')}, {HIT}, round(sum(cost), 9) AS total_cost_cny,
+        count(*) AS revision FROM r WHERE ts_ms BETWEEN {FROM_30D} AND {NOW}""",
+        costed("price"),
+    ),
+    "path_hints": f"""WITH {GENERIC} SELECT
+        CASE shape WHEN 'nested' THEN 'g' || eid ELSE '00000000-0000-4000-8000-' || lpad(stem[2:], 12, '0') END AS session_id,
+        'app-' || right(stem, 1) AS project, count(*) AS requests
+        FROM ge WHERE shape IN ('nested', 'flat') GROUP BY 1, 2""",
+    "reader_rejects": f"""WITH {GENERIC}, f(format) AS (VALUES ('transcript'), ('rollout'), ('events'))
+        SELECT format, shape AS reason, count(*) AS lines FROM ge, f
+        WHERE shape = 'not an object' OR (shape = 'not JSON' AND NOT is_last)
+           OR (shape = 'tokens without a timestamp' AND format = 'transcript') GROUP BY 1, 2""",
+    "jsonl_far_times": f"""WITH {GENERIC}, w AS (SELECT CASE
+          WHEN shape = 'flat' AND eid % 2 = 0 THEN 'unusable timestamp'
+          WHEN shape IN ('flat', 'nested') THEN strftime(make_timestamp(ms * 1000), '%Y-%m-%d')
+          WHEN shape IN ('not an object', 'tokens without a timestamp') OR (shape = 'not JSON' AND NOT is_last) THEN shape END AS what FROM ge)
+        SELECT what, count(*) AS lines FROM w WHERE what IS NOT NULL GROUP BY 1""",
+    "scanned_files": f"""WITH {GENERIC} SELECT CASE WHEN shape IN ('nested', 'flat') THEN model ELSE shape END AS what, count(*) AS lines
+        FROM ge WHERE shape IN ('nested', 'flat', 'not an object', 'tokens without a timestamp') GROUP BY 1""",
+}

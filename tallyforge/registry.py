@@ -15,10 +15,11 @@ from tallyforge.operators import aggs, details, pricing, quality, sessions, spee
 from tallyforge.plans.ordered import Last, running
 from tallyforge.plans.ranges import DAY_MS, filter_range, resolve_span
 from tallyforge.plans.staging import scratch_path
-from tallyforge.schema import SOURCE_ROLLOUT, SOURCES
+from tallyforge.schema import SOURCE_ROLLOUT, SOURCES, with_ts_date
 from tallyforge.sinks import exports
 from tallyforge.sources import event_logs, rollouts, tables, transcripts
 from tallyforge.sources import prices as price_source
+from tallyforge.sources.lines import scan_lines
 from tallyforge.streaming import ingest, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -601,6 +602,7 @@ def dedup_replay(spark, sf_dir):
 
 PARTS = 2
 LOGS = 16
+FILES = 8  # of a part, and read per trigger
 
 
 def _land(df: DataFrame, part: Column, root: str, write) -> None:
@@ -639,8 +641,8 @@ def _ingested(spark, lines: DataFrame, fmt, name: str, part: Column, unseen_only
 def stream_hourly(spark, sf_dir):
     work = scratch_path(spark, "stream-hourly")
     events = _events(spark, sf_dir)
-    _land(events, F.col("event_id") % PARTS, f"{work}/landed", lambda df, path: df.coalesce(1).write.parquet(path))
-    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+    _land(events, F.col("event_id") % PARTS, f"{work}/landed", lambda df, path: df.repartition(FILES).write.parquet(path))
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).option("recursiveFileLookup", True)
     usage = fixtures.usage_from_events(reader.parquet(f"{work}/landed"))
     view = views.live_model_trend(usage, lateness="60 days")
     views.start_view(view, f"{work}/out", f"{work}/checkpoint").awaitTermination()
@@ -651,8 +653,8 @@ def stream_hourly(spark, sf_dir):
 def stream_session_rate(spark, sf_dir):
     work = scratch_path(spark, "stream-rate")
     events = _events(spark, sf_dir)
-    _land(events, F.col("event_id") % PARTS, f"{work}/landed", lambda df, path: df.coalesce(1).write.parquet(path))
-    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+    _land(events, F.col("event_id") % PARTS, f"{work}/landed", lambda df, path: df.repartition(FILES).write.parquet(path))
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).option("recursiveFileLookup", True)
     usage = fixtures.usage_from_events(reader.parquet(f"{work}/landed"))
     view = views.live_session_rate(usage, lateness="60 days")
     views.start_view(view, f"{work}/out", f"{work}/checkpoint").awaitTermination()
@@ -698,3 +700,148 @@ def stream_jsonl_usage(spark, sf_dir):
     part = _stretch(spark, sf_dir)
     usage = _ingested(spark, lines, ingest.JSONL_FORMAT, "stream-jsonl", part)
     return aggs.usage_agg(usage, ["model"]).select("model", "requests", "total", "first_ts_ms", "last_ts_ms")
+
+
+# --- readers and sinks that the queries above do not reach -----------------------------------------------
+
+
+@query
+def one_model_usage(spark, sf_dir):
+    rows = aggs.by_model(usage_table(spark, sf_dir), "glm-5.3")
+    return aggs.usage_agg(rows, ["source"]).select("source", "requests", "total")
+
+
+@query
+def one_session_usage(spark, sf_dir):
+    rows = aggs.by_session(usage_table(spark, sf_dir), "s7")
+    return aggs.usage_agg(rows, ["source", "model"]).select("source", "model", "requests", "total")
+
+
+@query
+def split_session_ids(spark, sf_dir):
+    """Shown ids back to source and raw id."""
+    usage = usage_table(spark, sf_dir).where(F.col("session_id").isNotNull())
+    shown = text.prefix_session(F.col("source"), F.col("session_id"))
+    found = usage.select("source", text.split_prefixed(shown).alias("s")).withColumn("same", F.col("source") == F.col("s.source"))
+    return found.groupBy("s.source", "s.session_id").agg(F.count(F.lit(1)).alias("requests"), F.min("same").alias("same"))
+
+
+@query
+def picked_usage_table(spark, sf_dir):
+    """The table that looks most like usage, among tables that do so less or not at all."""
+    lines = fixtures.load(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("prompt_tokens"),
+        F.col("l_suppkey").alias("completion_tokens"),
+        F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("ts"),
+        F.col("l_returnflag").alias("model"),
+    )
+    half = fixtures.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("input"), F.col("o_custkey").alias("other"))
+    found = {"nation": fixtures.load(spark, sf_dir, "nation"), "half": half, "lines": lines}
+    picked = tables.pick_usage_table(found)
+    usage = tables.map_usage_table(found[picked], source_file=picked)
+    return usage.groupBy("source_file", "model").agg(F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("input"))
+
+
+@query
+def session_meta_repeated(spark, sf_dir):
+    """Several metadata rows per session: the newest counts, and sessions are not multiplied."""
+    orders = fixtures.load(spark, sf_dir, "orders").select(
+        F.concat(F.lit("s"), (F.col("o_custkey") % 150).cast("string")).alias("id"),
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"),
+        F.concat(F.lit("/work/o-"), (F.col("o_orderkey") % 9).cast("string")).alias("directory"),
+        F.col("o_orderkey").alias("time_updated"),
+    )
+    sums = sessions.store_sessions(usage_table(spark, sf_dir), tables.read_session_meta(orders))
+    return sums.select("id", "title", "project_path", "requests", "total")
+
+
+@query
+def latest_fx(spark, sf_dir):
+    """The newest of many cached rates."""
+    table, _ = fixtures.price_documents()
+    parsed = price_source.parse_price_table(spark.createDataFrame([(table,)], "value string"))
+    key = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
+    cached = fixtures.load(spark, sf_dir, "orders").select(
+        (F.lit(6.0) + (F.col("o_orderkey") % 200) / F.lit(100.0)).alias("usd_cny"),
+        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("#"), key).alias("updated_at"),
+        F.lit("cache").alias("source"),
+    )
+    return price_source.latest_fx(parsed, cached).withColumn("usd_cny", F.round("usd_cny", 6))
+
+
+@query
+def csv_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "export-csv")
+    exports.write_csv(exports.export_models(usage_table(spark, sf_dir)), path)
+    back = spark.read.csv(path, header=True, escape='"', nullValue="null")
+    return back.select("model", *[F.col(c).cast("bigint").alias(c) for c in ("requests", "inputTokens", "totalTokens")])
+
+
+@query
+def json_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "export-json")
+    exports.write_json(exports.export_models(usage_table(spark, sf_dir)), path)
+    return spark.read.json(path).select("model", "requests", "inputTokens", "totalTokens", "cacheHitRate")
+
+
+@query
+def rollup_snapshot(spark, sf_dir):
+    path = scratch_path(spark, "rollups")
+    usage = usage_table(spark, sf_dir)
+    today = resolve_span("today", NOW_MS)
+    exports.write_rollups(usage, _all_sessions(spark, sf_dir), filter_range(usage, today.from_ms, today.to_ms), path)
+    models = [exports.read_rollup(spark, path, n).select(F.lit(n).alias("name"), "model", "requests", "total") for n in ("today_models", "all_models")]
+    return models[0].unionByName(models[1])
+
+
+@query
+def usage_view(spark, sf_dir):
+    """Totals, cost and row count of one dashboard view, on one row."""
+    view = details.usage_view(usage_table(spark, sf_dir), prices_in_effect(spark), FX_USD_CNY, "30d", NOW_MS)
+    totals = view.totals.select("requests", "total", "hit_rate")
+    cost = view.cost.select("total_cost_cny")
+    rows = view.revision.agg(F.sum("revision").alias("revision"))
+    return totals.crossJoin(cost).crossJoin(rows).withColumns(rounded("hit_rate", "total_cost_cny"))
+
+
+@query
+def path_hints(spark, sf_dir):
+    """Session and project of lines that name none come from the file's path."""
+    uid = F.regexp_extract("source_file", r"/f([0-9]+)\.jsonl$", 1)
+    stem = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(uid, 12, "0"))
+    path = F.concat(F.lit("/home/u/Projects/app-"), F.right(uid, F.lit(1)), F.lit("/"), stem, F.lit(".jsonl"))
+    lines = sample_logs.generic_lines(_events(spark, sf_dir)).withColumn("source_file", path)
+    usage, _ = transcripts.read_jsonl_usage(lines)
+    return usage.groupBy("session_id", "project").agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query
+def reader_rejects(spark, sf_dir):
+    """Refused lines of three formats over the same bad lines."""
+    lines = sample_logs.generic_lines(_events(spark, sf_dir))
+    formats = {"transcript": transcripts.transcript_records, "rollout": rollouts.rollout_records, "events": event_logs.event_records}
+    found = [transcripts.rejected_lines(f(lines)).select(F.lit(n).alias("format"), "reason") for n, f in formats.items()]
+    return aggs.union_sources(*found).groupBy("format", "reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query
+def jsonl_far_times(spark, sf_dir):
+    """Times outside the calendar are rejects; days of the others can be computed."""
+    lines = sample_logs.generic_lines(_events(spark, sf_dir))
+    far = F.regexp_replace("value", r'"ts":([0-9]+)', '"ts":9$1000000000')
+    lines = lines.withColumn("value", F.when(F.col("pos") % 2 == 0, far).otherwise(F.col("value")))
+    usage, rejects = transcripts.read_jsonl_usage(lines)
+    days = with_ts_date(usage).groupBy(F.col("ts_date").cast("string").alias("what")).agg(F.count(F.lit(1)).alias("lines"))
+    return days.unionByName(rejects.groupBy(F.col("reason").alias("what")).agg(F.count(F.lit(1)).alias("lines")))
+
+
+@query
+def scanned_files(spark, sf_dir):
+    """Lines landed as text files and read back from disk; a folder that is never searched adds nothing."""
+    root = scratch_path(spark, "scanned-files")
+    values = sample_logs.generic_lines(_events(spark, sf_dir)).select("value")
+    values.write.text(f"{root}/logs")
+    values.write.text(f"{root}/node_modules")
+    usage, rejects = transcripts.read_jsonl_usage(scan_lines(spark, root, "*.txt"))
+    kinds = [usage.select(F.col("model").alias("what")), rejects.where("reason <> 'not JSON'").select(F.col("reason").alias("what"))]
+    return aggs.union_sources(*kinds).groupBy("what").agg(F.count(F.lit(1)).alias("lines"))

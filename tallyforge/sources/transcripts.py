@@ -97,7 +97,7 @@ def _fields() -> dict[str, Column]:
 def refusal(body: Column, max_line_bytes: int | None = None) -> Column:
     """Why a line that is no JSON object is refused; blank lines are not."""
     return (
-        F.when(~body.rlike(r"[^\s]"), None)
+        F.when(body.isNull() | ~body.rlike(r"[^\s]"), None)
         .when(body.startswith(UNREADABLE), "unreadable file")
         .when(~_fits(body, max_line_bytes), "oversized line")
         .when(V.is_json(body), "not an object")

@@ -14,9 +14,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tallyforge.plans.staging import cut
@@ -74,20 +74,22 @@ def landed_lines(
     )
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Folders of earlier batches, or None before the first."""
-    try:
-        return spark.read.parquet(path).where(F.col("batch_id") < batch_id)
-    except AnalysisException as problem:
-        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def latest_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Newest state per log among earlier batches."""
-    stored = _earlier(spark, path, batch_id)
-    return None if stored is None else keep_last_snapshot(stored, ["source_file"], "batch_id").drop("batch_id")
+    """State after the batch before this one. A batch writes the state of every log, its own and those it did
+    not touch, so only the newest folder is read, however many batches there were."""
+    for earlier in range(batch_id - 1, -1, -1):
+        folder = f"{path}/batch_id={earlier}"
+        if _exists(spark, folder):
+            return spark.read.parquet(folder)
+    return None
+
+
+STORED = T.StructType([*USAGE.fields, T.StructField("batch_id", T.IntegerType()), T.StructField("ts_date", T.DateType())])
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, partitions: list[str] | None = None) -> None:
@@ -95,15 +97,14 @@ def write_batch(df: DataFrame, path: str, batch_id: int, partitions: list[str] |
 
 
 def unseen(batch: DataFrame, spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """Rows of ``batch`` whose key no earlier batch stored. Only the days the batch touches are read."""
-    stored = _earlier(spark, path, batch_id)
+    """Rows of ``batch`` whose key no earlier batch stored. Only the days that occur in the batch are read:
+    they are at most the days of the calendar and prune the table's partitions."""
     batch = batch.dropDuplicates(USAGE_KEY)
-    if stored is None:
-        return batch
-    first, last = with_ts_date(batch).agg(F.min("ts_date"), F.max("ts_date")).first()
-    if first is None:
+    if not _exists(spark, path):
         return batch
-    keys = stored.where(F.col("ts_date").between(first, last)).select(*USAGE_KEY)
+    stored = spark.read.schema(STORED).parquet(path).where(F.col("batch_id") < batch_id)
+    days = F.broadcast(with_ts_date(batch).select("ts_date").distinct())
+    keys = stored.join(days, "ts_date", "left_semi").select(*USAGE_KEY)
     return batch.join(keys, USAGE_KEY, "left_anti")
 
 
