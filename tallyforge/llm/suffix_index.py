@@ -160,6 +160,11 @@ class SuffixIndex:
         names = rows.groupBy("key").agg(F.sum("n").alias("all"), F.max("new").alias("new")).where("`all` > 1 and new").select("key")
         self.met.append(staged(rows.join(names, "key", "left_semi").drop("new"), "suffix-matches"))
 
+    def seal(self) -> None:
+        """No more batches follow: the levels, which only new batches are scanned against, are dropped."""
+        while self.levels:
+            self._drop(self.levels.popitem()[1])
+
     def repeats(self, docs: DataFrame) -> DataFrame:
         """``doc_id, spans``: the strings of ``length`` bytes that occur more than once, as byte ranges.
 
@@ -170,10 +175,12 @@ class SuffixIndex:
         met = self.met[0]
         for more in self.met[1:]:
             met = met.unionByName(more)
-        met = combined(met, F.max("n").alias("most")).drop("n")
+        met = staged(combined(met, F.max("n").alias("most")).drop("n"), "suffix-distinct")
+        for scanned in self.met:
+            discard(scanned)
         kinds = met.groupBy("key").agg(F.count("*").alias("kinds"))
-        met = met.join(kinds, "key").withColumn("stretch", F.monotonically_increasing_id())
-        met = staged(met, "suffix-met")
+        distinct, met = met, staged(met.join(kinds, "key").withColumn("stretch", F.monotonically_increasing_id()), "suffix-met")
+        discard(distinct)
         partial = met.where("kinds > 1").select("stretch", "doc_id", "at", "left", "wide")
         ranges = repeated_offsets(staged(string_classes(docs, partial, self.length), "suffix-classes"))
         ranges = ranges.groupBy("stretch").agg(F.collect_list(F.struct("low", "high")).alias("offsets"))
@@ -304,6 +311,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     part = F.pmod(F.xxhash64(F.lit(2), F.col("doc_id").cast("long")), F.lit(batches))
     for b in range(batches):
         index.add(docs.where(part == b))
+    index.seal()
     spans = staged(index.repeats(docs), "suffix-spans")
     index.close()
     columns = [part.split()[0] for part in RESULT.split(", ")]
