@@ -83,3 +83,11 @@ def test_registered_query(spark, name):
 def test_all_operators_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near duplicates", "decontamination", "mixing", "sharding"]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_against_sql(spark, name):
+    import oracle
+
+    problem = oracle.compare(name, queries.QUERIES[name](spark, SMALL), oracle.connect(SMALL), queries.ORACLES[name])
+    assert problem is None, problem
