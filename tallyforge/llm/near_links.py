@@ -21,7 +21,8 @@ from .storage import discard, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LEAST = 8  # common rare shingles asked of a pair before full sets are compared
+RARE = 16  # sets that may have a shingle that counts as rare
+FILTER_BITS = 27
 PRINTS = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
@@ -90,50 +91,69 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("union"))
 
 
-def rarest_first(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """``node, n, part, least, prefix, longer`` for the sets of ``nodes`` (``node, n, part``).
+def rare_shingles(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, rare``: how many of its shingles at most ``RARE`` sets have, and ``node, gram`` of those that
+    some other set has too."""
+    grams = sets.select(F.col("doc_id").alias("node"), F.explode("grams").alias("gram"))
+    seen = grams.groupBy("gram").agg(F.count("*").alias("seen"), F.min("node").alias("node")).where(F.col("seen") <= RARE)
+    seen = staged(seen, "near-seen")
+    shared = staged(seen.where("seen > 1").select("gram"), "near-shared")
+    known = bitmap.build(shared, "gram", FILTER_BITS)
+    spread = sets.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
-    With a set's shingles ordered from the rarest, two sets alike enough to be linked have their first common
-    shingle among the first ``n - o + 1`` of both (``prefix``), where ``o`` is the least overlap that a link
-    asks of a set of that size, and at least ``least`` common ones among the first ``n - o + LEAST``
-    (``longer``).
-    """
-    grams = sets.join(nodes, sets["doc_id"] == nodes["node"]).select("node", "n", "part", F.explode("grams").alias("gram"))
-    known = staged(grams.groupBy("gram").agg(F.count("*").alias("seen")), "near-seen")
-    counted = grams.join(known, "gram")
-    lists = counted.groupBy("node", "n", "part").agg(F.sort_array(F.collect_list(F.struct("seen", "gram"))).alias("order"))
-    overlap = F.ceil(F.col("n") * percent / 100).cast("int")
-    first, more = (F.slice("order", F.lit(1), F.col("n").cast("int") - overlap + k) for k in (F.lit(1), F.least(overlap, F.lit(LEAST))))
-    return lists.select(
-        "node", "n", "part", F.least(overlap, F.lit(LEAST)).alias("least"),
-        F.transform(F.filter(first, lambda x: x["seen"] > 1), lambda x: x["gram"]).alias("prefix"),
-        F.transform(more, lambda x: x["gram"]).alias("longer"),
-    )
-
-
-def possible_links(ordered: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of sets in different parts that may be linked, each once, by its first common shingle.
-
-    Of the sets with one rare shingle those of the most frequent part are not compared with one another.
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            found = lists.flatten().to_numpy()
+            node = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())
+            if spread is not None:
+                ok = bitmap.passes(spread.value, found.view(np.uint64))
+                found, node = found[ok], node[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(found)], ["node", "gram"])
+
+    held = staged(sets.select("doc_id", "grams").mapInArrow(passing, "node long, gram long").join(shared, "gram"), "near-held")
+    counts = seen.where("seen = 1").groupBy("node").agg(F.count("*").alias("n"))
+    counts = counts.unionByName(held.groupBy("node").agg(F.count("*").alias("n")))
+    return counts.groupBy("node").agg(F.sum("n").alias("rare")), held.select("node", "gram")
+
+
+def possible_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` in different parts that may be linked; ``placed`` has ``band, node, n, part``.
+
+    Of a set's shingles at most ``n - o`` may miss in the other, where ``o`` is the overlap a link of two sets
+    of their sizes needs. That holds for rare shingles alone. Either both have so few rare ones that none needs
+    to be shared; such pairs are found by their band, where members of its most frequent part are not compared
+    with one another. Or they share rare ones; such pairs are found by these, of which each is in ``RARE`` sets
+    at most. Both ways are exact and list few pairs however large a group of copies is.
     """
-    rare = ordered.select("node", "part", F.explode("prefix").alias("gram"))
-    per_part = rare.groupBy("gram", "part").agg(F.count("*").alias("n"))
-    mixed = per_part.groupBy("gram").agg(F.count("*").alias("parts"), F.max_by("part", "n").alias("main")).where("parts > 1")
-    mixed = staged(mixed.select("gram", "main"), "near-mixed")
-    rows = staged(rare.join(mixed, "gram").select("gram", "main", "node").join(ordered.drop("prefix"), "node"), "near-rare")
-    fields = ("node", "n", "part", "least", "longer")
-    left = rows.where("part <> main").select("gram", *[F.col(c).alias(f"{c}_a") for c in fields])
-    right = rows.select("gram", "main", *[F.col(c).alias(f"{c}_b") for c in fields])
-    common = F.array_intersect("longer_a", "longer_b")
-    possible = (
-        (F.col("part_a") != F.col("part_b"))
-        & ((F.col("part_b") == F.col("main")) | (F.col("part_a") < F.col("part_b")))
-        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        & (F.get(common, F.lit(0)) == F.col("gram"))
-        & (F.size(common) >= F.least("least_a", "least_b"))
-    )
-    pairs = left.join(right.withColumnRenamed("gram", "gram_b"), (F.col("gram") == F.col("gram_b")) & possible)
-    return pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
+    low_high = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    open_ = staged(placed.join(low_high.select("band"), "band"), "near-open")
+    nodes = open_.select("node", "n", "part").distinct()
+    rare, held = rare_shingles(sets.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    nodes = staged(nodes.join(rare, "node", "left").withColumn("rare", F.coalesce("rare", F.lit(0))), "near-nodes")
+
+    def sides(keyed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(keyed.select(key, *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "part", "rare")]) for x in "ab")
+
+    def few_missing(shared) -> Column:
+        whole = (F.col("n_a") + F.col("n_b")) * percent  # of which 1 / (100 + percent) must be shared
+        fits = [(F.col(f"n_{x}") - F.col(f"rare_{x}") + shared) * (100 + percent) >= whole for x in "ab"]
+        return (F.col("part_a") != F.col("part_b")) & fits[0] & fits[1]
+
+    calm = open_.select("band", "node").join(nodes.where((F.col("n") - F.col("rare")) * 100 >= F.col("n") * percent), "node")
+    per_part = calm.groupBy("band", "part").agg(F.count("*").alias("size"))
+    main = per_part.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("part", "size").alias("main")).where("parts > 1")
+    calm = staged(calm.join(staged(main.select("band", "main"), "near-main"), "band"), "near-calm")
+    left, right = sides(calm.where("part <> main"), "band")[0], sides(calm, "band")[1]
+    right = right.join(calm.select("band", "main").distinct(), "band")
+    once = (F.col("part_b") == F.col("main")) | (F.col("part_a") < F.col("part_b"))
+    by_band = left.join(right.withColumnRenamed("band", "band_b"), (F.col("band") == F.col("band_b")) & once & few_missing(F.lit(0)))
+    left, right = sides(held.join(nodes, "node"), "gram")
+    pairs = left.join(right.withColumnRenamed("gram", "gram_b"), (F.col("gram") == F.col("gram_b")) & (F.col("part_a") < F.col("part_b")))
+    fields = [f"{c}_{x}" for x in "ab" for c in ("node", "n", "part", "rare")]
+    by_rare = pairs.groupBy(*fields).agg(F.count("*").alias("shared")).where(few_missing(F.col("shared")))
+    both = by_band.select("node_a", "node_b").unionByName(by_rare.select("node_a", "node_b"))
+    return both.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
 
 
 def near_components(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -142,9 +162,8 @@ def near_components(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     Documents with equal sets are one node, the smallest doc_id. Nodes that share a band form a bucket.
     First every node is compared with its buckets' pivots (the member in the fullest buckets, the centre of a
     group of copies), on full sets. Then, where a bucket still spans components, its members are compared with
-    members of other components, but only pairs that share a rare shingle (prefix filter) and enough of the
-    rarest ones to be linked at all. Both filters are exact, so no link between these members is lost, without
-    listing all pairs of a bucket; no bucket is capped.
+    members of other components, but only pairs whose rare shingles allow a link (``possible_links``). No link
+    between these members is lost, without listing all pairs of a bucket; no bucket is capped.
     """
     linked = F.col("both") * F.lit(100) >= F.col("union") * F.lit(percent)
     named = prints.where("doc_id is not null and n_shingles > 0")
@@ -164,10 +183,7 @@ def near_components(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     first = staged(compared(pairs, sets), "near-compared")
     parts = components(first.where(linked))
     known = placed.join(parts, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("part"))
-    known = staged(known, "near-known")
-    apart = known.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
-    nodes = staged(known.join(apart, "band").select("node", "n", "part").distinct(), "near-open")
-    rest = possible_links(staged(rarest_first(sets, nodes, percent), "near-ordered"), percent)
+    rest = possible_links(staged(known, "near-known"), sets, percent)
     done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     second = staged(compared(rest.join(done, ["a", "b"], "left_anti"), sets), "near-compared")
     late = second.where(linked)
@@ -177,6 +193,6 @@ def near_components(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     result = classed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
     result = result.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     others = prints.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    for used in (members, placed, sets, known):
+    for used in (members, placed, sets):
         discard(used)
     return result.unionByName(others)
