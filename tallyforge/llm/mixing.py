@@ -11,6 +11,7 @@ WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 MOST_COPIES = 2.0
 CHUNK_ROWS = 4096
+OFFSETS = 16  # random offsets tried for each source
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -52,8 +53,9 @@ def mix_sources(
     """Copies of each document: ``doc_id, size, source_size, target, copies, taken``, one row per input row.
 
     Every document of a source expects target / source_size copies. These are summed up along the source, a
-    random offset (one per source, from the seed and the name) is added, and a document is emitted once per
-    integer boundary its stretch crosses. Documents are summed in order of size, so that the words taken come
+    random offset is added, and a document is emitted once per integer boundary its stretch crosses. Of a few
+    offsets (evenly apart, the first from the seed and the source's name) each source uses the one whose words
+    come nearest its target, which matters where a single long document is a large part of a small source. Documents are summed in order of size, so that the words taken come
     near the target, not only the number of documents.
 
     The prefix sum has two levels: a source is split by a hash of doc_id into chunks of about ``chunk_rows``
@@ -95,10 +97,20 @@ def mix_sized(
     )
     within = Window.partitionBy("s", "chunk").orderBy("size", "doc_id")
     ranked = placed.withColumn("place", F.row_number().over(within)).join(starts, ["s", "chunk"])
-    upto = (F.col("start") + F.col("place")) * F.col("expected") + F.col("offset")
-    since = (F.col("start") + F.col("place") - 1) * F.col("expected") + F.col("offset")
-    copies = (F.floor(upto) - F.floor(since)).cast("long")
-    return ranked.select(
+    ranked = ranked.select("doc_id", "s", "size", "source_size", "target", "expected", "offset", (F.col("start") + F.col("place")).alias("rank"))
+    ranked = staged(ranked, "mix-ranks")
+
+    def copies_with(offset: Column) -> Column:
+        upto, since = (F.floor(rank * F.col("expected") + offset) for rank in (F.col("rank"), F.col("rank") - 1))
+        return (upto - since).cast("long")
+
+    offsets = [F.pmod(F.col("offset") + F.lit(j / OFFSETS), F.lit(1.0)) for j in range(OFFSETS)]
+    words = [F.sum(F.col("size") * copies_with(u)).alias(f"words_{j}") for j, u in enumerate(offsets)]
+    tried = ranked.groupBy("s", "target", "offset").agg(*words)
+    errors = [F.struct(F.abs(F.col(f"words_{j}") - F.col("target")).alias("error"), u.alias("chosen")) for j, u in enumerate(offsets)]
+    best = tried.select("s", F.array_min(F.array(*errors))["chosen"].alias("chosen"))
+    copies = copies_with(F.col("chosen"))
+    return ranked.join(best, "s").select(
         "doc_id", "s", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 

@@ -204,7 +204,7 @@ def test_mixing(docs_of, chunk_rows):
         assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s])
         assert r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 2
         taken[s] += r["taken"]
-    slack = 45 if chunk_rows == 4096 else 200
+    slack = 12 if chunk_rows == 4096 else 60
     assert all(abs(taken[s] - want[s]) <= slack for s in sizes)
     again = mixing.mix_sources(docs_of(*rows).repartition(7), chunk_rows=chunk_rows).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
