@@ -21,7 +21,7 @@ from .storage import discard, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-RARE = 16  # sets that may have a shingle that counts as rare
+RARE = 50  # sets that may have a shingle that counts as rare
 FILTER_BITS = 27
 PRINTS = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
