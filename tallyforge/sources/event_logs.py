@@ -14,7 +14,7 @@ from tallyforge.functions import variant as V
 from tallyforge.plans.ordered import Count, First, Last, Max, final_values, running
 from tallyforge.plans.staging import cut
 from tallyforge.schema import SOURCE_EVENT_LOG, as_usage
-from tallyforge.sources.lines import COMPRESSED, UNREADABLE, number_lines, plain_path, searched
+from tallyforge.sources.lines import COMPRESSED, UNREADABLE, number_lines, plain_path, root_folders, searched
 from tallyforge.sources.transcripts import file_facts, refusal
 
 # Where a header or selection names the model and the working directory.
@@ -200,7 +200,7 @@ def scan_compressed_lines(spark: SparkSession, root: str) -> DataFrame:
     that cannot be read gives one marked line, which becomes a reject (the length is filtered before the
     content is read)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", COMPRESSED)
-    found = files.load(root).withColumn("source_file", plain_path(F.col("path"))).where(searched(F.col("source_file"), root))
+    found = files.load(root).withColumn("source_file", plain_path(F.col("_metadata.file_path"))).where(searched(F.col("source_file"), root_folders(spark, root)))
     lines = found.where(F.col("length") <= MAX_BINARY_BYTES).select("source_file", "content").mapInPandas(_decompress, LINES)
     why = F.concat(F.lit(UNREADABLE), F.col("length").cast("string"), F.lit(" bytes"))
     zero = F.lit(0).cast("bigint")

@@ -6,8 +6,7 @@ and ``value``. Big files stay splittable: a block is one input split.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,17 +33,38 @@ def plain_path(uri: Column) -> Column:
     return F.url_decode(F.replace(F.regexp_replace(uri, r"^file:/+", "/"), F.lit("+"), F.lit("%2B")))
 
 
-def _below(path: Column, root: str) -> Column:
-    root = root.removeprefix("file:").rstrip("/")
-    return F.substring(path, F.instr(path, F.lit(root)) + F.lit(len(root) + 1), F.length(path))
+def root_folders(spark: SparkSession, root: str | list[str]) -> list[str]:
+    """The folders (or files) that ``root`` names, as their file system names them, in the form of ``plain_path``.
 
-
-def searched(path: Column, root: str, max_depth: int | None = None) -> Column:
-    """Is a file within the searched part of the tree below ``root``? The depth is bounded only on request."""
-    folders = F.split(_below(path, root), "/")
-    folders = F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0)))
-    skipped = F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED_DIRECTORIES)))
-    return ~skipped if max_depth is None else ~skipped & (F.size(folders) <= max_depth)
+    Relative paths and paths without a scheme are qualified by Hadoop as Spark's readers do it; a glob gives
+    each path it matches.
+    """
+    found = set()
+    for name in [root] if isinstance(root, str) else root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        path = fs.makeQualified(path)
+        matched = fs.globStatus(path) if set("{}[]*?\\") & set(name) else None
+        paths = [path] if matched is None else [status.getPath() for status in matched]
+        found.update(re.sub("^file:/+", "/", x.toString()).rstrip("/") for x in paths)
+    return sorted(found)
+
+
+def searched(path: Column, folders: list[str], max_depth: int | None = None) -> Column:
+    """Is a file within the searched part of the tree below one of ``folders`` (see ``root_folders``)? The depth
+    is bounded only on request."""
+    levels: dict[int, list[str]] = {}
+    for folder in folders:
+        levels.setdefault(len(folder.split("/")), []).append(folder)
+    parts = F.split(path, "/")
+    within = F.lit(False)
+    for level, names in levels.items():
+        between = F.slice(parts, level + 1, F.greatest(F.size(parts) - (level + 1), F.lit(0)))
+        kept = ~F.arrays_overlap(between, F.array(*map(F.lit, SKIPPED_DIRECTORIES)))
+        if max_depth is not None:
+            kept &= F.size(between) <= max_depth
+        within |= F.substring_index(path, "/", level).isin(names) & kept
+    return within
 
 
 def list_usage_files(spark: SparkSession, root: str, max_depth: int | None = None) -> DataFrame:
@@ -53,11 +73,11 @@ def list_usage_files(spark: SparkSession, root: str, max_depth: int | None = Non
     def listed(glob: str, kind: str) -> DataFrame:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
         return files.load(root).select(
-            plain_path(F.col("path")).alias("source_file"), "length", "modificationTime", F.lit(kind).alias("kind")
+            plain_path(F.col("_metadata.file_path")).alias("source_file"), "length", "modificationTime", F.lit(kind).alias("kind")
         )
 
     both = listed(JSONL, "lines").unionByName(listed(TABLE_FILES, "table"))
-    return both.where(searched(F.col("source_file"), root, max_depth)).orderBy("source_file")
+    return both.where(searched(F.col("source_file"), root_folders(spark, root), max_depth)).orderBy("source_file")
 
 
 def _text_columns() -> list[Column]:
@@ -77,7 +97,8 @@ def scan_lines(
     max_depth: int | None = None,
 ) -> DataFrame:
     """Text lines of all matching files below ``root`` (or several roots): the files that
-    ``list_usage_files`` lists, by the same rule.
+    ``list_usage_files`` lists, by the same rule. A root is what Spark's readers take: a path or URI, relative
+    to the default file system or not, or a glob.
 
     ``changed_since`` (ISO time) re-reads only files modified after it, for logs that still grow.
     """
@@ -87,8 +108,7 @@ def scan_lines(
     if changed_since is not None:
         reader = reader.option("modifiedAfter", changed_since)
     rows = reader.load(roots).select(*_text_columns())
-    below = [F.startswith("source_file", F.lit(r.removeprefix("file:").rstrip("/"))) & searched(F.col("source_file"), r, max_depth) for r in roots]
-    return rows.where(reduce(or_, below))
+    return rows.where(searched(F.col("source_file"), root_folders(spark, root), max_depth))
 
 
 def number_lines(lines: DataFrame) -> DataFrame:

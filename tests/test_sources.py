@@ -1,6 +1,7 @@
 """Readers on real files."""
 
 import json
+import os
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -37,6 +38,26 @@ def test_listing_skips_folders(spark, log_dir):
     assert names(lines.scan_lines(spark, [f"{root}/a", f"{root}/1/2/3"])) == sorted([deep, texts[0], *texts[1:3]])
 
 
+def test_roots_in_every_form(spark, log_dir):
+    root = log_dir({
+        "a/one.jsonl": ["{}"], "a/b/two.jsonl": ["{}"], "ab/three.jsonl": ["{}"], "a/tmp/no.jsonl": ["{}"], "c [d]/e%41.jsonl": ["{}"],
+    })
+    def names(found):
+        return sorted(r.source_file.removeprefix(root + "/") for r in found.select("source_file").distinct().collect())
+
+    here = os.path.relpath(root, spark._jvm.java.lang.System.getProperty("user.dir"))
+    whole = ["a/b/two.jsonl", "a/one.jsonl", "ab/three.jsonl", "c [d]/e%41.jsonl"]
+    for form in (root, f"{root}/", f"file:{root}", f"file://{root}", f"file://{root}/", here, f"{here}/"):
+        assert names(lines.scan_lines(spark, form)) == names(lines.list_usage_files(spark, form)) == whole, form
+        assert names(lines.scan_lines(spark, form, max_depth=1)) == [whole[1], *whole[2:]], form
+    for form in (f"{root}/a*", f"file://{root}/{{a,ab}}", f"{here}/a*"):
+        assert names(lines.scan_lines(spark, form)) == names(lines.list_usage_files(spark, form)) == whole[:3], form
+        assert names(lines.scan_lines(spark, form, max_depth=0)) == whole[1:3], form
+    assert names(lines.scan_lines(spark, [f"file://{root}/a", f"{here}/ab"])) == whole[:3]
+    assert names(lines.scan_lines(spark, [f"{root}/a", f"{root}/a/tmp"])) == ["a/b/two.jsonl", "a/one.jsonl", "a/tmp/no.jsonl"]
+    assert names(lines.scan_lines(spark, f"file://{root}/a/one.jsonl")) == ["a/one.jsonl"]
+
+
 def test_line_numbers_survive_splitting(spark, log_dir):
     root = log_dir({"a.jsonl": [f"a{i:05d}" for i in range(3_000)], "b.jsonl": [f"b{i:05d}" for i in range(10)]})
     spark.conf.set("spark.sql.files.maxPartitionBytes", 2_000)
