@@ -95,14 +95,19 @@ def document_hits(docs: DataFrame, masks: tuple[str, ...], seen: np.ndarray | No
     return rows.mapInArrow(hits, "h long, doc_id long, place int")
 
 
-def best_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int, int]:
-    """Start, end and matches of the stretch with most weight, where a match weighs ``1 - min_share`` and a
-    difference ``-min_share``: among stretches with at least that share of matches it is the fullest."""
+def best_stretch(equal: np.ndarray, min_share: float, min_words: int = 1) -> tuple[int, int, int]:
+    """Start, end and matches of the stretch with most weight among those of at least ``min_words``, where a match
+    weighs ``1 - min_share`` and a difference ``-min_share``. A stretch has at least that share of matches if it
+    weighs nothing or more; zeros if there is none."""
+    if len(equal) < min_words:
+        return 0, 0, 0
     weight = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - min_share, -min_share))])
-    gain = weight - np.minimum.accumulate(weight)
-    end = int(np.argmax(gain))
-    start = int(np.flatnonzero(weight[: end + 1] == weight[: end + 1].min())[-1])
-    return start, end, int(equal[start:end].sum())
+    least = np.minimum.accumulate(weight)[: len(weight) - min_words]
+    last = int(np.argmax(weight[min_words:] - least))
+    end = last + min_words
+    start = int(np.flatnonzero(weight[: last + 1] == least[last])[-1])
+    same = int(equal[start:end].sum())
+    return (start, end, same) if same / (end - start) >= min_share else (0, 0, 0)
 
 
 RESULT = "doc_id long, item_id long, doc_word int, item_word int, n_words int, n_matched int, share double"
@@ -118,7 +123,7 @@ def find_contamination(
     """One row per document and benchmark item that overlap: where in both, how many words, how many equal.
 
     An overlap is a stretch of at least ``min_words`` words on one diagonal of which ``min_share`` are equal;
-    the fullest is returned. Words are runs of ASCII letters and digits and all signs outside ASCII, in lower
+    the one of most weight (``best_stretch``) is returned, of several diagonals that with most equal words. Words are runs of ASCII letters and digits and all signs outside ASCII, in lower
     case (A-Z). Items with fewer words never match, nor do null or empty texts or null ids. Rows with equal
     doc_id count as one document, repeated items as one. Other columns are not read. Empty tables: no rows.
 
@@ -151,8 +156,8 @@ def find_contamination(
                             low, high = max(0, -shift), min(len(item), len(text) - shift)
                             if high - low < min_words:
                                 continue
-                            a, b, same = best_stretch(item[low:high] == text[low + shift : high + shift], min_share)
-                            if b - a >= min_words and same > best[3]:
+                            a, b, same = best_stretch(item[low:high] == text[low + shift : high + shift], min_share, min_words)
+                            if same > best[3]:
                                 best = (low + a + shift, low + a, b - a, same, same / (b - a))
                         if best[3]:
                             out.append((ids[i], candidate["item_id"], *best))

@@ -1,6 +1,7 @@
 """Licence scan, toxicity, decontamination, sentence spans and suffix arrays against plain versions."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -144,6 +145,37 @@ def test_decontamination(docs_of, hostile, items):
     assert decontamination.find_contamination(docs, items.where("false")).collect() == []
 
 
+def plain_stretch(equal, words):
+    """Greatest number of ``4 * matches - 3 * words`` over all stretches of enough words; None if below 0."""
+    sums = [0, *np.cumsum([1 if e else -3 for e in equal])]
+    most = max((sums[b] - sums[a] for b in range(len(sums)) for a in range(b - words + 1)), default=-1)
+    return int(most) if most >= 0 else None
+
+
+@pytest.mark.parametrize("n", [11, 12, 15, 16, 18, 19, 20, 24, 30])
+def test_best_stretch_is_the_best_of_enough_words(n):
+    rng = random.Random(n)
+    for substituted in range(5):
+        places = list(itertools.combinations(range(n), substituted))
+        for gone in places if len(places) <= 400 else rng.sample(places, 400):
+            equal = np.array([k not in gone for k in range(n)])
+            a, b, same = decontamination.best_stretch(equal, 0.75, 12)
+            got = 4 * same - 3 * (b - a) if b else None
+            assert got == plain_stretch(equal, 12), gone
+            assert not b or (b - a >= 12 and same == equal[a:b].sum())
+
+
+def test_decontamination_of_short_overlaps(spark, docs_of):
+    """Overlaps whose best part alone is too short."""
+    patterns = {60: "EEEXEEEEEEEEEEE", 61: "EEEEEEXXEEEEEEE", 62: "EEEXEEEEEEEEEEEXEEE", 63: "EEEEEEEEEEEXEEXEEXEE"}
+    words = {i: [f"w{i}n{k}" for k in range(len(p))] for i, p in patterns.items()}
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "item_id long, text string")
+    texts = [(i, " ".join(w if e == "E" else "other" for w, e in zip(words[i], p, strict=True))) for i, p in patterns.items()]
+    found = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_contamination(docs_of(*texts), items).collect()}
+    assert set(found) == {(i, i) for i in patterns}
+    assert all(r["n_words"] >= 12 and r["share"] >= 0.75 for r in found.values())
+
+
 def test_decontamination_without_filter(docs_of, items, monkeypatch):
     docs = docs_of((50, prose(7) + " " + prose(501, 3)), (54, prose(11)))
     want = decontamination.find_contamination(docs, items).collect()
