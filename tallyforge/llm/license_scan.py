@@ -1,7 +1,7 @@
 """Licence notices and identifier tags in documents.
 
 One Aho-Corasick automaton finds all phrases in one pass over a text's words; text after an identifier tag
-is read as a licence expression (``and``, ``or``, ``with``, parentheses) by a shunting-yard parser.
+is read as a licence expression (``and``, ``or``, ``with``, parentheses) as far as one goes, by a shunting-yard parser.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ UNKNOWN_IDENTIFIER = 1.0
 EXCEPTION_RELIEF = 0.2  # what a "with" exception takes off
 
 TAG = "spdx license identifier"
-TAG_LINE = re.compile(r"spdx-license-identifier[^\S\n]*:([^\n]*)", re.IGNORECASE)
+TAG_TEXT = re.compile(r"spdx-license-identifier[^\S\n]*:([^\n]*?)(?=$|(spdx-license-identifier[^\S\n]*:))", re.IGNORECASE | re.MULTILINE)
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -98,6 +98,40 @@ def parse_expression(text: str) -> list[str] | None:
     return out + waiting[::-1]
 
 
+def leading_expression(text: str, more: bool = False) -> list[str] | None:
+    """Postfix order of the longest expression at the start of ``text``, the rest of a tag's line; None if there
+    is none. ``more`` says that the line goes on after ``text``.
+
+    Dots and comment marks after an identifier end the expression. Where other text follows, an operator without
+    an operand is left out, and so is a word in lower case that is no listed identifier and has no digit, hyphen
+    or plus sign: it belongs to the prose. An operator at the end of the line leaves the expression unfinished.
+    """
+    tokens: list[str] = []
+    whole = doubted = 0  # tokens of the longest expression so far, without and with doubtful words at its end
+    depth, operand_next, ended = 0, True, False
+    for found in TOKEN.finditer(text):
+        token = found.group().strip(".-")
+        word = token.lower()
+        fits = not operand_next if word in (*PRECEDENCE, ")") else operand_next
+        if ended or not token or not fits or (word == ")" and not depth):
+            more = True
+            break
+        tokens.append(token)
+        if word == "(":
+            depth += 1
+            continue
+        operand_next = word in PRECEDENCE
+        depth -= word == ")"
+        ended = found.group()[-1] in ".-"
+        if not operand_next and not depth:
+            doubted = len(tokens)
+            if word in IDENTIFIERS or token != word or re.search(r"[0-9+)-]", word):
+                whole = doubted
+    if operand_next and not more:
+        return None
+    return parse_expression(" ".join(tokens[: whole if more else doubted]))
+
+
 def evaluate_expression(postfix: list[str]) -> tuple[float, set[str]]:
     """Restriction of an expression and the labels of its licences.
 
@@ -153,8 +187,8 @@ def scan_text(text: str, machine) -> tuple:
     labels = {BASE_PHRASES.get(p) or NOTICE_PHRASES[p] for p, _ in places if p != TAG}
     restriction = max([RESTRICTION[label] for label in labels], default=0.0)
     if any(p == TAG for p, _ in places):
-        for line in TAG_LINE.findall(text):
-            if (postfix := parse_expression(line)) is not None:
+        for rest, following in TAG_TEXT.findall(text):
+            if (postfix := leading_expression(rest, bool(following))) is not None:
                 weight, named = evaluate_expression(postfix)
                 restriction = max(restriction, weight)
                 labels |= named
@@ -181,8 +215,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     """One row per document: words, base notices, labels, restriction score and all places found.
 
     Null or empty text: no words, no notices, empty labels, score 0. Repeated rows give repeated rows. Only
-    the two named columns are read, so other columns may have any name. A tag whose expression does not parse
-    adds nothing. Texts are scanned whole, one Arrow batch at a time; no shuffle.
+    the two named columns are read, so other columns may have any name. A tag that no expression
+    follows adds nothing. Texts are scanned whole, one Arrow batch at a time; no shuffle.
     """
     names = [part.split()[0] for part in SCHEMA.split(", ")]
     place = pa.list_(pa.struct([("phrase", pa.string()), ("word", pa.int64())]))

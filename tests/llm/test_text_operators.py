@@ -78,6 +78,36 @@ def test_license_scan(docs_of, hostile):
     assert license_scan.scan_licenses(table.where("false")).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("<!-- SPDX-License-Identifier: MIT -->", "mit"),
+        ("<!-- SPDX-License-Identifier: MIT-->", "mit"),
+        ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) */ (function () {", "apache,mit"),
+        ("SPDX-License-Identifier: MIT - see LICENSE", "mit"),
+        ("SPDX-License-Identifier: MIT, see LICENSE", "mit"),
+        ("under SPDX-License-Identifier: MIT.", "mit"),
+        ("under SPDX-License-Identifier: Apache-2.0. Or later words.", "apache"),
+        ("(SPDX-License-Identifier: MIT)", "mit"),
+        ("SPDX-License-Identifier: GPL-3.0-only AND Odd-1 # include", "gpl,odd-1"),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 this file is", "gpl"),
+        ("SPDX-License-Identifier: MIT and is free", "mit"),
+        ("SPDX-License-Identifier: MIT OR -->", "mit"),
+        ("SPDX-License-Identifier: MIT AND (ISC and so on", "mit"),
+        ("x SPDX-License-Identifier: MIT y SPDX-License-Identifier: ISC and SPDX-License-Identifier: Zlib z", "isc,mit,zlib"),
+        ("SPDX-License-Identifier: MIT\r\nint main", "mit"),
+        ("SPDX-License-Identifier: Ruby this file", "ruby"),
+        ("SPDX-License-Identifier: mit or ruby", "mit,ruby"),
+        ("the SPDX-License-Identifier: tag of each file", ""),
+        ("SPDX-License-Identifier: MIT OR\nint main", ""),
+        ("SPDX-License-Identifier:\nMIT", ""),
+    ],
+)
+def test_tags_inside_lines(text, labels):
+    found = license_scan.scan_text(text, license_scan.automaton([*license_scan.NOTICE_PHRASES, license_scan.TAG]))
+    assert found[5] == labels
+
+
 def insulted(seed, n):
     rng = random.Random(seed)
     words = prose(seed).split()
