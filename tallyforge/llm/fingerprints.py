@@ -178,3 +178,12 @@ def compare_edited(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, function
             yield pa.RecordBatch.from_arrays(made, columns)
 
     return ordered.mapInArrow(second_pass, RESULT)
+
+
+def with_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """Rows of ``compare_edited`` with the ``component_id`` of ``near_copies``; rows with equal doc_id share the
+    smallest of theirs."""
+    parts = near_copies(docs, shingle_words, percent).where("doc_id is not null")
+    parts = parts.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    edited = compare_edited(docs, shingle_words)
+    return edited.join(parts, "doc_id", "left").select(*edited.columns, "component_id")

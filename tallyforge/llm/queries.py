@@ -40,7 +40,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+    """Fingerprints of each text and its edited text, and the near copies that the text belongs to."""
+    return fingerprints.with_components(table(spark, sf_dir, "documents"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

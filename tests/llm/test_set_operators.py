@@ -11,7 +11,7 @@ import pytest
 from conftest_llm import prose
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bitmap, bytetext, chat, components, fingerprints, mixing, near_dedup, resharding
+from tallyforge.llm import bitmap, bytetext, chat, components, fingerprints, mixing, near_dedup, queries, resharding
 
 
 def lower(text):
@@ -173,6 +173,16 @@ def test_fingerprints_hostile(docs_of, hostile):
     assert one[0]["edited_sha256"] == hashlib.sha256(b"abcd abcd").hexdigest()
 
 
+def test_fingerprints_query_links_near_copies(docs_of, hostile, copies, monkeypatch):
+    monkeypatch.setattr(queries, "table", lambda *_: docs_of(*copies.items()))
+    rows = queries.op7_fingerprints(None, "").collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: c for i, (_, c) in plain_components(copies, 5).items()}
+    assert len(rows) == len(copies)
+    whole = fingerprints.with_components(hostile)
+    assert whole.drop("component_id").exceptAll(fingerprints.compare_edited(hostile)).isEmpty()
+    assert whole.count() == hostile.where("doc_id is not null").count() and whole.where("component_id is null").isEmpty()
+
+
 def plain_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
