@@ -21,7 +21,8 @@ from .storage import staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MASKS = ("1101101", "1110111", "11101011")
+# At least one fits into every run of 12 words with at most 3 substitutions.
+MASKS = ("1101101", "1110111", "11101011", "11111", "11100111", "101111", "1110000011")
 MIN_WORDS = 12
 MIN_SHARE = 0.75
 FILTER_BITS = 27  # a filter of 16 MB, whatever the size of the benchmark

@@ -195,6 +195,21 @@ def test_best_stretch_is_the_best_of_enough_words(n):
             assert not b or (b - a >= 12 and same == equal[a:b].sum())
 
 
+def seeded(equal):
+    words = np.arange(1, len(equal) + 1, dtype=np.uint64)
+    other = np.where(equal, words, words + np.uint64(1000))
+    firsts = np.array([0, len(words)])
+    seeds = ((decontamination.seed_hashes(x, firsts, mask)[0] for x in (words, other)) for mask in decontamination.MASKS)
+    return any((a == b).any() for a, b in seeds)
+
+
+def test_every_placement_of_substitutions_has_a_seed():
+    for n in (12, 16):
+        for gone in itertools.combinations(range(n), n // 4):
+            assert seeded(np.array([k not in gone for k in range(n)])), gone
+    assert seeded(np.array([e == "E" for e in "EEEEEEXXEEEEEEXXEEEEEE"]))
+
+
 def test_decontamination_of_short_overlaps(spark, docs_of):
     """Overlaps whose best part alone is too short."""
     patterns = {60: "EEEXEEEEEEEEEEE", 61: "EEEEEEXXEEEEEEE", 62: "EEEXEEEEEEEEEEEXEEE", 63: "EEEEEEEEEEEXEEXEEXEE"}
