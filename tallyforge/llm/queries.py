@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprints, license_scan, mixing, near_dedup, resharding, sentence_spans, suffix_index, toxicity
+from . import chat, decontamination, fingerprints, importance, license_scan, mixing, near_dedup, resharding, sentence_spans, spelling, suffix_index
+from . import toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +72,19 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.remove_repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -82,12 +96,83 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_resharding": op9_resharding,
     "op10_sentence_spans": op10_sentence_spans,
+    "op11_url_filter": op11_url_filter,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 # SQL where it can say the same; the other queries are tested against plain versions in tests/llm.
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SAID = "<|im_end|><|im_start|>assistant ok"
+_LOWER = lambda text: f"translate({text}, '{_UPPER}', '{_UPPER.lower()}')"
+# The byte table of CRC-32 from its polynomial, and the CRC-32 of a string's UTF-8 bytes.
+_CRC_TABLE = """crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+      FROM range(256) r(i))"""
+_CRC = lambda text: (
+    f"xor(list_reduce(list_transform(range(1, 2 * strlen({text}), 2), lambda i: ('0x' || substr(hex({text}), i, 2))::BIGINT), "
+    "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+)
+# The glob rules of op11 as regular expressions, in the order in which they decide.
+_GLOBS = [
+    ("block", r"*.m.*/[a-z][a-z]/**", r"^[^/]*\.m\.[^/]*/[a-z][a-z]/"),
+    ("block", r"**\?**utm_source=**", r"\?.*utm_source="),
+    ("block", r"**[?&]page=[0-9]**", r"[?&]page=[0-9]"),
+    ("block", r"**\?**session=*", r"\?.*session=[^/]*$"),
+    ("allow", r"**.html\?page=1", r"\.html\?page=1$"),
+    ("block", r"**/login**", r"/login"),
+    ("block", r"**/cart/**", r"/cart/"),
+    ("block", r"*.ads.**", r"^[^/]*\.ads\."),
+    ("block", r"**.exe", r"\.exe$"),
+    ("block", r"**.zip", r"\.zip$"),
+]
+_FIRST_GLOB = " ".join(f"WHEN regexp_matches(address, '(?s){pattern}') THEN '{glob}'" for _, glob, pattern in _GLOBS)
+_BLOCKING = ", ".join(f"'{glob}'" for verdict, glob, _ in _GLOBS if verdict == "block")
 
 ORACLES: dict[str, str] = {
+    "op11_url_filter": rf"""WITH
+      p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+      h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM p),
+      u AS (SELECT page_id, {_LOWER("raw")} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path,
+              regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*(\?[^#]*)?', 1) AS query FROM h),
+      a AS (SELECT page_id, host, path, '.' || host || path || query AS address FROM u),
+      r AS (SELECT *, CASE WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule FROM a),
+      g AS (SELECT *, CASE WHEN rule IS NULL THEN CASE {_FIRST_GLOB} END END AS pattern FROM r)
+      SELECT page_id, host, path, rule, pattern,
+        CASE WHEN rule IN ('net/', 'example.com/de/') OR pattern IN ({_BLOCKING}) THEN 'block' ELSE 'allow' END AS verdict FROM g""",
+    "op12_spelling_variants": rf"""WITH RECURSIVE {_CRC_TABLE},
+      runs AS (SELECT doc_id, {_LOWER("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} AS run FROM documents),
+      h AS (SELECT run, length(run) AS l, {_CRC("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM runs, crc WHERE length(run) >= 7),
+      words AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % l) || substr(run, h % l + 2) ELSE run END AS word FROM h),
+      v AS (SELECT word, count(*) AS n FROM words WHERE length(word) >= 7 GROUP BY 1 HAVING count(*) >= 2),
+      less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+      near AS (SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+               UNION SELECT a.word, b.word, b.n FROM less a JOIN v b ON a.cut = b.word
+               UNION SELECT b.word, a.word, a.n FROM less a JOIN v b ON a.cut = b.word),
+      best AS (SELECT word, count(*) AS n_near, min({{'less': -n, 'near': near}}) AS b FROM near GROUP BY 1),
+      f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 10 * v.n THEN b.near END AS form,
+              CASE WHEN -b.less >= 10 * v.n THEN -b.less END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+      r AS (SELECT word, word AS at FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.at WHERE f.form IS NOT NULL)
+      SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n::BIGINT AS form_n
+      FROM f JOIN r ON r.word = f.word JOIN f e ON e.word = r.at WHERE e.form IS NULL""",
+    "op13_importance_resampling": rf"""WITH {_CRC_TABLE},
+      texts AS (SELECT doc_id, row_number() OVER () AS id, text, TRUE AS own FROM documents
+                UNION ALL SELECT item_id, -row_number() OVER (), text, FALSE FROM benchmark),
+      w AS (SELECT *, regexp_extract_all({_LOWER("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+      f AS (SELECT id, own, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS feature FROM w),
+      b AS (SELECT feature, ({_CRC("feature")} % 10000) AS bucket FROM (SELECT DISTINCT feature FROM f), crc),
+      p AS (SELECT id, own, bucket FROM f JOIN b ON b.feature = f.feature),
+      c AS (SELECT i AS bucket, count(p.id) FILTER (own) AS s, count(p.id) FILTER (NOT own) AS t FROM range(10000) r(i) LEFT JOIN p ON p.bucket = i GROUP BY 1),
+      g AS (SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (S0 + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (T0 + 10000)::DOUBLE))) AS BIGINT) AS gain
+            FROM c, (SELECT sum(s) AS S0, sum(t) AS T0 FROM c)),
+      d AS (SELECT id, count(*) AS n, sum(gain)::BIGINT AS gain FROM p JOIN g ON g.bucket = p.bucket WHERE own GROUP BY 1),
+      x AS (SELECT w.id, w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_features, CAST(coalesce(floor(gain::DOUBLE / n), 0) AS BIGINT) AS weight,
+              ('0x' || substr(sha256('7:' || coalesce(w.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM w LEFT JOIN d ON d.id = w.id WHERE own),
+      y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM x),
+      k AS (SELECT id, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM y WHERE n_words >= 20)
+      SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 25 // 100 FROM k) THEN rank END AS rank
+      FROM y LEFT JOIN k ON k.id = y.id""",
     "op4_near_dedup": rf"""WITH RECURSIVE
       w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
       s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS sh

@@ -77,11 +77,11 @@ def test_registered_query(spark, name):
     out = queries.QUERIES[name](spark, SMALL)
     n = out.count()
     per_row = spark.read.parquet(f"{SMALL}/documents.parquet").count()
-    assert n == per_row if name not in ("op6_decontamination", "op8_chat_format") else n > 0
+    assert n > 0 if name in ("op6_decontamination", "op8_chat_format", "op11_url_filter", "op12_spelling_variants") else n == per_row
 
 
 def test_all_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near duplicates", "decontamination", "mixing", "sharding"]
 
 
