@@ -578,6 +578,14 @@ ge AS (SELECT *, CASE WHEN eid % 17 = 0 THEN 'not JSON' WHEN eid % 19 = 0 THEN '
                       ELSE 'silent' END AS shape,
               eid = max(eid) OVER (PARTITION BY source_file) AS is_last FROM raw)"""
 
+
+
+def over(logs: int, ctes: str) -> str:
+    """The same with users spread over a number of logs."""
+    fewer = RAW.replace("user_id || '.jsonl'", f"(user_id % {logs}) || '.jsonl'").replace("'f' || user_id AS", f"'f' || (user_id % {logs}) AS")
+    return ctes.replace(RAW, fewer)
+
+
 ORACLES |= {
     "rollout_usage": f"""WITH {ROLLOUT} SELECT source_file, ms AS ts_ms, coalesce(ses, stem) AS session_id, cwd AS project,
         {delta("in")} AS input_tokens, {delta("out")} AS output_tokens, {delta("re")} AS reasoning_tokens,
@@ -605,6 +613,9 @@ ORACLES |= {
         rea AS reasoning_tokens, cr AS cache_read_tokens, cents + cr + k * 7 AS total_override FROM ev WHERE eid % 7 > 1""",
     "event_log_replay": f"""WITH {EVENT_LOG} SELECT coalesce(mo, 'unknown') AS model, count(*) AS requests,
         CAST(sum(cents + cr + k * 7) AS BIGINT) AS total FROM ev WHERE eid % 7 > 1 GROUP BY 1""",
+    "compressed_event_logs": f"""WITH {over(4, EVENT_LOG)} SELECT ms AS ts_ms, coalesce(mo, 'unknown') AS model,
+        stem AS session_id, cwd AS project, cents AS input_tokens, k * 7 AS output_tokens, rea AS reasoning_tokens,
+        cents + cr + k * 7 AS total_override FROM ev WHERE eid % 7 > 1""",
     "keep_last_snapshot": f"""WITH {TRANSCRIPT} SELECT source_file, key AS event_key, ms AS ts_ms, model,
         CASE WHEN eid % 3 = 0 THEN 'cs' || eid ELSE stem END AS session_id, cwd AS project, cents AS input_tokens,
         outp AS output_tokens, CASE WHEN eid % 4 <> 0 THEN cents * 2 END AS cache_read_tokens,
@@ -633,13 +644,6 @@ ORACLES |= {
 }
 
 # Streams read the same lines, with users spread over 16 logs.
-RAW16 = RAW.replace("user_id || '.jsonl'", "(user_id % 16) || '.jsonl'").replace("'f' || user_id AS", "'f' || (user_id % 16) AS")
-
-
-def over16(ctes: str) -> str:
-    return ctes.replace(RAW, RAW16)
-
-
 ORACLES |= {
     "stream_hourly": q(
         "SELECT ts_ms // 3600000 * 3600000 AS start_ms, ts_ms // 3600000 * 3600000 + 3600000 AS end_ms, model, "
@@ -651,16 +655,16 @@ ORACLES |= {
         FROM (SELECT *, unnest(range(ts_ms // 60000 - 4, ts_ms // 60000 + 1)) AS m FROM u WHERE session_id IS NOT NULL)
         GROUP BY m, source, session_id"""
     ),
-    "stream_rollout_usage": f"""WITH {over16(ROLLOUT)} SELECT ms AS ts_ms,
+    "stream_rollout_usage": f"""WITH {over(16, ROLLOUT)} SELECT ms AS ts_ms,
         CASE WHEN eid % 5 = 0 THEN 'named-model' ELSE coalesce(ctx, 'unknown') END AS model,
         coalesce(ses, stem) AS session_id, cwd AS project,
         {delta("in")} AS input_tokens, {delta("out")} AS output_tokens, {delta("re")} AS reasoning_tokens,
         {delta("ca")} AS cache_read_tokens, {delta("to")} AS total_override,
         CASE WHEN en - st BETWEEN 100 AND 600000 THEN en - st END AS duration_ms FROM ro""",
-    "stream_event_log_replay": f"""WITH {over16(EVENT_LOG)} SELECT ms AS ts_ms, coalesce(mo, 'unknown') AS model,
+    "stream_event_log_replay": f"""WITH {over(16, EVENT_LOG)} SELECT ms AS ts_ms, coalesce(mo, 'unknown') AS model,
         cwd AS project, cents AS input_tokens, k * 7 AS output_tokens, cents + cr + k * 7 AS total_override
         FROM ev WHERE eid % 7 > 1""",
-    "stream_transcript_usage": f"""WITH {over16(TRANSCRIPT)} SELECT key AS event_key, ms AS ts_ms,
+    "stream_transcript_usage": f"""WITH {over(16, TRANSCRIPT)} SELECT key AS event_key, ms AS ts_ms,
         CASE WHEN eid % 3 = 0 THEN 'cs' || eid ELSE stem END AS session_id, cwd AS project, cents AS input_tokens,
         outp AS output_tokens, CASE WHEN eid % 4 <> 0 THEN cents * 2 END AS cache_read_tokens
         FROM (SELECT *, row_number() OVER (PARTITION BY source_file, key ORDER BY eid DESC) AS rn FROM tr

@@ -530,6 +530,15 @@ def event_log_replay(spark, sf_dir):
     return aggs.usage_agg(rows, ["model"]).select("model", "requests", "total")
 
 
+@query
+def compressed_event_logs(spark, sf_dir):
+    """Four logs of many zstd frames, read by ranges of frames."""
+    root = f"{scratch_path(spark, 'compressed-logs')}/logs"
+    sample_logs.write_compressed(sample_logs.event_log_lines(_events(spark, sf_dir), logs=4), root, frame_lines=64)
+    usage, _ = event_logs.read_compressed_event_logs(event_logs.scan_compressed_lines(spark, root, range_bytes=4096))
+    return usage.select("ts_ms", "model", "session_id", "project", "input_tokens", "output_tokens", "reasoning_tokens", "total_override")
+
+
 @query
 def keep_last_snapshot(spark, sf_dir):
     records = transcripts.transcript_records(sample_logs.transcript_lines(_events(spark, sf_dir)))

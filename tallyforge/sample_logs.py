@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,3 +170,41 @@ def generic_lines(events: DataFrame, logs: int | None = None) -> DataFrame:
         .otherwise(F.to_json(silent))
     )
     return _lines(base, value)
+
+
+def write_compressed(lines: DataFrame, root: str, frame_lines: int) -> None:
+    """Each log as one file of many zstd frames, ``<root>/<log>/log.jsonl.zst``. A line is cut in two wherever a
+    frame ends, as writers that flush by size do. A log is written in order by one task, frame by frame."""
+    log = F.regexp_extract("source_file", r"([^/]*)\.jsonl$", 1)
+    ordered = lines.select(log.alias("log"), "pos", "value").repartition("log").sortWithinPartitions("log", "pos")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        def frame(data: bytes) -> bytes:
+            sink = pa.BufferOutputStream()
+            with pa.CompressedOutputStream(sink, "zstd") as out:
+                out.write(data)
+            return sink.getvalue().to_pybytes()
+
+        now, file, kept = None, None, b""
+        for batch in batches:
+            for name, rows in batch.groupby("log", sort=True):
+                if name != now:
+                    if file is not None:
+                        file.write(frame(kept))
+                        file.close()
+                    store, path = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
+                    store.create_dir(f"{path}/{name}", recursive=True)
+                    now, file, kept = name, store.open_output_stream(f"{path}/{name}/log.jsonl.zst"), b""
+                for first in range(0, len(rows), frame_lines):
+                    data = kept + "".join(f"{v}\n" for v in rows["value"].iloc[first : first + frame_lines]).encode()
+                    file.write(frame(data[:-20]))
+                    kept = data[-20:]
+        if file is not None:
+            file.write(frame(kept))
+            file.close()
+        yield pd.DataFrame({"log": pd.Series([], dtype=str)})
+
+    ordered.mapInPandas(write, "log string").count()

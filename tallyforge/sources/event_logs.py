@@ -14,6 +14,7 @@ from tallyforge.functions import variant as V
 from tallyforge.plans.ordered import Count, First, Last, Max, final_values, running
 from tallyforge.plans.staging import cut
 from tallyforge.schema import SOURCE_EVENT_LOG, as_usage
+from tallyforge.sources.frames import BATCH_LINES, LINES, RANGE_BYTES, frame_lines, frame_ranges, opened_by_arrow
 from tallyforge.sources.lines import COMPRESSED, UNREADABLE, number_lines, plain_path, root_folders, searched
 from tallyforge.sources.transcripts import file_facts, refusal
 
@@ -27,9 +28,7 @@ USAGE_FIELDS = ["inputTokens", "outputTokens", "reasoningTokens", "cacheReadToke
 # Spark hands a file over whole only up to this many bytes.
 MAX_BINARY_BYTES = 2_147_483_647
 
-LINES = "source_file string, block bigint, pos bigint, value string"
-# Lines handed to the JVM at a time, and per block of a decompressed file.
-BATCH_LINES = 8_192
+# Bytes read at a time, and lines per block of a file that is decompressed whole.
 READ_BYTES = 1 << 20
 BLOCK_LINES = 65_536
 
@@ -195,10 +194,9 @@ def _decompress(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=["source_file", "block", "pos", "value"])
 
 
-def scan_compressed_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of zstd-framed logs, of every size. A frame cannot be split, so a file is one task's work. A file
-    that cannot be read gives one marked line, which becomes a reject (the length is filtered before the
-    content is read)."""
+def _whole_files(spark: SparkSession, root: str) -> DataFrame:
+    """For stores that only Spark reads: it hands a file over whole, so a file is one task and at most
+    ``MAX_BINARY_BYTES`` long; a longer one is a reject (the length is filtered before the content is read)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", COMPRESSED)
     found = files.load(root).withColumn("source_file", plain_path(F.col("_metadata.file_path"))).where(searched(F.col("source_file"), root_folders(spark, root)))
     lines = found.where(F.col("length") <= MAX_BINARY_BYTES).select("source_file", "content").mapInPandas(_decompress, LINES)
@@ -208,6 +206,15 @@ def scan_compressed_lines(spark: SparkSession, root: str) -> DataFrame:
     return lines.unionByName(too_long)
 
 
+def scan_compressed_lines(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Lines of zstd-framed logs of every size, a task per range of frames. A range with a broken frame, or a
+    file that is none, ends in one marked line, which becomes a reject. Only in stores that Python cannot open
+    (see ``opened_by_arrow``) is a file read whole."""
+    if not opened_by_arrow(root_folders(spark, root)):
+        return _whole_files(spark, root)
+    return frame_lines(frame_ranges(spark, root, range_bytes))
+
+
 def read_compressed_event_logs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Like ``read_event_logs``, with repeated and unnumbered events dropped."""
     records = keep_new_sequence(event_records(lines))
