@@ -197,7 +197,7 @@ def write_compressed(lines: DataFrame, root: str, frame_lines: int) -> None:
                         file.close()
                     store, path = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
                     store.create_dir(f"{path}/{name}", recursive=True)
-                    now, file, kept = name, store.open_output_stream(f"{path}/{name}/log.jsonl.zst"), b""
+                    now, file, kept = name, store.open_output_stream(f"{path}/{name}/log.jsonl.zst", compression=None), b""
                 for first in range(0, len(rows), frame_lines):
                     data = kept + "".join(f"{v}\n" for v in rows["value"].iloc[first : first + frame_lines]).encode()
                     file.write(frame(data[:-20]))
