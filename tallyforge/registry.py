@@ -14,7 +14,7 @@ from tallyforge.functions.times import peak_tier
 from tallyforge.operators import aggs, details, pricing, quality, sessions, speed, trends
 from tallyforge.plans.ordered import Last, running
 from tallyforge.plans.ranges import DAY_MS, filter_range, resolve_span
-from tallyforge.plans.staging import scratch_path
+from tallyforge.plans.staging import cut, scratch_path
 from tallyforge.schema import SOURCE_ROLLOUT, SOURCES, with_ts_date
 from tallyforge.sinks import exports
 from tallyforge.sources import event_logs, rollouts, tables, transcripts
@@ -609,14 +609,14 @@ def dedup_replay(spark, sf_dir):
 
 # --- streams: the tables are landed in parts, read until nothing is left, and the stored result returned ----
 
-PARTS = 2
-LOGS = 16
+PARTS = 8
 FILES = 8  # of a part, and read per trigger
+FILES_PER_TRIGGER = 4_000  # of logs
 
 
-def _land(df: DataFrame, part: Column, root: str, write) -> None:
+def _land(df: DataFrame, part: Column, root: str, write, numbers=range(PARTS)) -> None:
     """Write the parts one after another, so that they also arrive in this order."""
-    for number in range(PARTS):
+    for number in numbers:
         write(df.where(part == number), f"{root}/part={number}")
 
 
@@ -626,23 +626,28 @@ def _stretch(spark, sf_dir) -> Column:
     return F.call_function("div", F.col("pos") * PARTS, F.lit(top + 1).cast("bigint"))
 
 
-def _land_lines(lines: DataFrame, part: Column, root: str) -> DataFrame:
-    """One folder per log and part, lines in order; returns them as a stream, one part per trigger."""
+def _land_lines(lines: DataFrame, part: Column, root: str, numbers) -> DataFrame:
+    """One folder per log and part, lines in order; returns them as a stream."""
     log = F.regexp_extract("source_file", r"([^/]*)\.jsonl$", 1)
 
     def write(rows: DataFrame, path: str) -> None:
         ordered = rows.withColumn("log", log).repartition("log").sortWithinPartitions("log", "pos")
         ordered.select("log", "value").write.partitionBy("log").text(path)
 
-    _land(lines, part, root, write)
+    _land(lines, part, root, write, numbers)
     layout = r"/part=([0-9]+)/log=([^/]*)/[^/]*$"
-    return ingest.landed_lines(lines.sparkSession, root, "*.txt", LOGS, layout, part_group=1, log_group=2)
+    return ingest.landed_lines(lines.sparkSession, root, "*.txt", FILES_PER_TRIGGER, layout, part_group=1, log_group=2)
 
 
-def _ingested(spark, lines: DataFrame, fmt, name: str, part: Column, unseen_only: bool = False) -> DataFrame:
+def _ingested(spark, lines: DataFrame, fmt, name: str, part: Column, unseen_only: bool = False, between=None, order=range(PARTS)) -> DataFrame:
+    """All parts, with a restart of the stream after half of them; ``between`` is called there with the output."""
     work = scratch_path(spark, name)
-    stream = _land_lines(lines, part, f"{work}/landed")
-    ingest.stream_usage(stream, fmt, f"{work}/out", f"{work}/checkpoint", unseen_only).awaitTermination()
+    parts = cut(lines.withColumn("part", part))
+    for numbers in (order[: PARTS // 2], order[PARTS // 2 :]):
+        stream = _land_lines(parts, F.col("part"), f"{work}/landed", numbers)
+        ingest.stream_usage(stream, fmt, f"{work}/out", f"{work}/checkpoint", unseen_only).awaitTermination()
+        if between is not None and numbers[0] == order[0]:
+            between(f"{work}/out")
     return ingest.current_usage(spark, f"{work}/out")
 
 
@@ -674,7 +679,7 @@ def stream_session_rate(spark, sf_dir):
 @query
 def stream_rollout_usage(spark, sf_dir):
     """Cumulative counters continued over micro-batches give what one batch gives."""
-    lines = sample_logs.rollout_lines(_events(spark, sf_dir), LOGS)
+    lines = sample_logs.rollout_lines(_events(spark, sf_dir))
     part = _stretch(spark, sf_dir)
     usage = _ingested(spark, lines, ingest.ROLLOUT_FORMAT, "stream-rollouts", part)
     return usage.select(
@@ -686,7 +691,7 @@ def stream_rollout_usage(spark, sf_dir):
 @query
 def stream_event_log_replay(spark, sf_dir):
     """Every part carries its own stretch and all lines of part 0 again; each event counts once."""
-    lines = sample_logs.event_log_lines(_events(spark, sf_dir), logs=LOGS)
+    lines = sample_logs.event_log_lines(_events(spark, sf_dir))
     own = _stretch(spark, sf_dir)
     again = F.when(own == 0, F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")).otherwise(F.array(own))
     repeated = lines.withColumn("part", F.explode(again))
@@ -697,7 +702,7 @@ def stream_event_log_replay(spark, sf_dir):
 @query
 def stream_transcript_usage(spark, sf_dir):
     """Growing snapshots: the last one of a message counts, also when it arrives in a later part."""
-    lines = sample_logs.transcript_lines(_events(spark, sf_dir), LOGS)
+    lines = sample_logs.transcript_lines(_events(spark, sf_dir))
     part = _stretch(spark, sf_dir)
     usage = _ingested(spark, lines, ingest.TRANSCRIPT_FORMAT, "stream-transcripts", part)
     return usage.select("event_key", "ts_ms", "session_id", "project", "input_tokens", "output_tokens", "cache_read_tokens")
@@ -705,12 +710,35 @@ def stream_transcript_usage(spark, sf_dir):
 
 @query
 def stream_jsonl_usage(spark, sf_dir):
-    lines = sample_logs.generic_lines(_events(spark, sf_dir), LOGS)
+    lines = sample_logs.generic_lines(_events(spark, sf_dir))
     part = _stretch(spark, sf_dir)
     usage = _ingested(spark, lines, ingest.JSONL_FORMAT, "stream-jsonl", part)
     return aggs.usage_agg(usage, ["model"]).select("model", "requests", "total", "first_ts_ms", "last_ts_ms")
 
 
+@query
+def stream_retraction(spark, sf_dir):
+    """Half-way through, every fifth user's log vanishes and one root is reset; both come back with later parts."""
+
+    def between(out: str) -> None:
+        stored = ingest.stored_usage(spark, out).select("source_file").distinct()
+        user = F.regexp_extract("source_file", "[0-9]+$", 0).cast("bigint")
+        ingest.retract_vanished(spark, out, stored.where(user % 5 != 0))
+        ingest.reset_root(spark, out, "f2")
+
+    lines = sample_logs.generic_lines(_events(spark, sf_dir))
+    usage = _ingested(spark, lines, ingest.JSONL_FORMAT, "stream-retraction", _stretch(spark, sf_dir), between=between)
+    return aggs.usage_agg(usage, ["source_file"]).select("source_file", "requests", "total", "first_ts_ms", "last_ts_ms")
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """The newest part lands first: rows count however late they come."""
+    lines = sample_logs.generic_lines(_events(spark, sf_dir))
+    usage = _ingested(spark, lines, ingest.JSONL_FORMAT, "stream-late", _stretch(spark, sf_dir), order=range(PARTS)[::-1])
+    return usage.groupBy("source_file", "model").agg(F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("input"), F.max("ts_ms").alias("last_ms"))
+
+
 # --- readers and sinks that the queries above do not reach -----------------------------------------------
 
 

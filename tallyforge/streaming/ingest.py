@@ -3,14 +3,15 @@
 Landing contract: files are complete and never change; a growing log is shipped as numbered parts,
 ``<root>/<log name>/<number>.jsonl``, and ``<log name>`` identifies the log. A part never splits a line.
 
-Every micro-batch writes its own ``batch_id=N`` folder in overwrite mode, and reads only folders of earlier
-batches. A batch that is run again after a failure therefore replaces its own output and nothing else.
-Duplicates, re-deliveries and growing snapshots are resolved when the table is read (``current_usage``), so
-late rows are never lost to a watermark.
+Every micro-batch is one commit of a ``RunTable``; a batch that is run again after a failure changes nothing that
+it has committed. Duplicates, re-deliveries and growing snapshots are resolved when runs are merged and when the
+table is read (``current_usage``), so late rows are never lost to a watermark. Logs that vanish are retracted, roots
+are reset, without a rewrite.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from tallyforge.plans.staging import cut
 from tallyforge.schema import USAGE, with_ts_date
 from tallyforge.sources import event_logs, rollouts, transcripts
 from tallyforge.sources.lines import JSONL, PART_SPACE, plain_path
-from tallyforge.sources.transcripts import keep_last_snapshot
+from tallyforge.streaming.runs import Folder, RunTable
 
 USAGE_KEY = ["source", "source_file", "event_key"]
 
@@ -47,6 +48,9 @@ ROLLOUT_FORMAT = LogFormat(rollouts.rollout_records, rollouts.rollout_usage, rol
 EVENT_LOG_FORMAT = LogFormat(event_logs.event_records, event_logs.sequenced_usage, event_logs.sequenced_state, REJECTS)
 
 
+# Beside the runs of the state table: its columns.
+SCHEMA_FILE = "schema.json"
+
 # <log name>/<number>.jsonl
 LAYOUT = r"([^/]*)/([0-9]+)[^/]*$"
 
@@ -74,91 +78,132 @@ def landed_lines(
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """A batch's own folder; a batch that is run again replaces it."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def latest_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """State after the batch before this one. A batch writes the state of every log, its own and those it did
-    not touch, so only the newest folder is read, however many batches there were."""
-    for earlier in range(batch_id - 1, -1, -1):
-        folder = f"{path}/batch_id={earlier}"
-        if _exists(spark, folder):
-            return spark.read.parquet(folder)
-    return None
+STATE_KEY = ["source_file"]
+REJECTED = T.StructType(
+    [T.StructField("source_file", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField("reason", T.StringType())]
+)
+STORED = T.StructType([*USAGE.fields, T.StructField("ts_date", T.DateType())])
 
 
-STORED = T.StructType([*USAGE.fields, T.StructField("batch_id", T.IntegerType()), T.StructField("ts_date", T.DateType())])
+def usage_runs(spark: SparkSession, out: str) -> RunTable:
+    return RunTable(spark, f"{out}/usage", STORED, USAGE_KEY, ["line_no"], ("source", "ts_date"))
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, partitions: list[str] | None = None) -> None:
-    df.write.mode("overwrite").partitionBy(*(partitions or [])).parquet(f"{path}/batch_id={batch_id}")
+def reject_runs(spark: SparkSession, out: str) -> RunTable:
+    return RunTable(spark, f"{out}/rejects", REJECTED, [], [])
 
 
-def unseen(batch: DataFrame, spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """Rows of ``batch`` whose key no earlier batch stored. Only the days that occur in the batch are read:
-    they are at most the days of the calendar and prune the table's partitions."""
+def unseen(batch: DataFrame, table: RunTable) -> DataFrame:
+    """Rows of ``batch`` whose key the table does not hold. Only the days that occur in the batch are read: they
+    are at most the days of the calendar and prune the runs' partitions."""
     batch = batch.dropDuplicates(USAGE_KEY)
-    if not _exists(spark, path):
-        return batch
-    stored = spark.read.schema(STORED).parquet(path).where(F.col("batch_id") < batch_id)
     days = F.broadcast(with_ts_date(batch).select("ts_date").distinct())
-    keys = stored.join(days, "ts_date", "left_semi").select(*USAGE_KEY)
+    keys = table.rows().join(days, "ts_date", "left_semi").select(*USAGE_KEY)
     return batch.join(keys, USAGE_KEY, "left_anti")
 
 
-def batch_writer(spark: SparkSession, fmt: LogFormat, out: str, unseen_only: bool = False):
-    """The body of ``foreachBatch``: parse, continue earlier state, write this batch's folders."""
+def batch_writer(spark: SparkSession, fmt: LogFormat, out: str, unseen_only: bool = False, checkpoint: str | None = None):
+    """The body of ``foreachBatch``: parse, continue earlier state, commit rejects, usage and, last, state.
+
+    Each table remembers the last batch of each stream, by the id that the stream's checkpoint keeps. A batch
+    that fails in between is run again: what was committed stays, the rest is added.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        lines = batch.withColumn("pos", F.monotonically_increasing_id())
-        records = fmt.records(lines)
+        stream = json.loads(Folder(spark, checkpoint).read("metadata"))["id"] if checkpoint else ""
+        usage_table, rejects = usage_runs(spark, out), reject_runs(spark, out)
+        state_table = _state_table(spark, out)
+        last = state_table if fmt.state is not None else usage_table
+        if last is not None and last.committed(stream) >= batch_id:
+            return
+        records = fmt.records(batch.withColumn("pos", F.monotonically_increasing_id()))
         state = None
-        if fmt.state is not None:
-            state = latest_state(spark, f"{out}/state", batch_id)
-            usage = fmt.usage(records, state)
-        else:
-            usage = fmt.usage(records)
-        if unseen_only:
-            usage = unseen(cut(usage), spark, f"{out}/usage", batch_id)
-        write_batch(with_ts_date(usage), f"{out}/usage", batch_id, ["source", "ts_date"])
-        if fmt.state is not None:
-            write_batch(fmt.state(records, state), f"{out}/state", batch_id)
+        if state_table is not None:
+            touched = batch.select("source_file").distinct()
+            state = cut(state_table.newest().join(touched, "source_file", "left_semi"))
         if fmt.rejects is not None:
-            write_batch(fmt.rejects(records), f"{out}/rejects", batch_id)
+            rejects.append(fmt.rejects(records), stream, batch_id)
+        usage = fmt.usage(records) if fmt.state is None else fmt.usage(records, state)
+        if usage_table.committed(stream) < batch_id:
+            if unseen_only:
+                usage = unseen(cut(usage), usage_table)
+            usage_table.append(with_ts_date(usage), stream, batch_id)
+        if fmt.state is not None:
+            after = fmt.state(records, state)
+            (state_table or _new_state_table(spark, out, after.schema)).append(after, stream, batch_id)
 
     return run
 
 
+def _state_table(spark: SparkSession, out: str) -> RunTable | None:
+    folder = Folder(spark, f"{out}/state")
+    if SCHEMA_FILE not in folder.names():
+        return None
+    schema = T.StructType.fromJson(json.loads(folder.read(SCHEMA_FILE)))
+    return RunTable(spark, f"{out}/state", schema, STATE_KEY, [])
+
+
+def _new_state_table(spark: SparkSession, out: str, schema: T.StructType) -> RunTable:
+    """State has the columns its format needs; they are kept beside the runs."""
+    Folder(spark, f"{out}/state").create(SCHEMA_FILE, schema.json())
+    return RunTable(spark, f"{out}/state", schema, STATE_KEY, [])
+
+
 def stream_usage(
     lines: DataFrame, fmt: LogFormat, out: str, checkpoint: str, unseen_only: bool = False, interval: str | None = None
 ) -> StreamingQuery:
-    """Start ingestion into ``out``. Without ``interval`` everything available is read and the query ends."""
-    writer = lines.writeStream.foreachBatch(batch_writer(lines.sparkSession, fmt, out, unseen_only))
+    """Start ingestion into ``out``. Without ``interval`` everything available is read and the query ends. Several
+    streams, each with a checkpoint of its own, may feed one table one after another."""
+    writer = lines.writeStream.foreachBatch(batch_writer(lines.sparkSession, fmt, out, unseen_only, checkpoint))
     writer = writer.option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
     return writer.trigger(**trigger).start()
 
 
 def stored_usage(spark: SparkSession, out: str) -> DataFrame:
-    """Every stored row, re-deliveries included."""
-    return spark.read.parquet(f"{out}/usage")
+    """Every stored row, re-deliveries that no merge has dropped yet included."""
+    return usage_runs(spark, out).rows()
 
 
 def current_usage(spark: SparkSession, out: str) -> DataFrame:
-    """One row per key: the one stored last. Copies are combined before the shuffle."""
-    rows = stored_usage(spark, out).withColumn("version", F.struct("batch_id", "line_no"))
-    return keep_last_snapshot(rows, USAGE_KEY, "version").select(*[f.name for f in USAGE.fields], "ts_date")
+    """One row per key: the one stored last."""
+    return usage_runs(spark, out).newest()
+
+
+def stored_rejects(spark: SparkSession, out: str) -> DataFrame:
+    return reject_runs(spark, out).newest()
+
+
+def retract_vanished(spark: SparkSession, out: str, live: DataFrame) -> None:
+    """Hide usage, rejects and state of the logs that ``live`` no longer lists. Nothing is rewritten."""
+    for table in _tables(spark, out):
+        table.retract(live)
+
+
+def reset_root(spark: SparkSession, out: str, prefix: str = "") -> None:
+    """Forget the logs whose names start with ``prefix`` (all, by default); a stream with a new checkpoint may
+    read them again."""
+    for table in _tables(spark, out):
+        table.reset(prefix)
+
+
+def _tables(spark: SparkSession, out: str) -> list[RunTable]:
+    state = _state_table(spark, out)
+    return [usage_runs(spark, out), reject_runs(spark, out), *([state] if state is not None else [])]
 
 
 def compact(spark: SparkSession, out: str, target: str, live: DataFrame | None = None) -> None:
-    """Rewrite the table without superseded rows, and without files that are gone when ``live`` lists the
-    remaining ones. Readers switch to ``target`` when it is complete."""
+    """Write the table as one run to another place, without superseded rows, and without files that are gone
+    when ``live`` lists the remaining ones."""
     usage = current_usage(spark, out)
     if live is not None:
         usage = usage.join(live.select("source_file").distinct(), "source_file", "left_semi")
-    usage.write.mode("overwrite").partitionBy("source", "ts_date").parquet(f"{target}/usage/batch_id=0")
+    usage_runs(spark, target).append(usage)
 
 
 class IngestLog(StreamingQueryListener):
