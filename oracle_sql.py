@@ -580,7 +580,7 @@ ge AS (SELECT *, CASE WHEN eid % 17 = 0 THEN 'not JSON' WHEN eid % 19 = 0 THEN '
 
 
 
-def over(logs: int, ctes: str) -> str:
+def over(logs: int | str, ctes: str) -> str:
     """The same with users spread over a number of logs."""
     fewer = RAW.replace("user_id || '.jsonl'", f"(user_id % {logs}) || '.jsonl'").replace("'f' || user_id AS", f"'f' || (user_id % {logs}) AS")
     return ctes.replace(RAW, fewer)
@@ -644,6 +644,8 @@ ORACLES |= {
 }
 
 # Streams read the same lines, with users spread over 16 logs.
+LOGS = "greatest(16, (SELECT (max(user_id) + 1) // 10 FROM events))"
+
 ORACLES |= {
     "stream_hourly": q(
         "SELECT ts_ms // 3600000 * 3600000 AS start_ms, ts_ms // 3600000 * 3600000 + 3600000 AS end_ms, model, "
@@ -655,31 +657,31 @@ ORACLES |= {
         FROM (SELECT *, unnest(range(ts_ms // 60000 - 4, ts_ms // 60000 + 1)) AS m FROM u WHERE session_id IS NOT NULL)
         GROUP BY m, source, session_id"""
     ),
-    "stream_rollout_usage": f"""WITH {ROLLOUT} SELECT ms AS ts_ms,
+    "stream_rollout_usage": f"""WITH {over(LOGS, ROLLOUT)} SELECT ms AS ts_ms,
         CASE WHEN eid % 5 = 0 THEN 'named-model' ELSE coalesce(ctx, 'unknown') END AS model,
         coalesce(ses, stem) AS session_id, cwd AS project,
         {delta("in")} AS input_tokens, {delta("out")} AS output_tokens, {delta("re")} AS reasoning_tokens,
         {delta("ca")} AS cache_read_tokens, {delta("to")} AS total_override,
         CASE WHEN en - st BETWEEN 100 AND 600000 THEN en - st END AS duration_ms FROM ro""",
-    "stream_event_log_replay": f"""WITH {EVENT_LOG} SELECT ms AS ts_ms, coalesce(mo, 'unknown') AS model,
+    "stream_event_log_replay": f"""WITH {over(LOGS, EVENT_LOG)} SELECT ms AS ts_ms, coalesce(mo, 'unknown') AS model,
         cwd AS project, cents AS input_tokens, k * 7 AS output_tokens, cents + cr + k * 7 AS total_override
         FROM ev WHERE eid % 7 > 1""",
-    "stream_transcript_usage": f"""WITH {TRANSCRIPT} SELECT key AS event_key, ms AS ts_ms,
+    "stream_transcript_usage": f"""WITH {over(LOGS, TRANSCRIPT)} SELECT key AS event_key, ms AS ts_ms,
         CASE WHEN eid % 3 = 0 THEN 'cs' || eid ELSE stem END AS session_id, cwd AS project, cents AS input_tokens,
         outp AS output_tokens, CASE WHEN eid % 4 <> 0 THEN cents * 2 END AS cache_read_tokens
         FROM (SELECT *, row_number() OVER (PARTITION BY source_file, key ORDER BY eid DESC) AS rn FROM tr
               WHERE eid % 6 <> 0 AND (cents > 0 OR outp > 0)) WHERE rn = 1""",
-    "stream_retraction": f"""WITH {GENERIC} SELECT stem AS source_file, count(*) AS requests,
+    "stream_retraction": f"""WITH {over(LOGS, GENERIC)} SELECT stem AS source_file, count(*) AS requests,
         CAST(sum(cents + k + CASE shape WHEN 'nested' THEN k
                  ELSE CASE WHEN cents >= k * 2 AND cents > 0 THEN 0 ELSE k * 2 END END) AS BIGINT) AS total,
         min(CASE shape WHEN 'flat' THEN ms // 1000 * 1000 ELSE ms END) AS first_ts_ms,
         max(CASE shape WHEN 'flat' THEN ms // 1000 * 1000 ELSE ms END) AS last_ts_ms
         FROM ge WHERE shape IN ('nested', 'flat') AND (eid * 8 // (SELECT max(event_id) + 1 FROM events) >= 4
           OR (CAST(stem[2:] AS BIGINT) % 5 <> 0 AND NOT starts_with(stem, 'f2'))) GROUP BY 1""",
-    "stream_late_rows": f"""WITH {GENERIC} SELECT stem AS source_file, model, count(*) AS requests,
+    "stream_late_rows": f"""WITH {over(LOGS, GENERIC)} SELECT stem AS source_file, model, count(*) AS requests,
         CAST(sum(cents) AS BIGINT) AS input, max(CASE shape WHEN 'flat' THEN ms // 1000 * 1000 ELSE ms END) AS last_ms
         FROM ge WHERE shape IN ('nested', 'flat') GROUP BY 1, 2""",
-    "stream_jsonl_usage": f"""WITH {GENERIC} SELECT model, count(*) AS requests,
+    "stream_jsonl_usage": f"""WITH {over(LOGS, GENERIC)} SELECT model, count(*) AS requests,
         CAST(sum(cents + k + CASE shape WHEN 'nested' THEN k
                  ELSE CASE WHEN cents >= k * 2 AND cents > 0 THEN 0 ELSE k * 2 END END) AS BIGINT) AS total,
         min(CASE shape WHEN 'flat' THEN ms // 1000 * 1000 ELSE ms END) AS first_ts_ms,

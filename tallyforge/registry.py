@@ -611,32 +611,34 @@ def dedup_replay(spark, sf_dir):
 
 PARTS = 8
 FILES = 8  # of a part, and read per trigger
-FILES_PER_TRIGGER = 4_000  # of logs
+USERS_PER_LOG = 10  # so that logs grow in number with the users, and the landed files stay some thousands
 
 
-def _land(df: DataFrame, part: Column, root: str, write, numbers=range(PARTS)) -> None:
+def _land(df: DataFrame, part: Column, root: str, write) -> None:
     """Write the parts one after another, so that they also arrive in this order."""
-    for number in numbers:
+    for number in range(PARTS):
         write(df.where(part == number), f"{root}/part={number}")
 
 
+def _logs(spark, sf_dir) -> int:
+    users = _events(spark, sf_dir).agg(F.max("user_id")).first()[0] or 0
+    return max(16, (users + 1) // USERS_PER_LOG)
+
+
 def _stretch(spark, sf_dir) -> Column:
     """Part number of a line: equal stretches of the position range."""
     top = _events(spark, sf_dir).agg(F.max("event_id")).first()[0] or 0
     return F.call_function("div", F.col("pos") * PARTS, F.lit(top + 1).cast("bigint"))
 
 
-def _land_lines(lines: DataFrame, part: Column, root: str, numbers) -> DataFrame:
-    """One folder per log and part, lines in order; returns them as a stream."""
+def _land_lines(lines: DataFrame, root: str, numbers) -> DataFrame:
+    """A folder per part and log, lines in order; returns them as a stream. ``lines`` have their ``part``."""
     log = F.regexp_extract("source_file", r"([^/]*)\.jsonl$", 1)
-
-    def write(rows: DataFrame, path: str) -> None:
-        ordered = rows.withColumn("log", log).repartition("log").sortWithinPartitions("log", "pos")
-        ordered.select("log", "value").write.partitionBy("log").text(path)
-
-    _land(lines, part, root, write, numbers)
+    rows = lines.where(F.col("part").isin(*numbers)).withColumn("log", log)
+    ordered = rows.repartition("log").sortWithinPartitions("part", "log", "pos")
+    ordered.select("part", "log", "value").write.mode("append").partitionBy("part", "log").text(root)
     layout = r"/part=([0-9]+)/log=([^/]*)/[^/]*$"
-    return ingest.landed_lines(lines.sparkSession, root, "*.txt", FILES_PER_TRIGGER, layout, part_group=1, log_group=2)
+    return ingest.landed_lines(lines.sparkSession, root, "*.txt", None, layout, part_group=1, log_group=2)
 
 
 def _ingested(spark, lines: DataFrame, fmt, name: str, part: Column, unseen_only: bool = False, between=None, order=range(PARTS)) -> DataFrame:
@@ -644,9 +646,9 @@ def _ingested(spark, lines: DataFrame, fmt, name: str, part: Column, unseen_only
     work = scratch_path(spark, name)
     parts = cut(lines.withColumn("part", part))
     for numbers in (order[: PARTS // 2], order[PARTS // 2 :]):
-        stream = _land_lines(parts, F.col("part"), f"{work}/landed", numbers)
+        stream = _land_lines(parts, f"{work}/landed", numbers)
         ingest.stream_usage(stream, fmt, f"{work}/out", f"{work}/checkpoint", unseen_only).awaitTermination()
-        if between is not None and numbers[0] == order[0]:
+        if between is not None and numbers == order[: PARTS // 2]:
             between(f"{work}/out")
     return ingest.current_usage(spark, f"{work}/out")
 
@@ -679,7 +681,7 @@ def stream_session_rate(spark, sf_dir):
 @query
 def stream_rollout_usage(spark, sf_dir):
     """Cumulative counters continued over micro-batches give what one batch gives."""
-    lines = sample_logs.rollout_lines(_events(spark, sf_dir))
+    lines = sample_logs.rollout_lines(_events(spark, sf_dir), logs=_logs(spark, sf_dir))
     part = _stretch(spark, sf_dir)
     usage = _ingested(spark, lines, ingest.ROLLOUT_FORMAT, "stream-rollouts", part)
     return usage.select(
@@ -691,7 +693,7 @@ def stream_rollout_usage(spark, sf_dir):
 @query
 def stream_event_log_replay(spark, sf_dir):
     """Every part carries its own stretch and all lines of part 0 again; each event counts once."""
-    lines = sample_logs.event_log_lines(_events(spark, sf_dir))
+    lines = sample_logs.event_log_lines(_events(spark, sf_dir), logs=_logs(spark, sf_dir))
     own = _stretch(spark, sf_dir)
     again = F.when(own == 0, F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")).otherwise(F.array(own))
     repeated = lines.withColumn("part", F.explode(again))
@@ -702,7 +704,7 @@ def stream_event_log_replay(spark, sf_dir):
 @query
 def stream_transcript_usage(spark, sf_dir):
     """Growing snapshots: the last one of a message counts, also when it arrives in a later part."""
-    lines = sample_logs.transcript_lines(_events(spark, sf_dir))
+    lines = sample_logs.transcript_lines(_events(spark, sf_dir), logs=_logs(spark, sf_dir))
     part = _stretch(spark, sf_dir)
     usage = _ingested(spark, lines, ingest.TRANSCRIPT_FORMAT, "stream-transcripts", part)
     return usage.select("event_key", "ts_ms", "session_id", "project", "input_tokens", "output_tokens", "cache_read_tokens")
@@ -710,7 +712,7 @@ def stream_transcript_usage(spark, sf_dir):
 
 @query
 def stream_jsonl_usage(spark, sf_dir):
-    lines = sample_logs.generic_lines(_events(spark, sf_dir))
+    lines = sample_logs.generic_lines(_events(spark, sf_dir), logs=_logs(spark, sf_dir))
     part = _stretch(spark, sf_dir)
     usage = _ingested(spark, lines, ingest.JSONL_FORMAT, "stream-jsonl", part)
     return aggs.usage_agg(usage, ["model"]).select("model", "requests", "total", "first_ts_ms", "last_ts_ms")
@@ -726,7 +728,7 @@ def stream_retraction(spark, sf_dir):
         ingest.retract_vanished(spark, out, stored.where(user % 5 != 0))
         ingest.reset_root(spark, out, "f2")
 
-    lines = sample_logs.generic_lines(_events(spark, sf_dir))
+    lines = sample_logs.generic_lines(_events(spark, sf_dir), logs=_logs(spark, sf_dir))
     usage = _ingested(spark, lines, ingest.JSONL_FORMAT, "stream-retraction", _stretch(spark, sf_dir), between=between)
     return aggs.usage_agg(usage, ["source_file"]).select("source_file", "requests", "total", "first_ts_ms", "last_ts_ms")
 
@@ -734,7 +736,7 @@ def stream_retraction(spark, sf_dir):
 @query
 def stream_late_rows(spark, sf_dir):
     """The newest part lands first: rows count however late they come."""
-    lines = sample_logs.generic_lines(_events(spark, sf_dir))
+    lines = sample_logs.generic_lines(_events(spark, sf_dir), logs=_logs(spark, sf_dir))
     usage = _ingested(spark, lines, ingest.JSONL_FORMAT, "stream-late", _stretch(spark, sf_dir), order=range(PARTS)[::-1])
     return usage.groupBy("source_file", "model").agg(F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("input"), F.max("ts_ms").alias("last_ms"))
 
