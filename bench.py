@@ -77,7 +77,7 @@ def generated_usage(spark: SparkSession, records: int) -> DataFrame:
 def generated_workload(spark: SparkSession, records: int) -> dict[str, float]:
     """The published workload: ingest in 20 landed files, then trend, grouping, sessions and cost over the
     stored Parquet table (read from disk every time)."""
-    from tallyforge.operators import aggs, pricing, sessions, speed, trends
+    from tallyforge.operators import aggs, cells, pricing, sessions, speed, trends
     from tallyforge.plans.ranges import resolve_span
     from tallyforge.plans.staging import scratch_path
     from tallyforge.registry import prices_in_effect
@@ -99,7 +99,11 @@ def generated_workload(spark: SparkSession, records: int) -> dict[str, float]:
     out = {"ingest_20_files": timed(ingest)}
     usage = spark.read.parquet(f"{work}/usage")
     prices = prices_in_effect(spark)
+    out["build_cells"] = timed(lambda: cells.write_cells(cells.usage_cells(usage), f"{work}/cells"))
+    stored = cells.read_cells(spark, f"{work}/cells")
     jobs = {
+        "trend_30d_from_cells": lambda: drain(cells.trend_from_cells(stored, usage, resolve_span("30d", now), by_model=True)),
+        "group_by_model_from_cells": lambda: drain(cells.range_from_cells(stored, usage, 0, now, ["model"])),
         "trend_30d_by_model": lambda: drain(trends.bucketize_by_model(usage, resolve_span("30d", now))),
         "group_by_model": lambda: drain(aggs.group_by_model(usage)),
         "active_session": lambda: drain(sessions.active_session(usage)),

@@ -306,6 +306,21 @@ ORACLES: dict[str, str] = {
                {b('sum(tot)', 'total')} FROM sp JOIN g ON bi = bucket_idx GROUP BY 1, 2, 3, 4)""",
         trend_sql("(SELECT min(ts_ms) FROM usage)", NOW, 90, ""),
     ),
+    "trend_from_rollup": q(
+        f"""SELECT bucket_idx, start_ms, end_ms, model, requests, input, output, total FROM (
+        SELECT bucket_idx, start_ms, end_ms, NULL AS model, count(g.ts_ms) AS requests, {b('sum(inp)', 'input')},
+               {b('sum(outp)', 'output')}, {b('sum(tot)', 'total')} FROM sp LEFT JOIN g ON bi = bucket_idx GROUP BY 1, 2, 3
+        UNION ALL
+        SELECT bucket_idx, start_ms, end_ms, model, count(*), {b('sum(inp)', 'input')}, {b('sum(outp)', 'output')},
+               {b('sum(tot)', 'total')} FROM sp JOIN g ON bi = bucket_idx GROUP BY 1, 2, 3, 4)""",
+        trend_sql(FROM_30D, NOW, 30, ""),
+    ),
+    "range_from_rollup": q(
+        f"SELECT range_key, source, model, {REQ_TOT}, {HIT}, min(ts_ms) AS first_ts_ms, max(ts_ms) AS last_ts_ms "
+        "FROM odd JOIN u ON ts_ms BETWEEN from_ms AND to_ms GROUP BY 1, 2, 3",
+        RANGES,
+        f"odd AS (SELECT range_key, from_ms, to_ms FROM ranges WHERE range_key <> 'all' UNION ALL SELECT 'odd', {NOW - 1_234_567_891}, {NOW - 98_765_432})",
+    ),
     "model_trend_30d": q(
         f"SELECT m.source, m.model, bucket_idx, start_ms, count(g.ts_ms) AS requests, {b('sum(tot)', 'total')} "
         "FROM (SELECT DISTINCT source, model FROM u) m CROSS JOIN sp "

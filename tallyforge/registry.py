@@ -11,7 +11,7 @@ from tallyforge import fixtures, sample_logs
 from tallyforge.fixtures import FX_USD_CNY, NOW_MS, usage_table
 from tallyforge.functions import text
 from tallyforge.functions.times import peak_tier
-from tallyforge.operators import aggs, details, pricing, quality, sessions, speed, trends
+from tallyforge.operators import aggs, cells, details, pricing, quality, sessions, speed, trends
 from tallyforge.plans.ordered import Last, running
 from tallyforge.plans.ranges import DAY_MS, filter_range, resolve_span
 from tallyforge.plans.staging import cut, scratch_path
@@ -166,6 +166,30 @@ def trend_by_model(spark, sf_dir):
     return out.select("bucket_idx", "start_ms", "end_ms", "model", "requests", "input", "output", "total")
 
 
+def _stored_cells(spark, sf_dir) -> DataFrame:
+    path = scratch_path(spark, "cells")
+    cells.write_cells(cells.usage_cells(usage_table(spark, sf_dir)), path)
+    return cells.read_cells(spark, path)
+
+
+@query
+def trend_from_rollup(spark, sf_dir):
+    """The 30-day trend by model from stored cells, and usage rows of the minutes that bucket ends cut."""
+    out = cells.trend_from_cells(_stored_cells(spark, sf_dir), usage_table(spark, sf_dir), LAST_30D, by_model=True)
+    return out.select("bucket_idx", "start_ms", "end_ms", "model", "requests", "input", "output", "total")
+
+
+@query
+def range_from_rollup(spark, sf_dir):
+    """Six ranges, one of them between odd milliseconds, from stored cells."""
+    stored, usage = _stored_cells(spark, sf_dir), usage_table(spark, sf_dir)
+    spans = {key: resolve_span(key, NOW_MS)[:2] for key in ("today", "60m", "24h", "7d", "30d")}
+    spans["odd"] = (NOW_MS - 1_234_567_891, NOW_MS - 98_765_432)
+    parts = [cells.range_from_cells(stored, usage, *span).select(F.lit(key).alias("range_key"), "*") for key, span in spans.items()]
+    out = aggs.union_sources(*parts)
+    return out.select("range_key", "source", "model", "requests", "total", "hit_rate", "first_ts_ms", "last_ts_ms").withColumns(rounded("hit_rate"))
+
+
 @query
 def model_trend_30d(spark, sf_dir):
     out = trends.trend_per_model(usage_table(spark, sf_dir), LAST_30D, ["source", "model"])
