@@ -102,7 +102,7 @@ def generated_workload(spark: SparkSession, records: int) -> dict[str, float]:
     out["build_cells"] = timed(lambda: cells.write_cells(cells.usage_cells(usage), f"{work}/cells"))
     stored = cells.read_cells(spark, f"{work}/cells")
     jobs = {
-        "trend_30d_from_cells": lambda: drain(cells.trend_from_cells(stored, usage, resolve_span("30d", now), by_model=True)),
+        "trend_30d_from_cells": lambda: drain(cells.trend_from_cells(stored, usage, resolve_span("30d", now), by_model=True, finest=3)),
         "group_by_model_from_cells": lambda: drain(cells.range_from_cells(stored, usage, 0, now, ["model"])),
         "trend_30d_by_model": lambda: drain(trends.bucketize_by_model(usage, resolve_span("30d", now))),
         "group_by_model": lambda: drain(aggs.group_by_model(usage)),

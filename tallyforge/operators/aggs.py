@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,17 @@ ADDITIVE = [
 ]
 
 
+_made: dict[tuple, list[Column]] = {}
+
+
+def _once(name: str, make) -> list[Column]:
+    """Columns that every report uses, made once per JVM: making one takes as long as planning it."""
+    key = (name, id(SparkContext._jvm))
+    if key not in _made:
+        _made[key] = make()
+    return list(_made[key])
+
+
 def _sum(col: Column, name: str) -> Column:
     """Sum with NULL as 0 that stops at the largest bigint instead of failing the query."""
     total = F.try_sum(F.coalesce(col, F.lit(0).cast("bigint")))
@@ -33,6 +45,10 @@ def _sum(col: Column, name: str) -> Column:
 def usage_measures() -> list[Column]:
     """Aggregates over usage rows. Failed requests count. All are fixed-width, so hash aggregation
     combines them on the map side whatever the skew of the key."""
+    return _once("usage", _usage_measures)
+
+
+def _usage_measures() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("requests"),
         _sum(F.col("input_tokens"), "input"),
@@ -52,7 +68,12 @@ def usage_measures() -> list[Column]:
 
 def merged_measures(where: Column | None = None, suffix: str = "") -> list[Column]:
     """Combine aggregate rows into coarser ones, optionally only those meeting a condition."""
+    if where is None:
+        return _once(f"merged{suffix}", lambda: _merged_measures(None, suffix))
+    return _merged_measures(where, suffix)
+
 
+def _merged_measures(where: Column | None, suffix: str) -> list[Column]:
     def pick(name: str) -> Column:
         return F.col(name) if where is None else F.when(where, F.col(name))
 

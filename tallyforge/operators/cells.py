@@ -72,17 +72,10 @@ def _whole_minutes(start_ms: int, end_ms: int) -> tuple[int, int]:
     return -(-start_ms // MINUTE_MS), end_ms // MINUTE_MS
 
 
-def _any(conditions: list[Column]) -> Column:
-    found = F.lit(False)
-    for condition in conditions:
-        found = found | condition
-    return found
-
-
 def _usage_between(usage: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
     """Usage rows of some short times (the end excluded); days prune partitions where they are stored."""
     spans = [(a, b) for a, b in spans if a < b]
-    rows = usage.where(_any([F.col("ts_ms").between(a, b - 1) for a, b in spans]))
+    rows = usage.where(" or ".join(f"ts_ms between {a}L and {b - 1}L" for a, b in spans) or "false")
     if "ts_date" in usage.columns:
         days = sorted({d for a, b in spans for d in range(a // (1440 * MINUTE_MS), (b - 1) // (1440 * MINUTE_MS) + 1)})
         rows = rows.where(F.unix_date("ts_date").isin(days) if days else F.lit(False))
@@ -104,7 +97,7 @@ def range_from_cells(cells: DataFrame, usage: DataFrame, from_ms: int, to_ms: in
         edges, spans = [(from_ms, end_ms)], []
     else:
         edges, spans = [(from_ms, first * MINUTE_MS), (last * MINUTE_MS, end_ms)], cover(first, last)
-    whole = cells.where(_any([(F.col("level") == level) & F.col("cell").between(a, b - 1) for level, a, b in spans]))
+    whole = cells.where(" or ".join(f"level = {level} and cell between {a}L and {b - 1}L" for level, a, b in spans) or "false")
     return _merged(keys, whole, _usage_between(usage, edges)).withColumn("hit_rate", hit_rate())
 
 
@@ -114,9 +107,11 @@ def bucket_edges(span: Span) -> list[int]:
     return [*(span.from_ms - (-i * length // n) for i in range(n)), span.to_ms + 1]
 
 
-def trend_from_cells(cells: DataFrame, usage: DataFrame, span: Span, by_model: bool = False) -> DataFrame:
+def trend_from_cells(cells: DataFrame, usage: DataFrame, span: Span, by_model: bool = False, finest: int = 0) -> DataFrame:
     """The rows of ``bucketize`` (or ``bucketize_by_model``): the widest cells inside one bucket, and usage rows
-    of the minutes that a bucket's end cuts."""
+    of the cells of level ``finest`` that a bucket's end cuts. Where a minute has few usage rows, a wider finest
+    level reads less."""
+    unit = MINUTE_MS << BITS * finest
     n, start, end = (F.lit(x).cast("bigint") for x in (max(span.buckets, 1), span.from_ms, span.to_ms))
 
     def bucket_of(cell: Column, width: Column) -> Column:
@@ -125,19 +120,20 @@ def trend_from_cells(cells: DataFrame, usage: DataFrame, span: Span, by_model: b
         index = bucket_index(low, start, end, n)
         return F.when((low >= start) & (high <= end) & (index == bucket_index(high, start, end, n)), index)
 
-    levels, width = [], MINUTE_MS
-    while width <= span.to_ms - span.from_ms + 1 and len(levels) < LEVELS:
-        levels.append((F.col("level") == len(levels)) & F.col("cell").between(span.from_ms // width, span.to_ms // width))
-        width <<= BITS
+    levels = []
+    for level in range(finest, LEVELS):
+        width = MINUTE_MS << BITS * level
+        if width <= span.to_ms - span.from_ms + 1:
+            levels.append(f"level = {level} and cell between {span.from_ms // width}L and {span.to_ms // width}L")
     own_width = F.call_function("shiftleft", F.lit(MINUTE_MS).cast("bigint"), F.col("level") * BITS)
     wider = F.call_function("shiftright", F.col("cell"), F.lit(BITS))
     taken_wider = bucket_of(wider, own_width * (1 << BITS)).isNotNull() & (F.col("level") < LEVELS - 1)
-    whole = cells.where(_any(levels)).withColumn("bucket_idx", bucket_of(F.col("cell"), own_width))
+    whole = cells.where(" or ".join(levels) or "false").withColumn("bucket_idx", bucket_of(F.col("cell"), own_width))
     whole = whole.where(F.col("bucket_idx").isNotNull() & ~taken_wider)
 
     edges = bucket_edges(span)
-    cuts = sorted({e // MINUTE_MS for e in edges if e % MINUTE_MS})
-    parts = [(max(m * MINUTE_MS, span.from_ms), min((m + 1) * MINUTE_MS, span.to_ms + 1)) for m in cuts]
+    cuts = sorted({e // unit for e in edges if e % unit})
+    parts = [(max(m * unit, span.from_ms), min((m + 1) * unit, span.to_ms + 1)) for m in cuts]
     rows = _usage_between(usage, parts).withColumn("bucket_idx", bucket_index(F.col("ts_ms"), start, end, n))
     keys = ["bucket_idx", "model"] if by_model else ["bucket_idx"]
     if by_model:

@@ -58,6 +58,7 @@ def test_trends_equal_direct_buckets(usage, buckets):
         span = Span(a, b, buckets)
         columns = ["bucket_idx", "start_ms", "end_ms", *aggs.ADDITIVE]
         assert rows_of(cells.trend_from_cells(stored, usage, span), columns) == rows_of(trends.bucketize(usage, span), columns)
+        assert rows_of(cells.trend_from_cells(stored, usage, span, finest=3), columns) == rows_of(trends.bucketize(usage, span), columns)
         keyed = [(*r[:3], r[3] or "", *r[4:]) for r in rows_of_unsorted(trends.bucketize_by_model(usage, span), ["bucket_idx", "start_ms", "end_ms", "model", *aggs.ADDITIVE])]
         got = [(*r[:3], r[3] or "", *r[4:]) for r in rows_of_unsorted(cells.trend_from_cells(stored, usage, span, by_model=True), ["bucket_idx", "start_ms", "end_ms", "model", *aggs.ADDITIVE])]
         assert sorted(got) == sorted(keyed)
