@@ -41,11 +41,11 @@ def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero((bitmap[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
 
 
-def split_by_ids(docs: DataFrame, ids: DataFrame, bits: int = 24) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, text`` of the documents that may be among ``ids`` (a column ``doc_id``), and of those that are
-    surely not. Join the first for the exact set; the second never needs a shuffle. Null ids are never among
-    them."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+def split_by_ids(docs: DataFrame, ids: DataFrame, bits: int = 24, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text`` (and ``more`` columns) of the documents that may be among ``ids`` (a column ``doc_id``),
+    and of those that are surely not. Join the first for the exact set; the second never needs a shuffle. Null
+    ids are never among them."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *more)
     spread = lambda x: bytetext.mix(x.astype(np.int64).view(np.uint64) + np.uint64(bytetext.STEP))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, bits: int = 24) -> tuple[DataF
                 if len(found):
                     yield batch.take(pa.array(found)) if len(found) < batch.num_rows else batch
 
-        return rows.mapInArrow(choose, "doc_id long, text string")
+        return rows.mapInArrow(choose, rows.schema)
 
     return chosen(True), chosen(False)
 

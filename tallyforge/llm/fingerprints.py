@@ -25,6 +25,7 @@ PERCENT = 80
 SEED = 7
 CHUNK_ROWS = 512  # documents of a range, while there are fewer than MOST_CHUNKS ranges
 MOST_CHUNKS = 20_000
+NO_ID = -(1 << 63)  # stands for a null doc_id inside, below all others
 
 
 def universal_signature(sets: np.ndarray, firsts: np.ndarray, functions: int = LINK_FUNCTIONS) -> np.ndarray:
@@ -122,10 +123,10 @@ def compare_edited(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, function
     range rows stream past in order and only one document waits for its next.
 
     Null text is empty. Of rows with equal doc_id the smallest text is what the document before takes; each
-    row is returned. Rows with a null doc_id are left out: they have no place in the order. Empty table: no
-    rows. A single document is its own next. Other columns are not read.
+    row is returned. Rows with a null doc_id are one document with several texts, which comes last, below all
+    ids. Empty table: no rows. A single document is its own next. Other columns are not read.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tops = range_tops(rows.select("doc_id"))
     names = ["range", "visits", "doc_id", "text", "print"]
 
@@ -177,12 +178,13 @@ def compare_edited(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, function
             ]
             yield pa.RecordBatch.from_arrays(made, columns)
 
-    return ordered.mapInArrow(second_pass, RESULT)
+    compared = ordered.mapInArrow(second_pass, RESULT)
+    return compared.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def with_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """Rows of ``compare_edited`` with the ``component_id`` of ``near_copies``; rows with equal doc_id share the
-    smallest of theirs."""
+    smallest of theirs, null ids have none."""
     parts = near_copies(docs, shingle_words, percent).where("doc_id is not null")
     parts = parts.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     edited = compare_edited(docs, shingle_words)

@@ -145,26 +145,36 @@ def with_slots(assigned: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 def rewrite_shards(docs: DataFrame, moved: DataFrame, path: str) -> list[int]:
     """Write the shards below ``path`` (``shard=N`` folders) that gain or lose documents; the others stay as
     they are on disk. ``docs`` holds the old shards' rows, ``moved`` comes from ``reshard`` with the sizes of
-    ``byte_size``; rows are matched by id, size and their number among equal ones. New contents go to a sibling folder first, so a failed run leaves the old shards whole.
-    Returns the numbers of the shards written."""
+    ``byte_size``. Rows are matched by id (null ids too), size and their number among equal ones, so that every
+    row is written; more than ``2 * SHARD_LIMIT`` affected shards are refused before anything is.
+
+    New contents are complete in a sibling folder (``-new``) before any shard is touched, and an old shard is
+    moved aside (``-old``) until its new one stands in its place: whenever the driver dies, every row is in one
+    of the three folders. Returns the numbers of the shards written.
+    """
     spark = docs.sparkSession
     changed = moved.where(~F.col("shard").eqNullSafe(F.col("old_shard")))
     changed = changed.select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct().where("shard >= 0")
-    affected = sorted(r[0] for r in changed.limit(2 * SHARD_LIMIT).collect())
-    fresh = f"{path.rstrip('/')}-new"
+    affected = sorted(r[0] for r in changed.limit(2 * SHARD_LIMIT + 1).collect())
+    if len(affected) > 2 * SHARD_LIMIT:
+        raise ValueError(f"more than {2 * SHARD_LIMIT} affected shards")
+    base = path.rstrip("/")
+    fresh, aside = f"{base}-new", f"{base}-old"
     number = F.row_number().over(Window.partitionBy("doc_id", "__size").orderBy("__size"))
     kept = moved.select("doc_id", F.col("size").alias("__size"), "shard", "slot").withColumn("__number", number)
-    kept = kept.where(F.col("shard").isin(affected))
+    kept = kept.where(F.col("shard").isin(affected)).withColumnsRenamed({"doc_id": "__id", "__size": "__moved_size", "__number": "__moved_number"})
     texts = docs.drop("shard", "slot").withColumn("__size", byte_size()).withColumn("__number", number)
-    rows = texts.join(kept, ["doc_id", "__size", "__number"]).drop("__size", "__number")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__moved_size")) & (F.col("__number") == F.col("__moved_number"))
+    rows = texts.join(kept, same).select(*[c for c in texts.columns if not c.startswith("__")], "shard", "slot")
     rows.write.partitionBy("shard").mode("overwrite").parquet(fresh)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(target)
-    for shard in affected:
-        delete_folder(spark, f"{path}/shard={shard}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{fresh}/shard={shard}")
-        if fs.exists(old):
-            fs.rename(old, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}"))
-    delete_folder(spark, fresh)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in (base, aside):
+        fs.mkdirs(at(folder))
+    for shard in (f"shard={n}" for n in affected):
+        for source, target in ((base, aside), (fresh, base)):
+            if fs.exists(at(f"{source}/{shard}")) and not fs.rename(at(f"{source}/{shard}"), at(f"{target}/{shard}")):
+                raise OSError(f"{source}/{shard} could not be moved to {target}")
+    for folder in (aside, fresh):
+        delete_folder(spark, folder)
     return affected

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap, bytetext
-from .storage import staged
+from .storage import row_key, short_batches, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -84,16 +84,16 @@ def runs_of(words_before: np.ndarray, firsts: np.ndarray, sentences: int, words:
 
 
 def sentence_runs(docs: DataFrame, sentences: int, words: int, known: np.ndarray | None = None) -> DataFrame:
-    """``h1, h2, doc_id, first, last`` of every run (two hashes of 64 bits name a run's sentences), or of those
-    whose ``h1`` passes a filter."""
+    """``h1, h2, key, doc_id, first, last`` of every run (two hashes of 64 bits name a run's sentences, ``key`` its
+    row), or of those whose ``h1`` passes a filter."""
     shared = docs.sparkSession.sparkContext.broadcast(known) if known is not None else None
-    names = ["h1", "h2", "doc_id", "first", "last"]
+    names = ["h1", "h2", "key", "doc_id", "first", "last"]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, wordy = bytetext.Hasher(seed=10), bytetext.not_blank()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, end, data, bounds in bytetext.pieces(batch.column(1)):
+            keys, ids = batch.column(0).to_numpy(), batch.column(1)
+            for row, end, data, bounds in bytetext.pieces(batch.column(2)):
                 starts, firsts = sentence_bounds(data, bounds)
                 if len(starts) < 2:
                     continue
@@ -110,18 +110,18 @@ def sentence_runs(docs: DataFrame, sentences: int, words: int, known: np.ndarray
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(whole * up)])
                     made.append(bytetext.signed(bytetext.mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))))
                 places = [(x - firsts[text]).astype(np.int32) for x in (a, b - 1)]
-                made += [ids[row:end][text], *places]
                 if shared is not None:
                     passed = bitmap.passes(shared.value, made[0].view(np.uint64))
-                    made = [x[passed] for x in made]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names)
+                    text, made, places = text[passed], [x[passed] for x in made], [x[passed] for x in places]
+                named = [pa.array(keys[row:end][text]), ids.take(pa.array(row + text))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, made), *named, *map(pa.array, places)], names)
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(runs, "h1 long, h2 long, doc_id long, first int, last int")
+    rows = docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(runs, "h1 long, h2 long, key long, doc_id long, first int, last int")
 
 
 def repeated_runs(docs: DataFrame, sentences: int, words: int) -> DataFrame:
-    """Runs that occur before, as ``doc_id, first, last``: all but the first by document and place.
+    """Runs that occur before, as ``key, first, last``: all but the first by document and place.
 
     First only the names of runs are counted, combined before their shuffle, so a run found in a third of all
     documents is no hot group. Runs are then made again and those without a repeated name are dropped by a
@@ -132,11 +132,11 @@ def repeated_runs(docs: DataFrame, sentences: int, words: int) -> DataFrame:
     names = staged(counts.where("n > 1").select("h1"), "sentence-names")
     runs = sentence_runs(docs, sentences, words, bitmap.build(names, "h1", FILTER_BITS))
     runs = staged(runs.join(names, "h1", "left_semi"), "sentence-runs")
-    place = F.struct("doc_id", "first")
+    place = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "key", "first")
     known = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("origin")).where("n > 1").drop("n")
     known = staged(known, "sentence-origins")  # read by its own shuffle, so that the join can split hot runs
     again = runs.join(known, ["h1", "h2"]).where(place != F.col("origin"))
-    return again.select("doc_id", "first", "last")
+    return again.select("key", "first", "last")
 
 
 RESULT = "doc_id long, n_sentences int, n_removed int, removed array<int>, kept_text string, kept_sha256 string"
@@ -146,20 +146,22 @@ def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: in
     """One row per document: its sentences, those removed (numbers from 0) and the text that is left.
 
     A run has at least ``sentences`` sentences and ``words`` words. The first occurrence is the one with the
-    smallest (doc_id, place), so a passage stays once in the corpus. Sentences compare without the blanks
-    around them. Empty or null text: no sentences, kept text empty. A null doc_id, or rows with a doc_id that
-    another row has: null ids are returned as they came, rows with equal ids share the numbers to remove (the
-    table's key is doc_id). Empty table: no rows. Other columns are not read.
+    smallest (doc_id, place), null ids last, so a passage stays once in the corpus. Sentences compare without the
+    blanks around them. Empty or null text: no sentences, kept text empty. Rows with one doc_id and different
+    texts are judged each for itself, in an order by their texts' hashes; rows equal in doc_id and text count as
+    one and share their result. Empty table: no rows. Other columns are not read.
     """
-    gone = repeated_runs(docs, sentences, words).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
-    gone = staged(gone, "sentence-gone")
+    short_batches(docs.sparkSession)
+    gone = repeated_runs(docs, sentences, words).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+    gone = staged(gone.withColumnRenamed("key", "doc_id"), "sentence-gone")
     names = [part.split()[0] for part in RESULT.split(", ")]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string()]
         for batch in batches:
-            rows, ids, spans = [], batch.column(0).to_pylist(), batch.column(2)
+            ids, spans = batch.column(0).to_pylist(), batch.column(2)
             for row, end, data, bounds in bytetext.pieces(batch.column(1)):
+                rows = []
                 starts, firsts = sentence_bounds(data, bounds)
                 for i in range(row, end):
                     a, b = int(firsts[i - row]), int(firsts[i - row + 1])
@@ -175,8 +177,10 @@ def remove_repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: in
                         edges[-1] = len(whole)
                         whole = b"".join(whole[edges[k] : edges[k + 1]] for k in np.setdiff1d(np.arange(b - a), out))
                     rows.append((ids[i], b - a, len(out), out, whole.decode(), hashlib.sha256(whole).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    affected, others = bitmap.split_by_ids(docs, gone.select("doc_id"))
-    joined = affected.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
-    return joined.unionByName(others.withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))).mapInArrow(remove, RESULT)
+    keyed = docs.select(row_key().alias("doc_id"), "text", F.col("doc_id").cast("long").alias("own_id"))
+    affected, others = bitmap.split_by_ids(keyed, gone.select("doc_id"), more=("own_id",))
+    joined = affected.join(gone, "doc_id", "left").select("own_id", "text", "gone")
+    unharmed = others.select("own_id", "text", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone"))
+    return joined.unionByName(unharmed).mapInArrow(remove, RESULT)

@@ -23,6 +23,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+SPARK_ARROW_ROWS = "10000"  # Spark's own default
+
+
+def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts are long rows: unless the session names another number, tasks get some megabytes of them at a time."""
+    if spark.conf.get(ARROW_ROWS, SPARK_ARROW_ROWS) == SPARK_ARROW_ROWS:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
+def row_key():
+    """A number that names a row by its doc_id and text: rows equal in both have the same, also without an id."""
+    from pyspark.sql import functions as F
+
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
+
+
 def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to a shared folder and read it back: lineage is cut, and a lost executor
     costs one read of the file. The folder goes with ``discard`` or at the end of the session."""

@@ -60,6 +60,20 @@ def test_stages_against_plain_versions(spark, corpus):
     assert all(sorted(r["slot"] for r in sharded if r["shard"] == s) == list(range(n)) for s, n in slots.items())
 
 
+def test_decisions_fall_on_rows(spark, corpus):
+    """One id at two texts: both stay, or only the one that leaks goes. Rows without an id are compared too."""
+    folder, _ = corpus
+    by_name = dict(corpus_pipeline.STAGES)
+    a, b, item = prose(81, 6), prose(82, 6), prose(501, 3)
+    rows = [(1, a), (1, b), (1, a), (2, a + "tail"), (None, b), (None, prose(83, 6)), (3, b + item), (3, prose(84, 6)), (None, item + prose(85, 6)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    single = by_name["near duplicates"](spark, docs, folder)
+    assert Counter((r["doc_id"], r["text"]) for r in single.collect()) == Counter({rows[k] for k in (0, 1, 5, 6, 7, 8, 9)})
+    kept = by_name["decontamination"](spark, single, folder)
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter({rows[k] for k in (0, 1, 5, 7, 9)})
+    assert kept.columns == docs.columns
+
+
 def test_stages_on_empty_tables(spark, corpus):
     folder, _ = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")

@@ -167,7 +167,7 @@ def test_fingerprints_of_edited_texts(docs_of, monkeypatch, chunk):
 
 def test_fingerprints_hostile(docs_of, hostile):
     rows = fingerprints.compare_edited(hostile).collect()
-    assert len(rows) == hostile.where("doc_id is not null").count()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in hostile.collect())
     assert fingerprints.compare_edited(hostile.where("false")).collect() == []
     one = fingerprints.compare_edited(docs_of((5, "abcd efgh"))).collect()
     assert one[0]["edited_sha256"] == hashlib.sha256(b"abcd abcd").hexdigest()
@@ -180,7 +180,18 @@ def test_fingerprints_query_links_near_copies(docs_of, hostile, copies, monkeypa
     assert len(rows) == len(copies)
     whole = fingerprints.with_components(hostile)
     assert whole.drop("component_id").exceptAll(fingerprints.compare_edited(hostile)).isEmpty()
-    assert whole.count() == hostile.where("doc_id is not null").count() and whole.where("component_id is null").isEmpty()
+    assert whole.count() == hostile.count() and whole.where("component_id is null and doc_id is not null").isEmpty()
+
+
+def test_fingerprints_without_ids(docs_of):
+    """Rows without an id come below all ids, as one document with several texts."""
+    rows = [(3, "aa bb cc dd"), (1, "ee ff gg hh"), (None, "zz yy"), (None, "kk ll mm nn")]
+    got = {(r["doc_id"], r["n_chars"]): r["edited_sha256"] for r in fingerprints.compare_edited(docs_of(*rows)).collect()}
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert got == {
+        (3, 11): digest("aa bb " + "ee ff"), (1, 11): digest("ee ff " + "kk ll"),
+        (None, 5): digest("zz " + "aa"), (None, 11): digest("kk ll " + "aa bb"),
+    }
 
 
 def plain_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
@@ -338,6 +349,31 @@ def test_rewriting_shards(spark, docs_of, tmp_path):
     assert Counter((r["doc_id"], r["shard"]) for r in back.select("doc_id", "shard").collect()) == want
 
 
+def test_rewrite_keeps_every_row(spark, tmp_path):
+    """Null ids, repeated rows and one id at several texts."""
+    rows = [(None if i % 3 == 0 else i % 7, prose(i % 20, 2), i % 3) for i in range(90)]
+    docs = spark.createDataFrame([(i, t, s) for i, t, s in rows], "doc_id long, text string, old_shard int")
+    path = f"{tmp_path}/shards"
+    docs.withColumnRenamed("old_shard", "shard").write.partitionBy("shard").parquet(path)
+    moved = resharding.reshard(docs.select("doc_id", "old_shard", resharding.byte_size().alias("size")), 5)
+    assert set(resharding.rewrite_shards(docs, moved, path)) == set(range(5))
+    back = spark.read.parquet(path)
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((i, t) for i, t, _ in rows)
+    assert Counter(r["shard"] for r in back.collect()) == Counter(r["shard"] for r in moved.collect())
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["shards"]
+
+
+def test_rewrite_refuses_too_many_shards(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 1), i % 4) for i in range(40)], "doc_id long, text string, old_shard int")
+    path = f"{tmp_path}/shards"
+    docs.withColumnRenamed("old_shard", "shard").write.partitionBy("shard").parquet(path)
+    moved = resharding.reshard(docs.select("doc_id", "old_shard", resharding.byte_size().alias("size")), 3)
+    monkeypatch.setattr(resharding, "SHARD_LIMIT", 1)
+    with pytest.raises(ValueError):
+        resharding.rewrite_shards(docs, moved, path)
+    assert spark.read.parquet(path).count() == 40
+
+
 def test_size_and_checksum(spark):
     texts = ["", None, "é漢\U0001f600", "abc"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")

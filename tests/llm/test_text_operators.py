@@ -271,6 +271,14 @@ def test_sentence_spans_hostile(hostile):
     assert sentence_spans.remove_repeated_spans(hostile.where("false")).collect() == []
 
 
+def test_sentence_spans_by_row(docs_of):
+    """Rows with one id and different texts, and rows without an id, are judged each for itself."""
+    a, b, c = (prose(i, 5) for i in (61, 62, 63))
+    table = docs_of((1, a), (1, b), (2, a), (None, a), (None, c), (None, b), (4, c))
+    got = Counter((r["doc_id"], r["n_removed"], r["kept_text"]) for r in sentence_spans.remove_repeated_spans(table).collect())
+    assert got == Counter([(1, 0, a), (1, 0, b), (2, 5, ""), (None, 5, ""), (None, 5, ""), (None, 5, ""), (4, 0, c)])
+
+
 def plain_repeats(texts, length):
     raw = {i: (t or "").encode() for i, t in texts.items()}
     times = Counter(b[p : p + length] for b in raw.values() for p in range(len(b) - length + 1))
