@@ -754,3 +754,15 @@ ORACLES |= {
     "scanned_files": f"""WITH {GENERIC} SELECT CASE WHEN shape IN ('nested', 'flat') THEN model ELSE shape END AS what, count(*) AS lines
         FROM ge WHERE shape IN ('nested', 'flat', 'not an object', 'tokens without a timestamp') GROUP BY 1""",
 }
+
+ORACLES |= {
+    "listed_usage_files": f"""WITH {over(LOGS, EVENT_LOG)} SELECT 'logs/' || stem || '.jsonl' AS file, 'lines' AS kind, true AS filled,
+        nullif(count(*) FILTER (eid % 7 > 1), 0) AS requests, CAST(sum(cents + cr + k * 7) FILTER (eid % 7 > 1) AS BIGINT) AS total FROM ev GROUP BY 1""",
+    "audit_newest_and_untracked": f"""WITH {GENERIC}, n AS (
+          SELECT source_file, model, CASE shape WHEN 'flat' THEN ms // 1000 * 1000 ELSE ms END AS ts_ms, eid FROM ge WHERE shape IN ('nested', 'flat'))
+        SELECT 'newest' AS part, source_file, model, ts_ms FROM (SELECT * FROM n ORDER BY ts_ms DESC, source_file DESC, eid DESC LIMIT 3)
+        UNION ALL SELECT 'untracked', NULL, NULL, count(*) FROM supplier""",
+    "session_detail": f"""SELECT 'summary' AS part, id AS name, first_ts_ms AS start_ms, requests, total FROM ({ORACLES["session_summaries"]}) WHERE regexp_matches(id, '^([a-z]+-)?s7$')
+        UNION ALL SELECT 'bucket', CAST(bucket_idx AS VARCHAR), start_ms, requests, total FROM ({ORACLES["session_trend"]}) WHERE session_id = 's7'
+        UNION ALL SELECT 'model', model, NULL, requests, total FROM ({ORACLES["session_models"]}) WHERE session_id = 's7'""",
+}

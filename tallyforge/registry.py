@@ -19,7 +19,7 @@ from tallyforge.schema import SOURCE_ROLLOUT, SOURCES, with_ts_date
 from tallyforge.sinks import exports
 from tallyforge.sources import event_logs, rollouts, tables, transcripts
 from tallyforge.sources import prices as price_source
-from tallyforge.sources.lines import scan_lines
+from tallyforge.sources.lines import list_usage_files, scan_lines
 from tallyforge.streaming import ingest, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -908,3 +908,43 @@ def scanned_files(spark, sf_dir):
     usage, rejects = transcripts.read_jsonl_usage(scan_lines(spark, root, "*.txt"))
     kinds = [usage.select(F.col("model").alias("what")), rejects.where("reason <> 'not JSON'").select(F.col("reason").alias("what"))]
     return aggs.union_sources(*kinds).groupBy("what").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query
+def listed_usage_files(spark, sf_dir):
+    """Log files below a root and what is read of each; a folder that is never searched adds nothing."""
+    root = scratch_path(spark, "listed-files")
+    lines = sample_logs.event_log_lines(_events(spark, sf_dir), logs=_logs(spark, sf_dir))
+    for folder in ("logs", "logs/cache"):
+        sample_logs.write_plain(lines, f"{root}/{folder}")
+    listed = list_usage_files(spark, root)
+    usage, _ = event_logs.read_event_logs(scan_lines(spark, root))
+    read = usage.groupBy("source_file").agg(F.count(F.lit(1)).alias("requests"), F.sum("total_override").alias("total"))
+    shown = F.regexp_extract("source_file", "[^/]+/[^/]+$", 0)
+    return listed.join(read, "source_file", "left").select(shown.alias("file"), "kind", (F.col("length") > 0).alias("filled"), "requests", "total")
+
+
+@query
+def audit_newest_and_untracked(spark, sf_dir):
+    """The newest rows read, and how many listed files gave nothing."""
+    usage, rejects = transcripts.read_jsonl_usage(sample_logs.generic_lines(_events(spark, sf_dir)))
+    silent = fixtures.load(spark, sf_dir, "supplier").select(F.concat(F.lit("/logs/x"), F.col("s_suppkey").cast("string"), F.lit(".jsonl")).alias("source_file"))
+    listed = silent.unionByName(usage.select("source_file").distinct())
+    audit = quality.ingest_audit(usage, rejects, listed)
+    newest = audit.recent.select(F.lit("newest").alias("part"), "source_file", "model", "ts_ms")
+    nothing = F.lit(None).cast("string")
+    return newest.unionByName(audit.untracked.select(F.lit("untracked").alias("part"), nothing.alias("source_file"), nothing.alias("model"), F.col("untracked").alias("ts_ms")))
+
+
+@query
+def session_detail(spark, sf_dir):
+    """Summary, buckets and models of one session as one answer."""
+    source = usage_table(spark, sf_dir).where("session_id = 's7'").agg(F.min("source")).first()[0] or SOURCES[0]
+    detail = sessions.session_detail(usage_table(spark, sf_dir), source, "s7", session_meta(spark, sf_dir))
+    none = F.lit(None).cast("bigint")
+    parts = [
+        detail.summary.select(F.lit("summary").alias("part"), F.col("id").alias("name"), F.col("first_ts_ms").alias("start_ms"), "requests", "total"),
+        detail.buckets.select(F.lit("bucket").alias("part"), F.col("bucket_idx").cast("string").alias("name"), "start_ms", "requests", "total"),
+        detail.models.select(F.lit("model").alias("part"), F.col("model").alias("name"), none.alias("start_ms"), "requests", "total"),
+    ]
+    return aggs.union_sources(*parts)

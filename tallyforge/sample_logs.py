@@ -208,3 +208,28 @@ def write_compressed(lines: DataFrame, root: str, frame_lines: int) -> None:
         yield pd.DataFrame({"log": pd.Series([], dtype=str)})
 
     ordered.mapInPandas(write, "log string").count()
+
+
+def write_plain(lines: DataFrame, root: str) -> None:
+    """Each log as one text file, ``<root>/<log>.jsonl``, written in order by one task."""
+    log = F.regexp_extract("source_file", r"([^/]*)\.jsonl$", 1)
+    ordered = lines.select(log.alias("log"), "pos", "value").repartition("log").sortWithinPartitions("log", "pos")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        now, file = None, None
+        for batch in batches:
+            for name, rows in batch.groupby("log", sort=True):
+                if name != now:
+                    if file is not None:
+                        file.close()
+                    store, path = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
+                    store.create_dir(path, recursive=True)
+                    now, file = name, store.open_output_stream(f"{path}/{name}.jsonl", compression=None)
+                file.write("".join(f"{v}\n" for v in rows["value"]).encode())
+        if file is not None:
+            file.close()
+        yield pd.DataFrame({"log": pd.Series([], dtype=str)})
+
+    ordered.mapInPandas(write, "log string").count()
