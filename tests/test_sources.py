@@ -132,19 +132,32 @@ def read_rollout(spark, log_dir, rows, name="rollout-x.jsonl"):
     return usage.orderBy("line_no").collect(), files.first()
 
 
-def test_counters_are_cumulative_and_reset(spark, log_dir):
+def test_each_counter_falls_by_itself(spark, log_dir):
+    """Output starts over on the third line, input on the fourth; the sum of both never falls."""
     rows, _ = read_rollout(spark, log_dir, [
-        usage_event(0, 100, input_tokens=90), usage_event(1, 40, input_tokens=95), usage_event(2, 40, input_tokens=95),
+        usage_event(0, 700, input_tokens=620, output_tokens=80),
+        usage_event(1, 815, input_tokens=700, output_tokens=115),
+        usage_event(2, 960, input_tokens=951, output_tokens=9),
+        usage_event(3, 972, input_tokens=33, output_tokens=9),
+        usage_event(4, 972, input_tokens=61, output_tokens=30),
     ])
-    assert [r.total_override for r in rows] == [100, 40, 0]
-    assert [r.input_tokens for r in rows] == [90, 5, 0]
+    assert [r.input_tokens for r in rows] == [620, 80, 251, 33, 28]
+    assert [r.output_tokens for r in rows] == [80, 35, 9, 0, 21]
+    assert [r.total_override for r in rows] == [700, 115, 145, 12, 0]
 
 
-def test_model_follows_the_context(spark, log_dir):
-    rows, _ = read_rollout(spark, log_dir, [
-        usage_event(0, 10), context("a"), usage_event(1, 110), context("b"), usage_event(2, 160), usage_event(3, 170, model="c"),
-    ])
-    assert [(r.model, r.total_override) for r in rows] == [("unknown", 10), ("a", 100), ("b", 50), ("c", 10)]
+def test_contexts_stay_in_their_log(spark, log_dir):
+    """A context names the model of the lines after it, in its own log; a name on the line itself goes before."""
+    root = log_dir({
+        "x.jsonl": [context("early"), usage_event(5, 3), usage_event(6, 4, model="own"), context(""), usage_event(7, 9)],
+        "y.jsonl": [usage_event(5, 2), context("late"), context("later"), usage_event(8, 11)],
+    })
+    usage, _ = rollouts.read_cumulative_rollouts(lines.scan_lines(spark, root))
+    got = sorted((r.source_file[-7:], r.line_no, r.model, r.total_override) for r in usage.collect())
+    assert got == [
+        ("x.jsonl", 2, "early", 3), ("x.jsonl", 3, "own", 1), ("x.jsonl", 5, "early", 5),
+        ("y.jsonl", 1, "unknown", 2), ("y.jsonl", 4, "later", 9),
+    ]
 
 
 def test_request_durations(spark, log_dir):
