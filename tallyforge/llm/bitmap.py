@@ -76,3 +76,17 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, bits: int = 24, more: tuple[st
 def rows_with_ids(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
     """The first part of ``split_by_ids``."""
     return split_by_ids(docs, ids, bits)[0]
+
+
+def rows_with_keys(rows: DataFrame, keys: DataFrame, column: str, bits: int) -> DataFrame:
+    """``rows`` whose ``column`` (a hash, not null) may be among that of ``keys``; join them for the exact set."""
+    bitmap = build(keys, column, bits)
+    if bitmap is None:
+        return rows
+    shared, place = rows.sparkSession.sparkContext.broadcast(bitmap), rows.columns.index(column)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(passes(shared.value, batch.column(place).to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(choose, rows.schema)

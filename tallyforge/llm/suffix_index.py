@@ -1,9 +1,10 @@
 """Repeated byte strings by a logarithmic family of suffix arrays.
 
-A batch of documents gets a suffix array: its suffixes in the order of their first bytes, kept sorted and
-bucketed by that name. The array is scanned together with those of the levels already there, where equal names
-stand side by side, and then joins the levels: two of equal size merge into one of the next, so a suffix is
-rewritten as often as the logarithm of the number of batches.
+A batch of documents gets a suffix array: its distinct suffixes by the name of their first bytes, kept sorted
+and bucketed by that name. The array is scanned together with those of the levels already there, where equal
+names stand side by side, and then joins the levels. Before the next batch two of equal size merge into one of
+the next, so a suffix is rewritten as often as the logarithm of the number of batches. Occurrences are kept
+beside the levels as they were found and are looked up once, by the names that repeat.
 
 Suffixes are sampled by content: of the starts of short grams inside each string of ``length`` bytes, the one
 with the least hash. Equal strings choose the same start, so every repeated string meets its copies at a
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitmap, bytetext
-from .storage import delete_folder, discard, shared_folder, staged
+from .storage import delete_folder, discard, row_key, shared_folder, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -32,6 +33,7 @@ LENGTH = 200
 GRAM = 64
 PLACE_BITS = 28
 CLASS = 16  # strings compared at a time
+FILTER_BITS = 27
 BATCHES = 4
 
 
@@ -115,15 +117,17 @@ class SuffixIndex:
     """Suffix arrays of all batches added so far, in levels of geometrically growing size.
 
     Arrays are tables bucketed and sorted by ``key`` in a shared folder, so scans and merges of two need no
-    shuffle. A level holds each distinct (key, whole) once, with its number of occurrences and one of them.
+    shuffle. A level holds each distinct (key, whole) once, with its number of occurrences and one of them;
+    these are counted before the shuffle, so a suffix of a third of all documents is no hot row group.
+    ``doc_id`` of the documents added names a row; rows without one are left out.
     """
 
     def __init__(self, spark: SparkSession, length: int = LENGTH, buckets: int | None = None):
         self.spark, self.length = spark, length
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = shared_folder(spark, "suffix-index")
-        self.arrays: list[str] = []  # one per batch: every sampled suffix
-        self.levels: dict[int, str] = {}
+        self.occurrences: list[DataFrame] = []  # one per batch: every sampled suffix
+        self.levels: list[tuple[int, str]] = []  # largest first; the last two may be of equal size
         self.met: list[DataFrame] = []
 
     def _write(self, df: DataFrame) -> str:
@@ -137,24 +141,27 @@ class SuffixIndex:
         delete_folder(self.spark, f"{self.folder}/{name}")
 
     def add(self, docs: DataFrame) -> None:
-        """Build the batch's suffix array, scan it against the levels, and merge it into them."""
-        suffixes = suffix_table(docs, self.length).repartition(self.buckets, "key")
-        self.arrays.append(self._write(suffixes))
-        fresh = self._write(combined(self.spark.table(self.arrays[-1]).withColumn("n", F.lit(1).cast("long"))))
+        """Build the batch's suffix array, scan it against the levels, and put it beside them."""
+        self._merge()
+        self.occurrences.append(staged(suffix_table(docs, self.length), "suffix-occurrences"))
+        distinct = combined(self.occurrences[-1].withColumn("n", F.lit(1).cast("long")))
+        fresh = self._write(distinct.repartition(self.buckets, "key"))
         self._scan(fresh)
-        level = 0
-        while level in self.levels:
-            both = self.spark.table(fresh).unionByName(self.spark.table(self.levels[level]))
-            merged = self._write(combined(both))
-            self._drop(fresh)
-            self._drop(self.levels.pop(level))
-            fresh, level = merged, level + 1
-        self.levels[level] = fresh
+        self.levels.append((0, fresh))
+
+    def _merge(self) -> None:
+        """Merge levels of equal size, which a batch leaves behind, into one of the next."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (level, one), (_, other) = self.levels.pop(), self.levels.pop()
+            both = self.spark.table(one).unionByName(self.spark.table(other))
+            self.levels.append((level + 1, self._write(combined(both))))
+            self._drop(one)
+            self._drop(other)
 
     def _scan(self, fresh: str) -> None:
         """Keep the suffixes whose name the batch has, if the name occurs more than once in all."""
         rows = self.spark.table(fresh).withColumn("new", F.lit(True))
-        for name in self.levels.values():
+        for _, name in self.levels:
             rows = rows.unionByName(self.spark.table(name).withColumn("new", F.lit(False)))
         rows = combined(rows, F.max("new").alias("new"))
         names = rows.groupBy("key").agg(F.sum("n").alias("all"), F.max("new").alias("new")).where("`all` > 1 and new").select("key")
@@ -163,7 +170,7 @@ class SuffixIndex:
     def seal(self) -> None:
         """No more batches follow: the levels, which only new batches are scanned against, are dropped."""
         while self.levels:
-            self._drop(self.levels.popitem()[1])
+            self._drop(self.levels.pop()[1])
 
     def repeats(self, docs: DataFrame) -> DataFrame:
         """``doc_id, spans``: the strings of ``length`` bytes that occur more than once, as byte ranges.
@@ -176,27 +183,31 @@ class SuffixIndex:
         for more in self.met[1:]:
             met = met.unionByName(more)
         met = staged(combined(met, F.max("n").alias("most")).drop("n"), "suffix-distinct")
-        for scanned in self.met:
-            discard(scanned)
+        while self.met:
+            discard(self.met.pop())
         kinds = met.groupBy("key").agg(F.count("*").alias("kinds"))
         distinct, met = met, staged(met.join(kinds, "key").withColumn("stretch", F.monotonically_increasing_id()), "suffix-met")
         discard(distinct)
         partial = met.where("kinds > 1").select("stretch", "doc_id", "at", "left", "wide")
-        ranges = repeated_offsets(staged(string_classes(docs, partial, self.length), "suffix-classes"))
-        ranges = ranges.groupBy("stretch").agg(F.collect_list(F.struct("low", "high")).alias("offsets"))
+        ranges = staged(repeated_offsets(docs, partial, self.length), "suffix-ranges")
+        ranges_read, ranges = ranges, ranges.groupBy("stretch").agg(F.collect_list(F.struct("low", "high")).alias("offsets"))
         found = met.where("most > 1").select("key", "whole", F.lit(None).cast("array<struct<low:int,high:int>>").alias("offsets"))
         found = found.unionByName(met.where("most = 1").join(ranges, "stretch").select("key", "whole", "offsets"))
         found = staged(found, "suffix-found")
-        everything = self.spark.table(self.arrays[0])
-        for name in self.arrays[1:]:
-            everything = everything.unionByName(self.spark.table(name))
-        everything = everything.join(found.select("key").distinct(), "key", "left_semi")
+        everything = self.occurrences[0]
+        for more in self.occurrences[1:]:
+            everything = everything.unionByName(more)
+        everything = bitmap.rows_with_keys(everything, found, "key", FILTER_BITS)
         spans = everything.join(found, ["key", "whole"]).select("doc_id", F.struct("at", "left", "wide", "offsets").alias("span"))
-        return spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+        spans = staged(spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans")), "suffix-spans")
+        for used in (met, ranges_read, found):
+            discard(used)
+        return spans
 
     def close(self) -> None:
-        for name in [*self.arrays, *self.levels.values()]:
-            self._drop(name)
+        self.seal()
+        while self.occurrences:
+            discard(self.occurrences.pop())
 
 
 def string_classes(docs: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
@@ -241,10 +252,12 @@ def string_classes(docs: DataFrame, stretches: DataFrame, length: int) -> DataFr
     per_doc = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("stretch", "at", "left", "wide")).alias("parts"))
     per_doc = staged(per_doc, "suffix-stretches")
     texts = bitmap.rows_with_ids(docs, per_doc.select("doc_id"))
-    return texts.join(per_doc, "doc_id").select("doc_id", "text", "parts").mapInArrow(classes, schema)
+    found = staged(texts.join(per_doc, "doc_id").select("doc_id", "text", "parts").mapInArrow(classes, schema), "suffix-classes")
+    discard(per_doc)
+    return found
 
 
-def repeated_offsets(classes: DataFrame) -> DataFrame:
+def repeated_offsets(docs: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
     """``stretch, low, high``: ranges of offsets whose strings occur in another stretch too.
 
     Where ``around`` is found again, the class is repeated whole. Where only the ``core`` is, one stretch for
@@ -252,9 +265,11 @@ def repeated_offsets(classes: DataFrame) -> DataFrame:
     are counted, not gathered.
     """
     flank = CLASS - 1
+    classes = string_classes(docs, stretches, length)
     groups = classes.groupBy("core", "around").agg(F.count("*").alias("n"), F.min("stretch").alias("one"))
     open_ = groups.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("core")
-    marked = staged(classes.join(groups, ["core", "around"]), "suffix-groups")
+    marked = staged(classes.join(groups, ["core", "around"]).join(open_.withColumn("open", F.lit(True)), "core", "left"), "suffix-groups")
+    discard(classes)
     first = F.col("class") * CLASS
     whole = marked.where("n > 1").select(
         "stretch",
@@ -263,7 +278,7 @@ def repeated_offsets(classes: DataFrame) -> DataFrame:
     )
     reach = F.sequence(F.lit(flank) - F.octet_length("after"), F.octet_length("before"))
     apart = marked.where("stretch = one and octet_length(before) + octet_length(after) >= %d" % flank)
-    apart = apart.join(open_, "core").select("*", F.explode(reach).alias("j"))
+    apart = apart.where("open").select("*", F.explode(reach).alias("j"))
     left = F.expr("substring(before, octet_length(before) - j + 1, j)")
     right = F.expr(f"substring(after, 1, {flank} - j)")
     apart = staged(apart.select("stretch", "n", (first + F.col("j")).alias("offset"), F.xxhash64("core", "j", left, right).alias("name")), "suffix-strings")
@@ -300,19 +315,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
 
     Texts are UTF-8 bytes; matches do not cross documents; overlapping copies in one document count; all
     copies go, judged on the input. Documents are added to a suffix index in ``batches`` parts by a hash of
-    their id. ``removed`` lists the maximal ranges.
+    id and text. ``removed`` lists the maximal ranges.
 
-    Null text is empty. Rows with a null doc_id are not compared and come back whole. Rows with equal doc_id
-    are one document's versions: each is an occurrence, and ranges found in one are applied to all. Empty
-    table: no rows. Other columns are not read.
+    Null text is empty. Rows are judged each for itself by doc_id and text: without an id, or with one id and
+    different texts, too. Rows equal in both are occurrences of each other. Empty table: no rows. Other columns
+    are not read.
     """
     spark = docs.sparkSession
     index = SuffixIndex(spark, length)
-    part = F.pmod(F.xxhash64(F.lit(2), F.col("doc_id").cast("long")), F.lit(batches))
+    keyed = docs.select(row_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("own_id"))
+    part = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(batches))
     for b in range(batches):
-        index.add(docs.where(part == b))
+        index.add(keyed.where(part == b))
     index.seal()
-    spans = staged(index.repeats(docs), "suffix-spans")
+    spans = index.repeats(keyed)
     index.close()
     columns = [part.split()[0] for part in RESULT.split(", ")]
 
@@ -332,8 +348,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
                 out.append((doc_id, len(raw), int((b - a).sum()), len(ranges), kept.hexdigest(), ranges))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], columns)
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    affected, others = bitmap.split_by_ids(rows, spans.select("doc_id"))
+    affected, others = bitmap.split_by_ids(keyed, spans.select("doc_id"), more=("own_id",))
     nothing = F.array().cast(spans.schema["spans"].dataType)
-    joined = affected.join(spans, "doc_id", "left").select("doc_id", "text", F.coalesce("spans", nothing).alias("spans"))
-    return joined.unionByName(others.withColumn("spans", nothing)).mapInArrow(cut, RESULT)
+    joined = affected.join(spans, "doc_id", "left").select("own_id", "text", F.coalesce("spans", nothing).alias("spans"))
+    return joined.unionByName(others.select("own_id", "text", nothing.alias("spans"))).mapInArrow(cut, RESULT)

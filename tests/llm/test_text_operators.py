@@ -318,8 +318,8 @@ def test_suffix_levels(spark, docs_of):
     sizes = []
     for k in range(5):
         index.add(docs_of((k, prose(k, 14))))
-        sizes.append(sorted(index.levels))
-    assert sizes == [[0], [1], [0, 1], [2], [0, 2]]
+        sizes.append([level for level, _ in index.levels])
+    assert sizes == [[0], [0, 0], [1, 0], [1, 0, 0], [2, 0]]  # equal ones merge before the next batch
     index.close()
 
 
@@ -329,3 +329,14 @@ def test_suffix_dedup_hostile(hostile):
     by = {r["doc_id"]: r for r in rows}
     assert by[6]["n_removed"] == by[6]["n_bytes"] == by[7]["n_removed"] and by[4]["n_bytes"] == by[3]["n_bytes"] == 0
     assert suffix_index.remove_repeats(hostile.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_suffix_dedup_by_row(docs_of, batches):
+    """Rows with one id and different texts, and rows without an id, are judged each for itself."""
+    a, b, c, d = (prose(i, 12) for i in (71, 72, 73, 74))
+    rows = [(1, a), (1, b + a[50:400]), (None, b), (None, c), (None, d[30:] + c[:230]), (2, d), (2, d), (3, "z" * 500), (3, "y" * 201), (None, None)]
+    want = plain_repeats(dict(enumerate(text for _, text in rows)), 200)
+    want = Counter((rows[i][0], *figures) for i, figures in want.items())
+    got = suffix_index.remove_repeats(docs_of(*rows), batches=batches).drop("removed").collect()
+    assert Counter(map(tuple, got)) == want
