@@ -41,18 +41,26 @@ def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero((bitmap[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
 
 
-def split_by_ids(docs: DataFrame, ids: DataFrame, bits: int = 24, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, text`` (and ``more`` columns) of the documents that may be among ``ids`` (a column ``doc_id``),
-    and of those that are surely not. Join the first for the exact set; the second never needs a shuffle. Null
-    ids are never among them."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text", *more)
-    spread = lambda x: bytetext.mix(x.astype(np.int64).view(np.uint64) + np.uint64(bytetext.STEP))
+def spread(ids: np.ndarray) -> np.ndarray:
+    return bytetext.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(bytetext.STEP))
+
+
+def hashed_ids(ids: DataFrame) -> DataFrame:
+    """``h``: the hash of each ``doc_id``."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(bytetext.signed(spread(batch.column(0).to_numpy())))], ["h"])
 
-    bitmap = build(ids.select("doc_id").mapInArrow(keys, "h long"), "h", bits)
+    return ids.mapInArrow(keys, "h long")
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame, bits: int = 24, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text`` (and ``more`` columns) of the documents that may be among ``ids`` (a column ``doc_id``),
+    and of those that are surely not. Join the first for the exact set; the second never needs a shuffle. Null
+    ids are never among them."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *more)
+    bitmap = build(hashed_ids(ids.select("doc_id")), "h", bits)
     if bitmap is None:
         return rows.where("doc_id is not null"), rows.where("doc_id is null")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -78,15 +86,20 @@ def rows_with_ids(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
     return split_by_ids(docs, ids, bits)[0]
 
 
-def rows_with_keys(rows: DataFrame, keys: DataFrame, column: str, bits: int) -> DataFrame:
-    """``rows`` whose ``column`` (a hash, not null) may be among that of ``keys``; join them for the exact set."""
-    bitmap = build(keys, column, bits)
+def rows_with_keys(rows: DataFrame, keys: DataFrame, column: str, bits: int, spread_out: bool = True) -> DataFrame:
+    """``rows`` whose long ``column`` (never null) may be among that of ``keys``; join them for the exact set.
+    Hashes are ``spread_out`` already, ids are not."""
+    hashed = hashed_ids(keys.select(F.col(column).alias("doc_id"))) if not spread_out else keys.select(F.col(column).alias("h"))
+    bitmap = build(hashed, "h", bits)
     if bitmap is None:
         return rows
     shared, place = rows.sparkSession.sparkContext.broadcast(bitmap), rows.columns.index(column)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.take(pa.array(passes(shared.value, batch.column(place).to_numpy().view(np.uint64))))
+            numbers = batch.column(place).to_numpy()
+            found = passes(shared.value, numbers.view(np.uint64) if spread_out else spread(numbers))
+            if len(found):
+                yield batch.take(pa.array(found))
 
     return rows.mapInArrow(choose, rows.schema)

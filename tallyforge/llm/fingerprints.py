@@ -186,6 +186,6 @@ def with_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     """Rows of ``compare_edited`` with the ``component_id`` of ``near_copies``; rows with equal doc_id share the
     smallest of theirs, null ids have none."""
     parts = near_copies(docs, shingle_words, percent).where("doc_id is not null")
-    parts = parts.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    parts = staged(parts.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "fingerprint-components")
     edited = compare_edited(docs, shingle_words)
     return edited.join(parts, "doc_id", "left").select(*edited.columns, "component_id")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import discard, staged
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 MOST_COPIES = 2.0
 CHUNK_ROWS = 4096
 OFFSETS = 16  # random offsets tried for each source
+BROADCAST_BYTES = 8 << 20  # of sources
+ROW_BYTES = 64  # of a source besides its name
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,6 +72,13 @@ def mix_sources(
     return mix_sized(sizes, seed, weights, total_share, most, chunk_rows).drop("s")
 
 
+def small_side(sources: DataFrame) -> DataFrame:
+    """``sources`` (a staged frame, one row per ``s``), to be broadcast if its rows and names are few; else the
+    join shuffles and adaptive execution splits its hot sources."""
+    size = sources.agg(F.coalesce(F.sum(F.octet_length("s") + F.lit(ROW_BYTES)), F.lit(0))).first()[0]
+    return F.broadcast(sources) if size <= BROADCAST_BYTES else sources
+
+
 def mix_sized(
     sizes: DataFrame, seed: int = 0, weights=WEIGHTS, total_share=TOTAL_SHARE, most=MOST_COPIES, chunk_rows=CHUNK_ROWS
 ) -> DataFrame:
@@ -89,8 +98,10 @@ def mix_sized(
         )
         .withColumn("offset", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "s"), 11) / F.lit(float(1 << 53)))
     )
+    plan = staged(plan, "mix-plan")
     named = sized.select("doc_id", "size", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("s"))
-    placed = named.join(plan, "s").withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("chunks")))
+    placed = named.join(small_side(plan), "s").withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("chunks")))
+    placed = placed.repartition("s", "chunk")  # else the windows keep the join's partitions, one for a whole source
     along = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("s", "chunk").count().select(
         F.col("s"), F.col("chunk"), F.coalesce(F.sum("count").over(along), F.lit(0)).alias("start")
@@ -108,9 +119,11 @@ def mix_sized(
     words = [F.sum(F.col("size") * copies_with(u)).alias(f"words_{j}") for j, u in enumerate(offsets)]
     tried = ranked.groupBy("s", "target", "offset").agg(*words)
     errors = [F.struct(F.abs(F.col(f"words_{j}") - F.col("target")).alias("error"), u.alias("chosen")) for j, u in enumerate(offsets)]
-    best = tried.select("s", F.array_min(F.array(*errors))["chosen"].alias("chosen"))
+    best = staged(tried.select("s", F.array_min(F.array(*errors))["chosen"].alias("chosen")), "mix-offsets")
+    discard(sized)
+    discard(plan)
     copies = copies_with(F.col("chosen"))
-    return ranked.join(best, "s").select(
+    return ranked.join(small_side(best), "s").select(
         "doc_id", "s", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 

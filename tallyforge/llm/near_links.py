@@ -23,6 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RARE = 50  # sets that may have a shingle that counts as rare
 FILTER_BITS = 27
+ID_BITS = 24
 PRINTS = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
@@ -83,7 +84,9 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, shingle_words: int, word_table
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, likeness`` of each pair, from the full sets."""
+    """``a, b, both, union`` of each pair (a staged frame), from the full sets. Sets in no pair stay out of the shuffles."""
+    nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    sets = bitmap.rows_with_keys(sets, nodes, "doc_id", ID_BITS, spread_out=False)
     left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("a_grams"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("b_grams"))
     both = F.size(F.array_intersect("a_grams", "b_grams"))
@@ -114,7 +117,10 @@ def rare_shingles(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = staged(sets.select("doc_id", "grams").mapInArrow(passing, "node long, gram long").join(shared, "gram"), "near-held")
     counts = seen.where("seen = 1").groupBy("node").agg(F.count("*").alias("n"))
     counts = counts.unionByName(held.groupBy("node").agg(F.count("*").alias("n")))
-    return counts.groupBy("node").agg(F.sum("n").alias("rare")), held.select("node", "gram")
+    rare = staged(counts.groupBy("node").agg(F.sum("n").alias("rare")), "near-rare")
+    discard(seen)
+    discard(shared)
+    return rare, held
 
 
 def possible_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -130,7 +136,8 @@ def possible_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFram
     open_ = staged(placed.join(low_high.select("band"), "band"), "near-open")
     nodes = open_.select("node", "n", "part").distinct()
     rare, held = rare_shingles(sets.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    nodes = staged(nodes.join(rare, "node", "left").withColumn("rare", F.coalesce("rare", F.lit(0))), "near-nodes")
+    counted, nodes = rare, staged(nodes.join(rare, "node", "left").withColumn("rare", F.coalesce("rare", F.lit(0))), "near-nodes")
+    discard(counted)
 
     def sides(keyed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         return tuple(keyed.select(key, *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "part", "rare")]) for x in "ab")
@@ -143,7 +150,9 @@ def possible_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFram
     calm = open_.select("band", "node").join(nodes.where((F.col("n") - F.col("rare")) * 100 >= F.col("n") * percent), "node")
     per_part = calm.groupBy("band", "part").agg(F.count("*").alias("size"))
     main = per_part.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("part", "size").alias("main")).where("parts > 1")
-    calm = staged(calm.join(staged(main.select("band", "main"), "near-main"), "band"), "near-calm")
+    main = staged(main.select("band", "main"), "near-main")
+    calm = staged(calm.join(main, "band"), "near-calm")
+    discard(main)
     left, right = sides(calm.where("part <> main"), "band")[0], sides(calm, "band")[1]
     right = right.join(calm.select("band", "main").distinct(), "band")
     once = (F.col("part_b") == F.col("main")) | (F.col("part_a") < F.col("part_b"))
@@ -153,7 +162,10 @@ def possible_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFram
     fields = [f"{c}_{x}" for x in "ab" for c in ("node", "n", "part", "rare")]
     by_rare = pairs.groupBy(*fields).agg(F.count("*").alias("shared")).where(few_missing(F.col("shared")))
     both = by_band.select("node_a", "node_b").unionByName(by_rare.select("node_a", "node_b"))
-    return both.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+    both = staged(both.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct(), "near-possible")
+    for used in (open_, nodes, held, calm):
+        discard(used)
+    return both
 
 
 def near_components(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -173,19 +185,27 @@ def near_components(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     nodes = classed.where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "bands")
     entries = nodes.select("node", "n", F.explode("bands").alias("band"))
     full = entries.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    members = staged(entries.join(staged(full, "near-full"), "band"), "near-members")
+    full = staged(full, "near-full")
+    members = staged(entries.join(full, "band"), "near-members")
     central = members.groupBy("node").agg(F.sum("members").alias("central"))
     ranked = members.join(central, "node")
     pivots = ranked.groupBy("band").agg((-F.max(F.struct("central", (-F.col("node")).alias("node")))["node"]).alias("pivot"))
     placed = staged(members.join(pivots, "band").select("band", "node", "n", "pivot"), "near-placed")
     sets = staged(sets_of(members.select(F.col("node").alias("doc_id")).distinct()), "near-sets")
     pairs = placed.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = staged(pairs, "near-pairs")
     first = staged(compared(pairs, sets), "near-compared")
     parts = components(first.where(linked))
     known = placed.join(parts, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("part"))
-    rest = possible_links(staged(known, "near-known"), sets, percent)
+    known = staged(known, "near-known")
+    for used in (full, members, placed, pairs):
+        discard(used)
+    possible = possible_links(known, sets, percent)
     done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    second = staged(compared(rest.join(done, ["a", "b"], "left_anti"), sets), "near-compared")
+    rest = staged(possible.join(done, ["a", "b"], "left_anti"), "near-rest")
+    second = staged(compared(rest, sets), "near-compared")
+    for used in (known, possible, rest, sets):
+        discard(used)
     late = second.where(linked)
     if not late.isEmpty():
         parts = components(first.where(linked).select("a", "b").unionByName(late.select("a", "b")))
@@ -193,6 +213,4 @@ def near_components(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     result = classed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
     result = result.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     others = prints.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    for used in (members, placed, sets):
-        discard(used)
     return result.unionByName(others)
