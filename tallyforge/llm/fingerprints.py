@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext, near_links
-from .storage import staged
+from .storage import only_kept, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -185,7 +185,8 @@ def compare_edited(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, function
 def with_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """Rows of ``compare_edited`` with the ``component_id`` of ``near_copies``; rows with equal doc_id share the
     smallest of theirs, null ids have none."""
-    parts = near_copies(docs, shingle_words, percent).where("doc_id is not null")
-    parts = staged(parts.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "fingerprint-components")
+    with only_kept() as keep:
+        parts = near_copies(docs, shingle_words, percent).where("doc_id is not null")
+        parts = keep(staged(parts.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "fingerprint-components"))
     edited = compare_edited(docs, shingle_words)
     return edited.join(parts, "doc_id", "left").select(*edited.columns, "component_id")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,12 +42,29 @@ def row_key():
     return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
 
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside lose their shuffle files when they end, and not only when the driver happens to
+    collect garbage. While a query runs they stay, so a lost executor costs what it always does."""
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+
+
 def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to a shared folder and read it back: lineage is cut, and a lost executor
-    costs one read of the file. The folder goes with ``discard`` or at the end of the session."""
+    costs one read of the file. The folder goes with ``discard`` or at the end of the session, the shuffle
+    files behind it as soon as it is written."""
     path = shared_folder(df.sparkSession, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        writer.parquet(path)
     _written[path] = df.sparkSession
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._staged_path = path
@@ -59,6 +78,21 @@ def discard(df: DataFrame) -> None:
         delete_folder(df.sparkSession, path)
 
 
+@contextlib.contextmanager
+def only_kept() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Frames staged inside go at its end, but for those passed through the function it gives. What leaves it
+    must read kept frames alone. For one thread at a time."""
+    before, kept = set(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._staged_path)
+        return df
+
+    yield keep
+    for path in set(_written) - before - kept:
+        delete_folder(_written.pop(path), path)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,17 +1,21 @@
 """Near duplicates, fingerprints, mixing, chat formatting and resharding against plain versions."""
 
+import glob
 import hashlib
+import os
 import random
 import re
+import tempfile
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from conftest_llm import prose
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bitmap, bytetext, chat, components, fingerprints, mixing, near_dedup, queries, resharding
+from tallyforge.llm import bitmap, bytetext, chat, components, fingerprints, mixing, near_dedup, queries, resharding, storage
 
 
 def lower(text):
@@ -379,3 +383,22 @@ def test_size_and_checksum(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = rows.select("doc_id", resharding.byte_size().alias("size"), F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).alias("crc")).collect()
     assert [(r["size"], r["crc"]) for r in got] == [(len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in texts]
+
+
+def shuffle_files(spark):
+    root = spark.conf.get("spark.local.dir", tempfile.gettempdir())
+    return set(glob.glob(f"{root}/blockmgr-*/**/shuffle_*.data", recursive=True))
+
+
+def test_only_kept_frames_and_no_shuffles_stay_behind(spark, hostile):
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.glob("*"))
+    whole = fingerprints.with_components(hostile)
+    assert [f.name.split("-")[:2] for f in set(root.glob("*")) - before] == [["fingerprint", "components"]]
+    assert whole.count() == hostile.count() == len(whole.collect())
+    assert spark.conf.get(storage.DROP_SHUFFLES) == "false"
+    before = shuffle_files(spark)
+    held = storage.staged(hostile.groupBy("doc_id").count(), "counts")
+    assert held.count() == hostile.select("doc_id").distinct().count()
+    kept = [f for f in shuffle_files(spark) - before if os.path.getmtime(f) < os.path.getmtime(held._staged_path)]
+    assert kept == []
