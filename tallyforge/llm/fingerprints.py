@@ -112,7 +112,9 @@ RESULT = (
 )
 
 
-def compare_edited(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, functions: int = FUNCTIONS) -> DataFrame:
+def compare_edited(
+    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, functions: int = FUNCTIONS, parts: DataFrame | None = None
+) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are.
 
     The edited text is the document with its last floor(n_chars / 2) code points replaced by the first as many
@@ -125,10 +127,14 @@ def compare_edited(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, function
     Null text is empty. Of rows with equal doc_id the smallest text is what the document before takes; each
     row is returned. Rows with a null doc_id are one document with several texts, which comes last, below all
     ids. Empty table: no rows. A single document is its own next. Other columns are not read.
+
+    With ``parts`` (``doc_id, component_id``, one row for each id) rows have that ``component_id`` too, null
+    where there is none. Parts travel in the shuffle of the texts, each just before its document.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tops = range_tops(rows.select("doc_id"))
-    names = ["range", "visits", "doc_id", "text", "print"]
+    names = ["range", "visits", "doc_id", "text", "print", "component"]
+    shape = "range long, visits boolean, doc_id long, text string, print binary, component long"
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Fingerprinter(shingle_words, functions)
@@ -137,32 +143,45 @@ def compare_edited(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, function
             prints = as_binary(maker.of(batch.column(1)))
             at = np.searchsorted(tops, ids)
             is_top = np.flatnonzero(tops[at] == ids)
-            own = [pa.array(at), pa.array(np.zeros(len(ids), bool)), *batch.columns, prints]
+            own = [pa.array(at), pa.array(np.zeros(len(ids), bool)), *batch.columns, prints, pa.nulls(len(ids), pa.int64())]
             yield pa.RecordBatch.from_arrays(own, names)
-            visit = [c.take(pa.array(is_top)) for c in (*batch.columns, prints)]
+            visit = [c.take(pa.array(is_top)) for c in (*batch.columns, prints)] + [pa.nulls(len(is_top), pa.int64())]
             above = (at[is_top] + 1) % len(tops)
             yield pa.RecordBatch.from_arrays([pa.array(above), pa.array(np.ones(len(is_top), bool)), *visit], names)
 
-    printed = rows.mapInArrow(first_pass, "range long, visits boolean, doc_id long, text string, print binary")
+    def part_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, at = len(batch), np.searchsorted(tops, batch.column(0).to_numpy())
+            empty = [pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())]
+            columns = [pa.array(at), pa.array(np.zeros(n, bool)), batch.column(0), *empty, batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    printed = rows.mapInArrow(first_pass, shape)
+    if parts is not None:  # a null text sorts before the texts of its document
+        printed = printed.unionByName(parts.select("doc_id", "component_id").where("doc_id is not null").mapInArrow(part_pass, shape))
     ordered = printed.repartition("range").sortWithinPartitions("range", "visits", F.desc("doc_id"), "text")
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Fingerprinter(shingle_words, functions)
-        columns = [part.split()[0] for part in RESULT.split(", ")]
+        columns = [part.split()[0] for part in result.split(", ")]
+        of_id, component = None, None
         waiting: list[tuple] = []  # rows of one document that wait for the next document
         for batch in batches:
             ready: list[tuple] = []
-            for at, visits, doc_id, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at, visits, doc_id, text, own, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text is None:
+                    of_id, component = doc_id, part
+                    continue
                 if waiting and (waiting[0][:2] != (at, doc_id) or visits):
                     if waiting[0][0] == at:
-                        ready += [(*w[1:], text, own) for w in waiting]
+                        ready += [(*w[1:4], text, own, w[4]) for w in waiting]
                     waiting = []
                 if not visits:
-                    waiting.append((at, doc_id, text, own))
+                    waiting.append((at, doc_id, text, own, component if of_id == doc_id else None))
             if not ready:
                 continue
             edited = []
-            for _, text, _, following, _ in ready:
+            for _, text, _, following, *_ in ready:
                 half = len(text) // 2
                 edited.append(text[: len(text) - half] + following[:half])
             mine, theirs = (np.array([np.frombuffer(r[i], ">u2") for r in ready]) for i in (2, 4))
@@ -175,10 +194,12 @@ def compare_edited(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, function
                 pa.array([c.tobytes().hex() for c in changed]),
                 pa.array(likeness(mine, changed)),
                 pa.array(likeness(mine, theirs)),
-            ]
+                pa.array([r[5] for r in ready], pa.int64()),
+            ][: len(columns)]
             yield pa.RecordBatch.from_arrays(made, columns)
 
-    compared = ordered.mapInArrow(second_pass, RESULT)
+    result = RESULT if parts is None else f"{RESULT}, component_id long"
+    compared = ordered.mapInArrow(second_pass, result)
     return compared.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
@@ -188,5 +209,4 @@ def with_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     with only_kept() as keep:
         parts = near_copies(docs, shingle_words, percent).where("doc_id is not null")
         parts = keep(staged(parts.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "fingerprint-components"))
-    edited = compare_edited(docs, shingle_words)
-    return edited.join(parts, "doc_id", "left").select(*edited.columns, "component_id")
+    return compare_edited(docs, shingle_words, parts=parts)
