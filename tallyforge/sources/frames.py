@@ -173,15 +173,26 @@ def _ranges_of(range_bytes: int):
     return walk
 
 
-def _read_ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [part.split()[0] for part in LINES.split(", ")]
+def _rows_of_ranges(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, int, str]]:
+    """Ranges that follow one another in a file share the open file and its window."""
+    now, file = None, None
     for frame in frames:
         for source_file, uri, block, start, size in frame.itertuples(index=False):
-            file = StoredFile(uri)
-            numbered = enumerate(_marked(file, start, size, block == 0))
-            while some := list(islice(numbered, BATCH_LINES)):
-                yield pd.DataFrame([(source_file, block, n, line) for n, line in some], columns=names)
-            file.close()
+            if uri != now:
+                if file is not None:
+                    file.close()
+                now, file = uri, StoredFile(uri)
+            for n, line in enumerate(_marked(file, start, size, block == 0)):
+                yield source_file, block, n, line
+    if file is not None:
+        file.close()
+
+
+def _read_ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [part.split()[0] for part in LINES.split(", ")]
+    rows = _rows_of_ranges(frames)
+    while some := list(islice(rows, BATCH_LINES)):
+        yield pd.DataFrame(some, columns=names)
 
 
 def opened_by_arrow(folders: list[str]) -> bool:
@@ -210,7 +221,11 @@ def frame_ranges(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTES)
 
 
 def frame_lines(ranges: DataFrame, most_tasks: int = MOST_TASKS) -> DataFrame:
-    """Lines of the indexed ranges, a task for each while there are not too many. ``block`` is the number of the
-    range in its file."""
-    tasks = max(1, min(most_tasks, ranges.count()))
-    return ranges.repartition(tasks).mapInPandas(_read_ranges, LINES)
+    """Lines of the indexed ranges. ``block`` is the number of the range in its file. Short ranges that follow one
+    another are read by one task up to about ``RANGE_BYTES``, so tasks grow in number with the bytes, not with the
+    ranges; there are at least two for each core while there are ranges for them."""
+    found = ranges.agg(F.count(F.lit(1)), F.sum("size")).first()
+    wanted = max(2 * ranges.sparkSession.sparkContext.defaultParallelism, -(-(found[1] or 0) // RANGE_BYTES))
+    tasks = max(1, min(most_tasks, found[0], wanted))
+    near = ranges.repartitionByRange(tasks, "source_file", "block").sortWithinPartitions("source_file", "block")
+    return near.mapInPandas(_read_ranges, LINES)

@@ -1,5 +1,7 @@
 """Counting rules, ranges, buckets and text rules on hand-computed rows."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +186,17 @@ def test_counts(spark, json, count):
 def test_timestamps(spark, json, ms):
     df = spark.createDataFrame([(json,)], "j string").select(F.try_parse_json("j").alias("v"))
     assert one(df, V.parse_ts(F.col("v"))) == (ms,)
+
+
+def test_path_segments_in_linear_time(spark):
+    """Names are found as before in odd paths, and a very long segment costs no square of its length."""
+    odd = ["", "/", "a", "a/", "/a", "a//b", "a\\b/c", "a/b\n", "a/\n", "\n", "x y/.z", "a/b\nc", "a\n/b", "\\\\", "a/b/c/"]
+    df = spark.createDataFrame([(p,) for p in odd], "p string")
+    old = {"name": r"([^/\\]*)$", "parent": r"([^/\\]*)[/\\][^/\\]*$"}
+    plain = [F.regexp_extract("p", old["name"], 1), F.nullif(F.regexp_extract("p", old["parent"], 1), F.lit(""))]
+    rows = df.select(F.array(text.file_name(F.col("p")), text.parent_name(F.col("p"))), F.array(*plain)).collect()
+    assert [r[0] for r in rows] == [r[1] for r in rows]
+    long = spark.createDataFrame([("s" * 1_000_000 + "/x/y.jsonl",)], "p string")
+    start = time.perf_counter()
+    assert long.select(text.event_log_session(F.col("p"))).first()[0] == "x"
+    assert time.perf_counter() - start < 60

@@ -96,3 +96,18 @@ def test_stores_that_only_spark_reads_give_whole_files(spark, tmp_path, monkeypa
     monkeypatch.setattr(event_logs, "opened_by_arrow", lambda folders: False)
     assert sorted(r.value for r in event_logs.scan_compressed_lines(spark, str(tmp_path)).collect()) == want == ["a", "bc", "d"]
     assert not frames.opened_by_arrow(["viewfs://store/in"])
+
+
+def test_short_ranges_share_tasks(spark, tmp_path):
+    """A task per range of a few bytes is no task per some megabytes; every line still comes once, in order."""
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for name in "ab":
+        (logs / f"{name}.jsonl.zst").write_bytes(b"".join(frame(f"{name}{i}\n{name}".encode()) for i in range(200)))
+    ranges = frames.frame_ranges(spark, str(logs), 1)
+    lines = frames.frame_lines(ranges)
+    tasks = lines.rdd.getNumPartitions()
+    assert ranges.count() == 400 and tasks <= 2 * spark.sparkContext.defaultParallelism
+    got = [(r.source_file[-11], r.value) for r in lines.orderBy("source_file", "block", "pos").collect()]
+    assert got == [(name, "" .join(([name] if i else []) + [f"{name}{i}"]) if i < 200 else name) for name in "ab" for i in range(201)]
+    assert frames.frame_lines(ranges, 3).rdd.getNumPartitions() == 3
