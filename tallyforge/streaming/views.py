@@ -50,6 +50,22 @@ def live_session_rate(
     return _bounds(grouped).withColumn("tokens_per_min", F.col("total") / minutes)
 
 
+def live_session_steps(usage: DataFrame, step: str = "1 minute", lateness: str = LATENESS) -> DataFrame:
+    """Requests and tokens of each session per tumbling step: what ``rate_of_steps`` makes trailing windows of. The
+    state holds each event once, not once for every window it is in."""
+    rows = _timed(usage, lateness).where(F.col("session_id").isNotNull())
+    return _bounds(rows.groupBy(F.window("ts", step), "source", "session_id").agg(*_measures()))
+
+
+def rate_of_steps(steps: DataFrame, width: str = "5 minutes", step: str = "1 minute") -> DataFrame:
+    """Trailing windows that end with every step, from stored steps: what ``live_session_rate`` gives. ``width`` is a
+    whole number of steps."""
+    placed = steps.select(F.window(F.timestamp_millis("start_ms"), width, step).alias("window"), "source", "session_id", "requests", "total")
+    grouped = placed.groupBy("window", "source", "session_id").agg(F.sum("requests").alias("requests"), F.sum("total").alias("total"))
+    minutes = (F.col("end_ms") - F.col("start_ms")) / F.lit(60_000.0)
+    return _bounds(grouped).withColumn("tokens_per_min", F.col("total") / minutes)
+
+
 def start_view(view: DataFrame, out: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Write the changed rows of every trigger as a new version (update mode)."""
     writer = view.writeStream.outputMode("update").foreachBatch(lambda df, i: write_batch(df, out, i))
