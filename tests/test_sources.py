@@ -368,3 +368,13 @@ def test_newest_session_metadata_counts(spark):
     df = spark.createDataFrame(rows, "id string, title string, directory string, time_updated long")
     got = sorted(tuple(r) for r in tables.read_session_meta(df).select("id", "title", "directory").collect())
     assert got == [("a", "new", "/y"), ("b", "two", None)]
+
+
+def test_folders_never_searched_are_not_read(spark, log_dir):
+    """Files of skipped folders are left out of the scan's partitions, not filtered line by line."""
+    from tallyforge.sources.lines import scan_lines
+
+    root = log_dir({"a.jsonl": ["{}", "{}"], **{f"cache/{i}.jsonl": ["{}"] for i in range(40)}})
+    lines = scan_lines(spark, root)
+    assert [r.value for r in lines.collect()] == ["{}", "{}"]
+    assert lines.rdd.getNumPartitions() == 1
