@@ -102,6 +102,22 @@ def test_allow_wins_ties(spark):
     assert (row["rule"], row["verdict"]) == ("a.b/c", "allow")
 
 
+def test_globs_of_one_length_decide_as_in_sql(spark, tmp_path):
+    import duckdb
+    import oracle
+
+    from tallyforge.llm import queries
+
+    urls = ["http://m.a.com/en/1?utm_source=b", "http://x.m.a.com/de/1?a=1&utm_source=b", "http://a.com/x?session=y.html?page=1", "http://a.com/cart/login", "http://a.com/login/cart/1"]
+    pages = [(i, u) for i, u in enumerate(urls)]
+    spark.createDataFrame(pages, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    name = "op11_url_filter"
+    problem = oracle.compare(name, queries.QUERIES[name](spark, str(tmp_path)), con, queries.ORACLES[name])
+    assert problem is None, problem
+
+
 def one_edit(a, b):
     if len(a) < len(b):
         a, b = b, a
