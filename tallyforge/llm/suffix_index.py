@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitmap, bytetext
-from .storage import delete_folder, discard, row_key, shared_folder, staged
+from .storage import delete_folder, discard, row_key, shared_folder, short_batches, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -163,9 +163,8 @@ class SuffixIndex:
         rows = self.spark.table(fresh).withColumn("new", F.lit(True))
         for _, name in self.levels:
             rows = rows.unionByName(self.spark.table(name).withColumn("new", F.lit(False)))
-        rows = combined(rows, F.max("new").alias("new"))
         names = rows.groupBy("key").agg(F.sum("n").alias("all"), F.max("new").alias("new")).where("`all` > 1 and new").select("key")
-        self.met.append(staged(rows.join(names, "key", "left_semi").drop("new"), "suffix-matches"))
+        self.met.append(staged(combined(rows.drop("new").join(names, "key", "left_semi")), "suffix-matches"))
 
     def seal(self) -> None:
         """No more batches follow: the levels, which only new batches are scanned against, are dropped."""
@@ -322,6 +321,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     are not read.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     index = SuffixIndex(spark, length)
     keyed = docs.select(row_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("own_id"))
     part = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(batches))
@@ -336,8 +336,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
         kinds = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))]
         for batch in batches:
             out = []
-            for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                raw = text.encode()
+            for doc_id, text, found in zip(*batch.columns, strict=True):
+                doc_id, raw = doc_id.as_py(), text.as_py().encode()
                 a, b = byte_ranges(found.as_py(), len(raw), length)
                 kept, at = hashlib.sha256(), 0
                 for start, stop in zip(a.tolist(), b.tolist(), strict=True):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from conftest_llm import prose, sentence
 
-from tallyforge.llm import decontamination, license_scan, sentence_spans, suffix_index, toxicity
+from tallyforge.llm import decontamination, license_scan, sentence_spans, storage, suffix_index, toxicity
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -340,3 +340,16 @@ def test_suffix_dedup_by_row(docs_of, batches):
     want = Counter((rows[i][0], *figures) for i, figures in want.items())
     got = suffix_index.remove_repeats(docs_of(*rows), batches=batches).drop("removed").collect()
     assert Counter(map(tuple, got)) == want
+
+
+def test_suffix_dedup_takes_texts_in_short_batches(spark, docs_of):
+    """Tasks hold some megabytes of texts at a time, unless the session names another number of rows."""
+    docs = docs_of(*((i, prose(i)) for i in range(3)))
+    before = spark.conf.get(storage.ARROW_ROWS)
+    try:
+        for given, used in ((storage.SPARK_ARROW_ROWS, "1000"), ("77", "77")):
+            spark.conf.set(storage.ARROW_ROWS, given)
+            assert suffix_index.remove_repeats(docs).count() == 3
+            assert spark.conf.get(storage.ARROW_ROWS) == used
+    finally:
+        spark.conf.set(storage.ARROW_ROWS, before)
