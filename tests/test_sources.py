@@ -378,3 +378,27 @@ def test_folders_never_searched_are_not_read(spark, log_dir):
     lines = scan_lines(spark, root)
     assert [r.value for r in lines.collect()] == ["{}", "{}"]
     assert lines.rdd.getNumPartitions() == 1
+
+
+def test_each_line_is_parsed_once(spark):
+    """The parser stands once in the plan, and gives what the one expression gives."""
+    from tallyforge.functions import variant as V
+    from tallyforge.sources import transcripts
+
+    texts = ['{"type":"a"}', '{"type":1} x', '{"type":"a"},{"type":"b"}', "", None, "[]", '{"ts":1700000000}', "{broken"]
+    lines = spark.createDataFrame([("f", 0, i, t) for i, t in enumerate(texts)], "source_file string, block long, pos long, value string")
+    parsed = transcripts._parsed(lines, None)
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    seen = parsed.select("pos", F.col("line.type").cast("string"), F.col("line.ts").cast("long"), F.col("line").isNull())
+    one = lines.withColumn("line", V.parse_object(F.col("value"), transcripts._LINE))
+    assert seen.collect() == one.select("pos", F.col("line.type").cast("string"), F.col("line.ts").cast("long"), F.col("line").isNull()).collect()
+
+
+def test_epoch_bounds(spark):
+    from tallyforge.functions import variant as V
+
+    last = V.LAST_MS
+    numbers = [None, -5, 0, 100_000_000, 100_000_001, last // 1000, last // 1000 + 1, 10**12, 10**12 + 1, last, last + 1, V.MAX_COUNT]
+    want = [None, None, None, None, 100_000_001_000, last // 1000 * 1000, None, None, 10**12 + 1, last, None, None]
+    frame = spark.createDataFrame([(i, n) for i, n in enumerate(numbers)], "i long, n long")
+    assert [r[0] for r in frame.orderBy("i").select(V.epoch_ms(F.col("n"))).collect()] == want
